@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import catalogues as C
 from ..functions import names as N
+from ..session import checkpoint
 from ..sources.windows import last_existing_days
-from .ranges import with_ranges
+from .ranges import lookup
 from .skew import salted_semi
-from .suppress import Registry, glob_lookup, keep_unsuppressed
+from .suppress import Registry, drop_devices, glob_lookup
 
 PAIR = ["src", "dst", "dst_port"]
 _MASK_DAYS = 63
@@ -146,18 +147,24 @@ def slow_candidates(
     window_days: int = C.CADENCE_WINDOW_DAYS, min_consistency: float = C.CADENCE_MIN_CONSISTENCY,
 ) -> DataFrame:
     """The full detector: regular pairs, named, owned, filtered and rated for paging."""
-    pairs = slow_pairs(conn, window_days).where(F.col("hour_consistency") >= min_consistency)
-    # A destination is benign when any host it serves is suppressed, so hosts are tested one by one.
-    hosts = http.where(F.coalesce(F.col("host"), F.lit("")) != "").select("dst", "host").distinct()
-    bad_host = hosts.join(glob_lookup(hosts, "host", registry.domains), "host").select("dst").distinct()
-    named = (
-        pairs.join(latest_sni(ssl), "dst", "left")
-        .join(http_profile(http), "dst", "left")
+    # The few regular pairs steer every later step, so they are computed once and written down.
+    pairs = checkpoint(slow_pairs(conn, window_days).where(F.col("hour_consistency") >= min_consistency))
+    dsts = pairs.select("dst").distinct()
+    sni, owners = latest_sni(ssl), lookup(dsts, "dst", geo, ["org", "cc"])
+    # Suppression is a property of the destination: its address, its newest server name, any host it
+    # serves, or its owner. Each kind of name is tested on distinct values, then one anti join.
+    hosts = http.where(F.coalesce(F.col("host"), F.lit("")) != "").select("dst", F.col("host").alias("name")).distinct()
+    names = hosts.unionByName(sni.select("dst", F.col("sni").alias("name"))).unionByName(dsts.select("dst", F.col("dst").alias("name")))
+    owner_names = owners.select("dst", F.col("org").alias("name"))
+    bad = (
+        glob_lookup(names, "name", registry.domains, ["dst"]).select("dst")
+        .unionByName(glob_lookup(owner_names, "name", registry.orgs, ["dst"]).select("dst")).distinct()
+    )
+    kept = (
+        drop_devices(pairs, registry).join(bad, "dst", "left_anti")
+        .join(sni, "dst", "left").join(http_profile(http), "dst", "left").join(owners, "dst", "left")
         .join(lan_talkers(conn, window_days), ["dst", "dst_port"], "left")
-        .join(bad_host, "dst", "left_anti")
     )
-    owned = with_ranges(named, "dst", geo, ["org", "cc"])
-    kept = keep_unsuppressed(owned, registry, device="src", domains=["sni", "dst"], org="org")
     talkers = F.coalesce(F.col("lan_talkers"), F.lit(1))
     hyper = N.is_hyperscaler_org("org")
     return (

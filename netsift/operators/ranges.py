@@ -96,10 +96,15 @@ def lookup(
 
 
 def with_ranges(
-    df: DataFrame, ip: str, table: DataFrame, payload: list[str], pick: str = "longest"
+    df: DataFrame, ip: str, table: DataFrame, payload: list[str], pick: str = "longest",
+    ips: DataFrame | None = None,
 ) -> DataFrame:
-    """``df`` plus the payload of the network its address falls into (null when none)."""
-    found = lookup(df, ip, table, payload, pick)
+    """``df`` plus the payload of the network its address falls into (null when none).
+
+    ``ips`` may name a simpler table that holds all the addresses, so a long chain of steps that
+    leads to ``df`` is not planned a second time just to list them.
+    """
+    found = lookup(df if ips is None else ips, ip, table, payload, pick)
     return df.join(found, ip, "left")
 
 

@@ -65,9 +65,12 @@ def _glob_shape():
     )
 
 
-def glob_lookup(values: DataFrame, value: str, patterns: DataFrame) -> DataFrame:
-    """``(value, ord)`` of the first pattern, in registry order, that each distinct value matches."""
-    distinct = values.select(value).where(F.col(value) != "").distinct()
+def glob_lookup(values: DataFrame, value: str, patterns: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """``(*keep, value, ord)`` of the first pattern, in registry order, that each distinct value matches.
+
+    ``keep`` carries key columns along, which saves joining the hits back to ``values``.
+    """
+    distinct = values.select(*keep, value).where(F.col(value) != "").distinct()
     shaped = patterns.withColumn("_shape", _glob_shape())
     keys = (
         shaped.where("_shape < 2")
@@ -78,25 +81,23 @@ def glob_lookup(values: DataFrame, value: str, patterns: DataFrame) -> DataFrame
         )
         .groupBy("_kind", "_key").agg(F.min("ord").alias("ord"))
     )
+    irregular = shaped.where("_shape = 2").select("ord", "pattern").orderBy("ord").collect()
+    chunks = [
+        F.coalesce(*[F.when(N.glob_matches(value, r["pattern"]), F.lit(r["ord"])) for r in irregular[i : i + _CHUNK]])
+        for i in range(0, len(irregular), _CHUNK)
+    ]
+    by_regex = F.coalesce(*chunks) if chunks else F.lit(None).cast("int")
     probes = distinct.select(
-        value,
+        *keep, value, by_regex.alias("_regex_ord"),
         F.explode(
             F.concat(
                 F.array(F.struct(F.lit(0).alias("_kind"), F.col(value).alias("_key"))),
                 F.transform(N.label_suffixes(value), lambda s: F.struct(F.lit(1).alias("_kind"), s.alias("_key"))),
             )
         ).alias("_probe"),
-    ).select(value, "_probe._kind", "_probe._key")
-    hits = probes.join(keys, ["_kind", "_key"]).select(value, "ord")
-
-    irregular = shaped.where("_shape = 2").select("ord", "pattern").orderBy("ord").collect()
-    for start in range(0, len(irregular), _CHUNK):
-        chunk = irregular[start : start + _CHUNK]
-        first = F.coalesce(*[F.when(N.glob_matches(value, r["pattern"]), F.lit(r["ord"])) for r in chunk])
-        hits = hits.unionByName(
-            distinct.select(value, first.alias("ord")).where(F.col("ord").isNotNull())
-        )
-    return hits.groupBy(value).agg(F.min("ord").alias("ord"))
+    ).select(*keep, value, "_regex_ord", "_probe._kind", "_probe._key")
+    hits = probes.join(keys, ["_kind", "_key"], "left").select(*keep, value, F.least("ord", "_regex_ord").alias("ord"))
+    return hits.where(F.col("ord").isNotNull()).groupBy(*keep, value).agg(F.min("ord").alias("ord"))
 
 
 def service_lookup(values: DataFrame, value: str, patterns: DataFrame) -> DataFrame:
@@ -126,7 +127,7 @@ def _attach(df: DataFrame, column: str, found: DataFrame, key: str, name: str) -
 
 
 def _first_glob(df: DataFrame, columns: list[str], patterns: DataFrame, name: str) -> DataFrame:
-    values = reduce(DataFrame.unionByName, [df.select(F.col(c).alias("_v")) for c in columns])
+    values = df.select(F.explode(F.array_compact(F.array(*columns))).alias("_v"))
     found = glob_lookup(values, "_v", patterns)
     marks = []
     for i, column in enumerate(columns):

@@ -152,7 +152,7 @@ class Views:
         rows = self._with_site(self.flows)
         k, eid = F.col("k"), F.col("event_id")
         query = (
-            F.when(k % 9 == 0, F.concat(F.substring(F.md5(eid.cast("string")), 1, 12), F.lit(".biz")))
+            F.when(k % 9 == 0, F.concat(F.substring(F.md5(eid.cast("string")), 1, 24), F.lit(".biz")))
             .when(k % 11 == 0, "7.101.220.185.in-addr.arpa")
             .when(k % 19 == 5, F.concat(F.lit("t"), eid % 400, F.lit(".tunnel.example.co.uk")))
             .otherwise(F.col("site"))

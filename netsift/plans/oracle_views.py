@@ -83,7 +83,7 @@ view("ssl", """
   WHERE service = 'ssl'""", "flows", "sites")
 view("dns", """
   SELECT event_id, ts, day, src,
-    CASE WHEN k % 9 = 0 THEN substring(md5(CAST(event_id AS VARCHAR)), 1, 12) || '.biz'
+    CASE WHEN k % 9 = 0 THEN substring(md5(CAST(event_id AS VARCHAR)), 1, 24) || '.biz'
       WHEN k % 11 = 0 THEN '7.101.220.185.in-addr.arpa'
       WHEN k % 19 = 5 THEN 't' || (event_id % 400) || '.tunnel.example.co.uk' ELSE site END AS query,
     CASE event_id % 4 WHEN 1 THEN 'AAAA' WHEN 2 THEN 'TXT' ELSE 'A' END AS qtype_name,
