@@ -13,6 +13,7 @@ from ..functions import catalogues as C
 from ..functions import ip as IP
 from ..functions import names as N
 from ..functions.flags import finding_flag
+from ..session import checkpoint
 from ..sources.windows import last_existing_days
 from .network import top_per
 from .ranges import with_ranges
@@ -45,7 +46,11 @@ def page_rows(findings: DataFrame, geo: DataFrame, identity: DataFrame, registry
     bare = (F.trim("fqdn") == "") & IP.looks_v4("dst")
     rows = rows.join(names, "dst", "left").withColumn("enrich_name", F.when(bare, F.col("_name"))).drop("_name")
     rows = rows.withColumn("dest", N.annotate_dest(F.when(F.col("fqdn") != "", F.col("fqdn")).otherwise(F.col("dst")), "org", "city", "cc"))
-    return mark_suppressed(rows, registry, device="src", domains=["fqdn", "dst", "enrich_name"], service="service")
+    listed = findings.select(F.explode(F.array("fqdn", "dst")).alias("name")).unionByName(identity.select("name"))
+    return mark_suppressed(
+        rows, registry, device="src", domains=["fqdn", "dst", "enrich_name"], service="service",
+        names=listed, services=findings.select("service"),
+    )
 
 
 def kept(page: DataFrame) -> DataFrame:
@@ -106,8 +111,9 @@ def flagged(rows: DataFrame, skip_benign_names: bool = False) -> DataFrame:
 def investigate(marked: DataFrame) -> DataFrame:
     """Per (src, flag): best score, destinations (three, or two and a count) and what was seen.
 
-    ``marked`` comes from :func:`flagged`.
+    ``marked`` comes from :func:`flagged`; it feeds several folds, so it is written down once.
     """
+    marked = checkpoint(marked.select("src", "flag", "dest", "score", "conns", "msg"))
     dests = marked.groupBy("src", "flag", "dest").agg(F.max("score").alias("score"), F.sum("conns").alias("conns"), F.min("msg").alias("msg"))
     msgs = marked.groupBy("src", "flag", "msg").agg(F.max("score").alias("score"))
     n_msgs = msgs.groupBy("src", "flag").agg(F.count("*").alias("n_msgs"), F.max(F.struct("score", "msg"))["msg"].alias("first_msg"))
@@ -172,7 +178,11 @@ def new_beacons(
     bare = (F.col("fqdn") == "") & IP.looks_v4("dst")
     best = best.join(identity.select("dst", F.col("name").alias("_name")), "dst", "left").withColumn(
         "enrich_name", F.when(bare, F.col("_name"))).drop("_name")
-    rows = keep_unsuppressed(drop_devices(best, registry), registry, domains=["fqdn", "dst", "enrich_name"], service="service")
+    listed = findings.select(F.explode(F.array("fqdn", "dst")).alias("name")).unionByName(identity.select("name"))
+    rows = keep_unsuppressed(
+        drop_devices(best, registry), registry, domains=["fqdn", "dst", "enrich_name"], service="service",
+        names=listed, services=findings.select("service"),
+    )
     rank_map = F.create_map(*[F.lit(x) for kv in C.SEVERITY_RANK.items() for x in kv])
     rows = rows.withColumn("rank", F.coalesce(F.try_element_at(rank_map, F.col("severity")), F.lit(0)))
     source = F.max(F.struct("rank", "score")).over(Window.partitionBy("src"))
@@ -193,7 +203,10 @@ def summary_rows(findings: DataFrame, geo: DataFrame, registry: Registry) -> Dat
     Here the suppression target is the name, or the address where there is no name.
     """
     rows = findings.withColumn("target", dest_key())
-    rows = keep_unsuppressed(drop_devices(rows, registry), registry, domains=["target"], service="service")
+    rows = keep_unsuppressed(
+        drop_devices(rows, registry), registry, domains=["target"], service="service",
+        names=findings.select(dest_key()), services=findings.select("service"),
+    )
     rows = with_ranges(rows.where(IP.is_v4(F.trim("src"))), "dst", geo, ["org", "city", "cc"], ips=findings)
     rows = rows.withColumn("dest", N.annotate_dest("target", "org", "city", "cc"))
     name_ok = N.benign_vendor("dest").isNotNull() | N.is_safe_org("org")

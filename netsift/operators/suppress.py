@@ -33,12 +33,13 @@ def device_ips(fp_macs: DataFrame, *sightings: DataFrame) -> DataFrame:
 
     ``fp_macs(mac, reason)``, each of ``sightings(mac, ip)``.
     """
+    macs = fp_macs.select(F.lower("mac").alias("mac"), "reason")
+    # The listed MACs are few: meeting them first keeps the sightings from being shuffled whole.
     seen = reduce(
         DataFrame.unionByName,
-        [s.select(F.lower("mac").alias("mac"), "ip").where("mac <> '' and ip <> ''") for s in sightings],
-    ).distinct()
-    macs = fp_macs.select(F.lower("mac").alias("mac"), "reason")
-    return seen.join(macs, "mac").groupBy("ip").agg(F.min("reason").alias("reason"))
+        [s.where("mac <> '' and ip <> ''").select(F.lower("mac").alias("mac"), "ip").join(macs, "mac") for s in sightings],
+    )
+    return seen.groupBy("ip").agg(F.min("reason").alias("reason"))
 
 
 def make_registry(
@@ -126,8 +127,13 @@ def _attach(df: DataFrame, column: str, found: DataFrame, key: str, name: str) -
     return df.join(hit, F.col(column) == F.col("_k"), "left").drop("_k")
 
 
-def _first_glob(df: DataFrame, columns: list[str], patterns: DataFrame, name: str) -> DataFrame:
-    values = df.select(F.explode(F.array_compact(F.array(*columns))).alias("_v"))
+def _first_glob(
+    df: DataFrame, columns: list[str], patterns: DataFrame, name: str, values: DataFrame | None
+) -> DataFrame:
+    if values is None:
+        values = df.select(F.explode(F.array_compact(F.array(*columns))).alias("_v"))
+    else:
+        values = values.toDF("_v")
     found = glob_lookup(values, "_v", patterns)
     marks = []
     for i, column in enumerate(columns):
@@ -140,10 +146,13 @@ def _first_glob(df: DataFrame, columns: list[str], patterns: DataFrame, name: st
 def mark_suppressed(
     df: DataFrame, registry: Registry, device: str | None = None, domains: list[str] = (),
     service: str | None = None, org: str | None = None,
+    names: DataFrame | None = None, services: DataFrame | None = None,
 ) -> DataFrame:
     """``df`` plus ``suppressed_by`` = struct(rule_type, rule, reason); null for rows that stay.
 
     Dimensions are tested in the order device, domain, protocol, org; the first hit is reported.
+    ``names`` and ``services`` (one column each) may list all values of the domain and service
+    columns from a simpler table, so that a long chain behind ``df`` is planned only once.
     """
     cases, rules = [], []
     if device:
@@ -151,14 +160,15 @@ def mark_suppressed(
         df = df.join(ips, F.col(device) == F.col("_ip"), "left").drop("_ip")
         cases.append((F.col("_device_reason").isNotNull(), "device", F.col(device), F.col("_device_reason")))
     if domains:
-        df = _first_glob(df, list(domains), registry.domains, "domain")
+        df = _first_glob(df, list(domains), registry.domains, "domain", names)
         rules.append(("domain", registry.domains))
     if service:
-        found = service_lookup(df.select(F.col(service).alias("_v")), "_v", registry.protocols)
+        listed = df.select(service) if services is None else services
+        found = service_lookup(listed.toDF("_v"), "_v", registry.protocols)
         df = _attach(df, service, found, "_v", "_protocol")
         rules.append(("protocol", registry.protocols))
     if org:
-        df = _first_glob(df, [org], registry.orgs, "org")
+        df = _first_glob(df, [org], registry.orgs, "org", None)
         rules.append(("org", registry.orgs))
     for kind, table in rules:
         text = table.select(
