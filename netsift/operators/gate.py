@@ -1,15 +1,11 @@
-"""Which findings page someone: lonely, non-hyperscaler destinations; and how alerts repeat."""
+"""Which findings page someone: lonely, non-hyperscaler destinations."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names as N
-from ..functions.flags import alert_fingerprint, alert_ttl_seconds
 
 
 def gate_reason(dst, org, fqdn, ip_talkers, name_talkers, talkers_known=True) -> Column:
@@ -64,32 +60,3 @@ def enabled_only(alerts: DataFrame, toggles: DataFrame) -> DataFrame:
     """Alerts whose type is not switched off; a type without a toggle is on. ``toggles(type, enabled)``."""
     off = toggles.where(~F.coalesce(F.col("enabled"), F.lit(True))).select("type").distinct()
     return alerts.join(off, "type", "left_anti")
-
-
-def dedup_alerts(alerts: DataFrame) -> DataFrame:
-    """Alerts that are sent: the first opens a fixed window (6 h high, 1 h others), repeats inside it
-    are dropped and do not extend it.
-
-    Input ``(type, severity, device, detail, ts)``. Repeats within a second are folded before the
-    shuffle, so a key's rows are bounded by the time span however often it fires. Each task then
-    walks its rows in (key, time) order with one open window as its only state.
-    """
-    seconds = alerts.groupBy(
-        alert_fingerprint("type", "severity", "device", "detail").alias("fingerprint"),
-        alert_ttl_seconds("severity").alias("ttl"), F.unix_timestamp("ts").alias("sec"),
-        "type", "severity", "device", "detail",
-    ).agg(F.count("*").alias("hits"))
-    ordered = seconds.repartition("fingerprint").sortWithinPartitions("fingerprint", "sec")
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, until = None, 0
-        for batch in batches:
-            keep = []
-            for k, sec, ttl in zip(batch["fingerprint"], batch["sec"], batch["ttl"]):
-                send = k != key or sec >= until
-                if send:
-                    key, until = k, sec + ttl
-                keep.append(send)
-            yield batch[keep]
-
-    return ordered.mapInPandas(walk, ordered.schema).drop("ttl", "hits")

@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import catalogues as C
-from ..functions import names as N
-from ..functions.flags import finding_flag
 from ..operators import cadence as K
 from ..operators import findings as D
 from ..operators import gate as G
 from ..operators import identity as I
 from ..operators import fingerprints as P
-from .oracle_views import VIEWS, geo_of, glob_hit, lan, service_hit, view, with_views
+from ..operators import folds as Q
+from .oracle_views import geo_of, glob_hit, service_hit, view, with_views
 from .queries_network import TODAY
 from .registry import query
 
@@ -219,12 +218,9 @@ query("toggled_alerts",
       lambda v: G.enabled_only(_alerts(v), v.spark.sql("SELECT * FROM VALUES ('persistent_beacon', false), ('new_device', true) AS t(type, enabled)"))
       .groupBy("type").agg(F.count("*").alias("n")),
       with_views("", "summ", "egress").rstrip() + "," + _GATED + f" SELECT type, count(*) AS n FROM ({_ALERT_SQL}) WHERE type <> 'persistent_beacon' GROUP BY 1")
-_raw = lambda v: v.alerts.select(
-    F.lit("ids").alias("type"), F.when(F.col("priority") == 1, "high").otherwise("medium").alias("severity"),
-    F.col("src_ip").alias("device"), F.col("rule").alias("detail"), "ts")
 _by_device = lambda v: v.flows.select(
     F.col("event_type").alias("type"), F.when(F.col("k") % 3 == 0, "high").otherwise("medium").alias("severity"), F.lit("gw").alias("device"), F.lit("busy").alias("detail"), "ts")
-query("alert_dedup_batch", lambda v: G.dedup_alerts(_by_device(v)).select("type", "severity", "fingerprint", "sec"),
+query("alert_dedup_batch", lambda v: Q.dedup_alerts(_by_device(v)).select("type", "severity", "fingerprint", "sec"),
       with_views("""SELECT event_type AS type, CASE WHEN k % 3 = 0 THEN 'high' ELSE 'medium' END AS severity, CAST(floor(epoch(ts)) AS BIGINT) AS sec FROM flows""", "flows")
       .replace("WITH ", "WITH RECURSIVE ", 1).replace("SELECT event_type AS type, CASE WHEN k % 3", ", a AS (SELECT event_type AS type, CASE WHEN k % 3", 1)
       + """),
