@@ -240,9 +240,8 @@ def source_groups(candidates: DataFrame) -> DataFrame:
 
 
 def source_rows(candidates: DataFrame) -> DataFrame:
-    """Candidates with their place inside the source's list (eligible rows float to the top)."""
-    order = [F.desc("alert_eligible"), F.desc("days_seen"), F.asc_nulls_last("interval_cv"), "dst", "dst_port"]
-    return candidates.withColumn("place", F.row_number().over(Window.partitionBy("src").orderBy(*order)))
+    """Candidates source by source, eligible rows first (a range sort, so a busy source is split)."""
+    return candidates.orderBy("src", F.desc("alert_eligible"), F.desc("days_seen"), F.asc_nulls_last("interval_cv"), "dst", "dst_port")
 
 
 def hunt_digest(candidates: DataFrame, top: int = 10) -> DataFrame:

@@ -87,12 +87,12 @@ def hotlist(rows: DataFrame) -> DataFrame:
 
 
 def device_beacons(rows: DataFrame) -> DataFrame:
-    """Drill-down list: every row with its place inside its device and severity class."""
+    """Drill-down list: every row by device, severity class and score (a range sort, so a busy device is split)."""
     bucket = F.when(F.col("severity").isin("Critical", "High"), "high").when(F.col("severity") == "Medium", "med").when(
         F.col("severity") == "Low", "low").otherwise("other")
-    place = F.row_number().over(Window.partitionBy("src", "bucket").orderBy(F.desc("score"), "dst", "fqdn"))
-    return rows.withColumn("bucket", bucket).withColumn("place", place).select(
-        "src", "bucket", "place", "dst", "fqdn", "score", "conns", "service", "severity")
+    return rows.withColumn("bucket", bucket).select(
+        "src", "bucket", "dst", "fqdn", "score", "conns", "service", "severity"
+    ).orderBy("src", "bucket", F.desc("score"), "dst", "fqdn")
 
 
 def top_beacons(rows: DataFrame, min_score: float = C.TOP_BEACON_SCORE) -> DataFrame:
@@ -185,9 +185,10 @@ def new_beacons(
     )
     rank_map = F.create_map(*[F.lit(x) for kv in C.SEVERITY_RANK.items() for x in kv])
     rows = rows.withColumn("rank", F.coalesce(F.try_element_at(rank_map, F.col("severity")), F.lit(0)))
-    source = F.max(F.struct("rank", "score")).over(Window.partitionBy("src"))
-    ordered = rows.withColumn("_g", source).orderBy(
-        F.desc("_g.rank"), F.desc("_g.score"), "src", F.desc("rank"), F.desc("score"), "dest_key").limit(top)
+    rows = checkpoint(rows.select("src", "dest_key", "dst", "score", "service", "severity", "first_seen", "rank"))
+    # Only the first `top` sources can contribute to the first `top` rows.
+    lead = rows.groupBy("src").agg(F.max(F.struct("rank", "score")).alias("_g")).orderBy(F.desc("_g"), "src").limit(top)
+    ordered = rows.join(lead, "src").orderBy(F.desc("_g"), "src", F.desc("rank"), F.desc("score"), "dest_key").limit(top)
     w = Window.partitionBy("src")
     place = F.row_number().over(w.orderBy(F.desc("rank"), F.desc("score"), "dest_key"))
     return ordered.withColumn("_place", place).withColumn("group_first", F.col("_place") == 1).withColumn(

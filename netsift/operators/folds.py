@@ -9,11 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import catalogues as C
 from ..functions.flags import alert_fingerprint, alert_ttl_seconds
+from .skew import in_chunks
 
 # (state or None, rows of one key in time order) -> (new state, output rows)
 Fold = Callable[[tuple | None, pd.DataFrame], tuple[tuple, pd.DataFrame]]
@@ -108,8 +109,21 @@ def failure_fold(state, rows, threshold=C.FAILURE_THRESHOLD):
 
 
 def failure_alerts(probes: DataFrame) -> DataFrame:
-    """``probes(probe, sec, seq, ok)``; ``seq`` orders results of the same second."""
-    return walk_sorted(probes.select("probe", "sec", "seq", "ok"), "probe", ["sec", "seq"], failure_fold, FAIL_SCHEMA)
+    """``probes(probe, sec, seq, ok)``; ``seq`` orders results of the same second.
+
+    "The third failure in a row" only looks three rows back, so over a table it is a window on
+    overlapping chunks and a busy probe is spread over many tasks.
+    """
+    n = C.FAILURE_THRESHOLD
+    rows = probes.select("probe", "sec", "seq", "ok")
+    spread = in_chunks(rows, "probe", ["sec", "seq"], F.floor(F.col("sec") / 3600), n)
+    w = Window.partitionBy("probe", "chunk").orderBy("no")
+    streak = ~F.col("ok")
+    for back in range(1, n):
+        streak = streak & ~F.coalesce(F.lag("ok", back).over(w), F.lit(True))
+    fresh = F.coalesce(F.lag("ok", n).over(w), F.lit(True))
+    fired = spread.withColumn("_fire", streak & fresh)
+    return fired.where((F.col("chunk") == F.col("home")) & F.col("_fire")).select("probe", "sec")
 
 
 # -- sustained load ---------------------------------------------------------------------------------
@@ -132,6 +146,10 @@ def gauge_fold(state, rows, threshold=C.GAUGE_THRESHOLD, reset=C.GAUGE_RESET_BEL
 
 
 def gauge_alerts(means: DataFrame) -> DataFrame:
-    """``means(host, time, event_id, mean, short_mean)`` from ``telemetry.rolling_mean``."""
+    """``means(host, time, event_id, mean, short_mean)`` from ``telemetry.rolling_mean``.
+
+    Only samples over the line can alert, so only those reach the walk.
+    """
+    means = means.where(F.col("mean") >= C.GAUGE_THRESHOLD)
     rows = means.select("host", F.unix_timestamp("time").alias("sec"), "event_id", "mean", "short_mean")
     return walk_sorted(rows, "host", ["sec", "event_id"], gauge_fold, GAUGE_SCHEMA)

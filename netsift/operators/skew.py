@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SALTS = 16
+CHUNK = 4096
 
 
 def salted_semi(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, salts: int = SALTS) -> DataFrame:
@@ -21,8 +22,21 @@ def salted_semi(left: DataFrame, right: DataFrame, keys: list[str], spread: Colu
     return salted.join(keys_only, [*keys, "_salt"], "left_semi").drop("_salt")
 
 
-def salted_left(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, salts: int = SALTS) -> DataFrame:
-    """Left join to a one-row-per-key table, spread the same way."""
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*keys, "_salt"], "left").drop("_salt")
+def in_chunks(rows: DataFrame, key: str, order: list[str], coarse: Column, overlap: int, chunk: int = CHUNK) -> DataFrame:
+    """Number each key's rows along ``order`` and cut them into chunks that overlap, so that a window
+    of up to ``overlap`` earlier rows can be taken per (key, chunk) instead of per key.
+
+    Adds ``no`` (1-based), ``chunk`` and ``home``; a row counts where ``chunk = home``, its other copy
+    only serves the next chunk. ``coarse`` is a bucket that grows with ``order`` (an hour): numbers
+    come from bucket counts plus the place inside the bucket, so no step sorts a whole key.
+    """
+    rows = rows.withColumn("_coarse", coarse)
+    counts = rows.groupBy(key, "_coarse").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(key).orderBy("_coarse").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(key, "_coarse", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy(key, "_coarse").orderBy(*order))
+    numbered = rows.join(starts, [key, "_coarse"]).withColumn("no", F.col("_start") + inside).drop("_coarse", "_start")
+    home = F.floor((F.col("no") - 1) / chunk)
+    serves_next = (F.col("no") - 1) % chunk >= chunk - overlap
+    copies = F.when(serves_next, F.array(home, home + 1)).otherwise(F.array(home))
+    return numbered.withColumn("home", home).withColumn("chunk", F.explode(copies))

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import catalogues as C
-
-_CHUNK = 4096
+from .skew import CHUNK, in_chunks
 
 
 def hourly(t: DataFrame) -> DataFrame:
@@ -46,22 +45,15 @@ def duty(t: DataFrame, flag: str, other: str) -> DataFrame:
     return j.withColumn("transitions_per_hour", F.col("transitions") / (F.col("samples") / 60.0))
 
 
-def rolling_mean(t: DataFrame, gauge: str = "cpu_pct", window: int = C.GAUGE_WINDOW, reset: int = C.GAUGE_RESET_WINDOW) -> DataFrame:
+def rolling_mean(t: DataFrame, gauge: str = "cpu_pct", window: int = C.GAUGE_WINDOW, reset: int = C.GAUGE_RESET_WINDOW,
+                 chunk: int = CHUNK) -> DataFrame:
     """Mean of the last 60 (and 30) samples per host, once 60 exist.
 
-    Samples are numbered per host from hour counts, cut into chunks with the needed overlap, and
-    averaged per chunk: a host with most of the samples is spread over many tasks.
+    Computed per chunk of a host's samples, so a host with most of the samples is spread over many tasks.
     """
     order = ["time", "event_id"]
-    rows = t.where(F.col(gauge).isNotNull()).select("host", *order, gauge, F.date_trunc("hour", "time").alias("hour"))
-    counts = rows.groupBy("host", "hour").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("host").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select("host", "hour", before.alias("start"))
-    number = F.col("start") + F.row_number().over(Window.partitionBy("host", "hour").orderBy(*order))
-    numbered = rows.join(starts, ["host", "hour"]).withColumn("no", number)
-    home = F.floor((F.col("no") - 1) / _CHUNK)
-    copies = F.when((F.col("no") - 1) % _CHUNK > _CHUNK - window, F.array(home, home + 1)).otherwise(F.array(home))
-    spread = numbered.withColumn("home", home).withColumn("chunk", F.explode(copies))
+    rows = t.where(F.col(gauge).isNotNull()).select("host", *order, gauge)
+    spread = in_chunks(rows, "host", order, F.date_trunc("hour", "time"), window - 1, chunk)
     w = Window.partitionBy("host", "chunk").orderBy("no")
     means = spread.withColumn("mean", F.avg(gauge).over(w.rowsBetween(1 - window, 0))).withColumn(
         "short_mean", F.avg(gauge).over(w.rowsBetween(1 - reset, 0)))

@@ -101,7 +101,7 @@ SELECT src, count(*) FILTER (severity IN ('Critical', 'High')) AS high, count(*)
   count(*) FILTER (severity = 'Low') AS low, count(*) AS total, max(score) AS max_score, any_value(top_dests) AS top_dests
 FROM live JOIN tp USING (src) GROUP BY src""")
 query("device_beacons", lambda v: D.device_beacons(_live(v)),
-      with_views("""SELECT src, bucket, CAST(row_number() OVER (PARTITION BY src, bucket ORDER BY score DESC, dst, fqdn) AS INTEGER) AS place, dst, fqdn, score, conns, service, severity
+      with_views("""SELECT src, bucket, dst, fqdn, score, conns, service, severity
 FROM (SELECT *, CASE WHEN severity IN ('Critical', 'High') THEN 'high' WHEN severity = 'Medium' THEN 'med' WHEN severity = 'Low' THEN 'low' ELSE 'other' END AS bucket FROM live)""", "live"))
 query("top_beacons", lambda v: D.top_beacons(_live(v)),
       with_views(f"""SELECT src, dest_key, score, dst, conns, service, severity FROM (SELECT *, {_DEST} AS dest_key FROM live WHERE score >= 0.8 AND is_recent)

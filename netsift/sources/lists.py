@@ -29,7 +29,7 @@ def leases(spark: SparkSession, paths) -> DataFrame:
 
 def suppression_rules(spark: SparkSession, path: str) -> DataFrame:
     """The suppression document as ``(kind, ord, pattern, reason)``; an unversioned flat map lists devices."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     doc = F.from_json("value", F.lit(T.REGISTRY))
     flat = F.from_json("value", F.lit("map<string, string>"))
     has_version = F.get_json_object("value", "$.version").isNotNull()
@@ -63,7 +63,7 @@ def service_endpoints(spark: SparkSession, path: str, area: str = "Skype") -> Da
     schema = "serviceArea string, ips array<string>, urls array<string>"
     rows = spark.read.schema(schema).option("multiLine", True).json(path).where(F.col("serviceArea") == area)
     nets = rows.select(F.explode("ips").alias("value")).where("not contains(value, ':')").withColumn("kind", F.lit("cidr"))
-    urls = rows.select(F.lower(F.trim(F.explode("urls"))).alias("value")).where("value <> ''")
+    urls = rows.select(F.explode("urls").alias("u")).select(F.lower(F.trim("u")).alias("value")).where("value <> ''")
     wild = F.col("value").startswith("*.")
     names = urls.select(
         F.when(wild, F.expr("substring(value, 2)")).otherwise(F.col("value")).alias("value"), F.when(wild, "suffix").otherwise("exact").alias("kind"))
@@ -116,8 +116,8 @@ def scan_results(spark: SparkSession, paths) -> DataFrame:
 
 def telemetry_days(spark: SparkSession, paths) -> DataFrame:
     """Telemetry files ``{date, records}`` or a bare list of records, one row per sample."""
-    text = spark.read.option("wholetext", True).text(paths)
-    records = StructuredRecords
+    text = spark.read.text(paths, wholetext=True)
+    records = _RECORDS
     doc = F.from_json("value", F.lit(T.TELEMETRY))["records"]
     bare = F.from_json("value", F.lit(records))
     is_list = F.trim("value").startswith("[")
@@ -126,7 +126,7 @@ def telemetry_days(spark: SparkSession, paths) -> DataFrame:
 
 
 # the type of a bare record list: what follows "records " in the document schema
-StructuredRecords = T.TELEMETRY.split("records ", 1)[1]
+_RECORDS = T.TELEMETRY.split("records ", 1)[1]
 
 
 def mime_extensions(spark: SparkSession, path: str) -> DataFrame:

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 def last_existing_days(df: DataFrame, n: int, day: str = "day") -> DataFrame:
     """The last ``n`` days that have data, numbered 0 (oldest) .. n-1.
 
-    On a table partitioned by day this reads partition values only. The result has at most ``n`` rows.
+    On a table partitioned by day this reads partition values only. The result has at most ``n``
+    rows by its limit, so it is safe to broadcast: flows are never shuffled by day.
     """
     days = df.select(day).distinct().orderBy(F.desc(day)).limit(n)
     listed = F.sort_array(F.collect_list(day))
-    return days.agg(listed.alias("_days")).select(F.posexplode("_days").alias("day_no", day))
+    return F.broadcast(days.agg(listed.alias("_days")).select(F.posexplode("_days").alias("day_no", day)))
 
 
 def in_last_existing_days(df: DataFrame, n: int, day: str = "day") -> DataFrame:
