@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import ip as IP
 from ..operators import ranges as R
 from ..operators import suppress as S
-from ..session import prepare
+from ..session import prepare, spread
 from . import reference_lists as L
 
 
@@ -47,6 +47,9 @@ _SERVICES = {
 }
 
 
+_FACTS = ("events", "orders", "lineitem")
+
+
 def _by_type(values: dict) -> Column:
     out = None
     for name, value in values.items():
@@ -63,7 +66,8 @@ class Views:
         self.spark, self.dir = prepare(spark), sf_dir
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return spread(df, df.columns[0]) if name in _FACTS else df
 
     def listed(self, name: str) -> DataFrame:
         columns, rows = L.LISTS[name]

@@ -25,6 +25,19 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_FULL_TASK_BYTES = 32 << 20
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread a small file over all cores by its key; a table that fills them already stays as it is.
+
+    A file of a few row groups is read by as few tasks, which would then do all the work that follows.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores, key) if size < cores * _FULL_TASK_BYTES else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: what the cluster names in ``spark.checkpoint.dir``.
 
