@@ -48,7 +48,7 @@ def finding_flag(
     ).otherwise(F.concat(query, F.lit(" → "), col(dest)))
     unnamed = (score_ >= 0.97) & (F.coalesce(F.trim(col(fqdn)), F.lit("")) == "") & IP.vendor_net(dst).isNull()
     if skip_benign_names:
-        unnamed = unnamed & N.benign_vendor(dst).isNull()
+        unnamed = unnamed & ~N.is_benign_name(dst)
     unnamed_msg = F.concat(F.lit("Score "), _fixed(score_, 3), F.lit(" beacon to unnamed IP (no FQDN)"))
 
     def flag(kind: str, msg: Column) -> Column:

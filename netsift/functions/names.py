@@ -23,10 +23,18 @@ def clean_name(c) -> Column:
 
 
 def has_suffix(c, suffixes: list[str]) -> Column:
-    """Lower-cased name equals a suffix or ends with ``.`` + suffix."""
+    """Lower-cased name equals a suffix or ends with ``.`` + suffix.
+
+    Both mean that the name's last labels are the suffix, so each length is one set test.
+    """
     name = F.lower(F.trim(col(c)))
-    pattern = r"(^|\.)(" + "|".join(re.escape(s) for s in suffixes) + r")$"
-    return F.coalesce(name.rlike(pattern), F.lit(False))
+    by_length: dict[int, list[str]] = {}
+    for s in suffixes:
+        by_length.setdefault(s.count(".") + 1, []).append(s)
+    test = F.lit(False)
+    for n, group in sorted(by_length.items()):
+        test = test | F.substring_index(name, ".", -n).isin(group)
+    return F.coalesce(test, F.lit(False))
 
 
 def sni_matches(c, exact: list[str], suffixes: list[str]) -> Column:
@@ -113,6 +121,11 @@ def benign_vendor(c) -> Column:
     return first_label(c, C.BENIGN_VENDORS)
 
 
+def is_benign_name(c) -> Column:
+    """Does any benign vendor pattern match? One pattern instead of a chain."""
+    return F.coalesce(col(c).rlike("(?i)" + "|".join(f"(?:{rx})" for rx, _ in C.BENIGN_VENDORS)), F.lit(False))
+
+
 def registrable_pattern(c) -> Column:
     """Default suppression pattern of a name: ``*.`` + its registrable domain."""
     name = F.lower(clean_name(c))

@@ -210,8 +210,8 @@ def summary_rows(findings: DataFrame, geo: DataFrame, registry: Registry) -> Dat
     )
     rows = with_ranges(rows.where(IP.is_v4(F.trim("src"))), "dst", geo, ["org", "city", "cc"], ips=findings)
     rows = rows.withColumn("dest", N.annotate_dest("target", "org", "city", "cc"))
-    name_ok = N.benign_vendor("dest").isNotNull() | N.is_safe_org("org")
-    return rows.withColumn("user_safe", name_ok).withColumn("benign", name_ok | IP.vendor_net("dst").isNotNull())
+    rows = rows.withColumn("user_safe", N.is_benign_name("dest") | N.is_safe_org("org"))
+    return rows.withColumn("benign", F.col("user_safe") | IP.in_cidrs("dst", [c for c, _ in C.VENDOR_NETS]))
 
 
 def summary_severity(rows: DataFrame) -> DataFrame:
@@ -252,7 +252,7 @@ def likely_benign(rows: DataFrame) -> DataFrame:
     ])
     first = dests.groupBy("src").agg(F.min(order).alias("label_no")).where(F.col("label_no").isNotNull())
     names = F.array(*[F.lit(label) for _, label in C.DEVICE_KEYWORDS])
-    vendor = top_per(dests.where(N.benign_vendor("dest").isNotNull()), ["src"], ["dest"], 3).groupBy("src").agg(
+    vendor = top_per(dests.where(N.is_benign_name("dest")), ["src"], ["dest"], 3).groupBy("src").agg(
         F.array_join(F.sort_array(F.collect_list("dest")), ", ").alias("evidence"))
     return first.join(vendor, "src", "left").select(
         "src", F.get(names, F.col("label_no")).alias("label"), F.coalesce("evidence", F.lit("")).alias("evidence"))

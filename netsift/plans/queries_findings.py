@@ -134,9 +134,9 @@ SELECT src, flag, score, n_dests, CASE WHEN n_dests <= 3 THEN array_to_string(l,
   CASE WHEN flag = 'vendor-telemetry' THEN vs || ' telemetry (' || conns || ' conns)' WHEN flag = 'dns' AND n > 1 THEN 'Excessive DNS: ' || conns || ' total queries' ELSE m END AS flag_str
 FROM dd JOIN ms USING (src, flag)"""
 query("investigate", lambda v: D.investigate(D.flagged(_live(v))), with_views("", "flagged").rstrip() + "," + _INV)
-query("investigate_ja4", lambda v: P.modal_print(v.ssl, D.flagged(_live(v)).select("src", "flag", "dst")),
-      with_views("", "flagged", "ssl").rstrip() + """,
-  n AS (SELECT p.src, p.flag, ja4, count(*) AS n FROM (SELECT DISTINCT src, flag, dst FROM flagged) p JOIN ssl ON ssl.src = p.src AND ssl.dst = p.dst GROUP BY ALL)
+query("modal_ja4", lambda v: P.modal_print(v.ssl, v.conn.select("src", F.col("service").alias("flag"), "dst")),
+      with_views("", "conn", "ssl").rstrip() + """,
+  n AS (SELECT p.src, p.flag, ja4, count(*) AS n FROM (SELECT DISTINCT src, service AS flag, dst FROM conn) p JOIN ssl ON ssl.src = p.src AND ssl.dst = p.dst GROUP BY ALL)
 SELECT src, flag, arg_max(ja4, (n, ja4)) AS ja4, max(n) AS ja4_count FROM n GROUP BY src, flag""")
 query("beaconing_devices", lambda v: D.beaconing_devices(_live(v)), with_views("SELECT count(DISTINCT src) AS devices FROM live", "live"))
 _LISTED = f"""src <> '::' AND NOT regexp_matches(lower(fqdn), {_suffix_rx(C.SAFE_SUFFIXES)}) AND coalesce(org, '') NOT IN {SAFE}"""

@@ -32,7 +32,7 @@ view("rbase", """
 _CH = "list_transform(b.ja4s, lambda x: split_part(x, '_', 2))"
 view("rsig", f"""
   SELECT *, CASE len(signals) WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS severity FROM (
-    SELECT r.*, n.new_ja4s, list_filter([CASE WHEN duration_sec > 3000 AND NOT (len(snis) > 0 AND len(list_filter(snis, lambda s: s LIKE '%.trouter.teams.microsoft.com')) = len(snis)) THEN 'long-flow' END,
+    SELECT r.*, n.new_ja4s, list_filter([CASE WHEN duration_sec > 500 AND NOT (len(snis) > 0 AND len(list_filter(snis, lambda s: s LIKE '%.trouter.teams.microsoft.com')) = len(snis)) THEN 'long-flow' END,
       CASE WHEN proto = 'udp' AND duration_sec >= 300 AND ip_bytes / greatest(duration_sec, 1) < 30000 / 8 THEN 'low-bw' END,
       CASE WHEN len(n.new_ja4s) > 0 THEN 'new-JA4' END], lambda x: x IS NOT NULL) AS signals
     FROM rflows r JOIN rbase b ON b.src = r.src AND b.seeded,
@@ -40,9 +40,9 @@ view("rsig", f"""
     WHERE r.day > DATE '2024-01-10') WHERE len(signals) > 0""", "rflows", "rbase")
 _flows = lambda v: Y.relay_flows(v.conn, v.ssl, v.registry)
 # The baseline is learned on the first ten days and used on the rest. Flows here are shorter than real
-# calls, so "long" starts at 50 minutes.
+# calls, so "long" starts at 500 seconds.
 _base = lambda v: Y.update_baseline(_flows(v).where("day <= '2024-01-10'"), Y.update_baseline(_flows(v).where("day <= '2024-01-10'"), None, "2024-01-10"), "2024-01-11")
-_sig = lambda v: Y.signals(_flows(v).where("day > '2024-01-10'"), _base(v), max_hours=3000 / 3600)
+_sig = lambda v: Y.signals(_flows(v).where("day > '2024-01-10'"), _base(v), max_hours=500 / 3600)
 query("relay_flows", lambda v: _joined(_text(_flows(v).withColumn("duration_sec", F.round("duration_sec", 4)), "day"), "snis", "ja4s"),
       with_views("""SELECT * REPLACE (CAST(day AS VARCHAR) AS day, round(duration_sec, 4) AS duration_sec, array_to_string(snis, ',') AS snis,
   array_to_string(ja4s, ',') AS ja4s) FROM rflows""", "rflows"))
@@ -117,10 +117,10 @@ FROM (SELECT * REPLACE (CAST(date_trunc('week', day) AS DATE) AS day) FROM http)
 GROUP BY h.day, src, dst""", "http"))
 query("rare_signatures", lambda v: _text(Z.rare_signatures(v.ssl), "day"),
       with_views("SELECT DISTINCT CAST(day AS VARCHAR) AS day, src, dst, 0.15::DOUBLE AS modifier FROM ssl WHERE ja4 IN (SELECT ja4 FROM ssl GROUP BY ja4 HAVING count(DISTINCT src) = 1)", "ssl"))
-query("direct_to_c2", lambda v: _text(Z.direct_to_c2(_week(v.conn), v.dns, Z.c2_over_dns(_week(v.dns), {"base": 3, "low": 5, "medium": 8, "high": 10}).where("level = 'base'")), "day"),
+query("direct_to_c2", lambda v: _text(Z.direct_to_c2(_week(v.conn), v.dns, Z.c2_over_dns(_week(v.dns), {"base": 3, "low": 5, "medium": 8, "high": 10}).where("level <> 'none'")), "day"),
       with_views("", "wk", "dns").rstrip() + """,
   dm AS (SELECT *, regexp_extract(lower(query), '([^.]+\\.(co\\.uk|[^.]+))$', 1) AS domain FROM dns),
-  su AS (SELECT DISTINCT domain FROM (SELECT CAST(date_trunc('week', day) AS DATE) AS w, domain, count(DISTINCT lower(query)) AS n FROM dm WHERE query NOT LIKE '%.in-addr.arpa' GROUP BY 1, 2) WHERE n >= 3 AND n < 5)
+  su AS (SELECT DISTINCT domain FROM (SELECT CAST(date_trunc('week', day) AS DATE) AS w, domain, count(DISTINCT lower(query)) AS n FROM dm WHERE query NOT LIKE '%.in-addr.arpa' GROUP BY 1, 2) WHERE n >= 3)
 SELECT DISTINCT CAST(day AS VARCHAR) AS day, src, dst, 0.15::DOUBLE AS modifier FROM wk WHERE dst IN (SELECT unnest(answers) FROM dm WHERE domain IN (SELECT domain FROM su))""")
 query("final_score",
       lambda v: _text(_r(Z.apply_modifiers(Z.beacon_scores(_week(v.conn)), (Z.prevalence(_week(v.conn)), ["day", "dst"]), (Z.first_seen(v.conn, "2024-02-02"), ["dst"]))
