@@ -47,7 +47,8 @@ def annotated(value: str) -> str:
 view("fgeo", f"""SELECT dst, {geo_of('dst', 'org')} AS org, {geo_of('dst', 'city')} AS city, {geo_of('dst', 'cc')} AS cc
   FROM (SELECT DISTINCT dst FROM findings WHERE dst <> '::')""", "findings", "l_geo")
 view("dedup", """
-  SELECT f.* EXCLUDE (rn), is_recent FROM (SELECT *, row_number() OVER (PARTITION BY src, dst, fqdn ORDER BY score DESC, day DESC, finding_id DESC, line_no DESC) AS rn FROM findings) f
+  SELECT f.* EXCLUDE (rn), is_recent FROM (SELECT *, row_number() OVER (PARTITION BY src, dst, fqdn ORDER BY score DESC, day DESC, finding_id DESC, line_no DESC, severity DESC, strobe DESC,
+      threat_intel DESC, conns DESC, total_bytes DESC, service DESC, first_seen DESC) AS rn FROM findings) f
   JOIN (SELECT src, dst, fqdn, bool_or(day IN (SELECT DISTINCT day FROM findings ORDER BY day DESC LIMIT 3)) AS is_recent FROM findings GROUP BY ALL) USING (src, dst, fqdn)
   WHERE rn = 1""", "findings")
 
@@ -150,7 +151,7 @@ query("new_beacons", lambda v: D.new_beacons(v.findings, v.geo, _ident(v), v.reg
       with_views("", "findings", "fgeo", "fp_devices", "l_rules", "identity").rstrip() + f""",
   dy AS (SELECT DISTINCT day FROM findings ORDER BY day DESC LIMIT 8),
   nw AS (SELECT *, {_DEST} AS dest_key FROM findings LEFT JOIN fgeo USING (dst) WHERE day = (SELECT max(day) FROM dy) AND {_LISTED}),
-  b AS (SELECT * FROM nw QUALIFY row_number() OVER (PARTITION BY src, dest_key ORDER BY score DESC, finding_id DESC, line_no DESC) = 1),
+  b AS (SELECT * FROM nw QUALIFY row_number() OVER (PARTITION BY src, dest_key ORDER BY score DESC, finding_id DESC, line_no DESC, dst DESC, fqdn DESC, service DESC, severity DESC, first_seen DESC) = 1),
   k AS (SELECT b.*, CASE severity WHEN 'Critical' THEN 4 WHEN 'High' THEN 3 WHEN 'Medium' THEN 2 WHEN 'Low' THEN 1 ELSE 0 END AS rk
     FROM b LEFT JOIN identity i ON i.dst = b.dst WHERE b.src NOT IN (SELECT ip FROM fp_devices) AND NOT {service_hit('b.service')}
     AND NOT {glob_hit('b.fqdn', 'domains')} AND NOT {glob_hit('b.dst', 'domains')} AND NOT {glob_hit("(CASE WHEN b.fqdn = '' THEN i.name END)", 'domains')}
