@@ -6,9 +6,13 @@ documents of a and b shingles can only be linked when they share at least ``3 (a
 common shingle stands among the first ``a / 4 + 1`` of the one and the first ``b / 7 + 1`` of the smaller other, under
 any fixed order of shingles, and only those entries enter the product. Frequent shingles come last in that order.
 
-Links are exact: what the product proposes is verified on the whole shingle sets. Connected classes are the result, so
-pairs that verified links already connect are not proposed again: the first pass only multiplies neighbours of a
-shingle's column, the second one all pairs of documents that are still in different components.
+What the product proposes must first pass a bound that is exact as well: each set has a parity sketch (every shingle
+flips one of 2,048 bits), and two sets differ in at least as many shingles as their sketches differ in bits. What is
+left is verified on the whole shingle sets, so links are exact.
+
+Connected classes are the result, so pairs that verified links already connect are not proposed again: the first
+passes multiply near neighbours in the columns of a set's first shingles and verify each set's most similar partners,
+the last pass all pairs of documents that are still in different components.
 
 Rows: null or wordless texts have an empty set and link with nothing; a text with fewer words than the width is one
 shingle of its whole word sequence; equal sets are one class that enters the product once; repeated rows (also of one
@@ -23,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import column, components, mix, store, windows, word_hashes
@@ -32,6 +36,10 @@ WIDTH = 5
 CENSUS_SLOTS = 1 << 22  # fixed size of the table of frequent shingles that tasks share: 4 MB
 _CENSUS_CHUNK = 2_000_000  # shingles that a task counts at a time
 _FREQUENT = 8  # occurrences in different classes of one chunk
+_BITS = 2048  # of a sketch
+_FIRST = 8  # columns of a set that the first passes look at
+_PASSES = 2  # first passes
+_PARTNERS = 3  # that a first pass verifies for each set
 _SALT = 400  # members that meet one copy of their block's leader
 
 
@@ -55,12 +63,18 @@ def _class_id(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-_SETS = "doc_id long, n_shingles long, cls long, slot long, seen long"
+def _sketch(shingles: np.ndarray) -> list[int]:
+    """The bits that an odd number of shingles falls on, as 64-bit numbers."""
+    odd = np.bincount((shingles >> np.uint64(20)).astype(np.int64) & (_BITS - 1), minlength=_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
+_SETS = "doc_id long, n_shingles long, cls long, sketch array<long>, slot long, seen long"
 
 
 def _sets_and_census(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.int64()), ("slot", pa.int64()), ("seen", pa.int64())])
+        schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.int64()), ("sketch", pa.list_(pa.int64())), ("slot", pa.int64()), ("seen", pa.int64())])
         held: list[np.ndarray] = []
         classes: set[int] = set()
         size = 0
@@ -70,13 +84,14 @@ def _sets_and_census(width: int):
             often = seen >= _FREQUENT
             slot = (tokens[often] % np.uint64(CENSUS_SLOTS)).astype(np.int64)
             none = pa.nulls(len(slot), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, pa.array(slot), pa.array(seen[often].astype(np.int64))], schema=schema)
+            return pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(slot), pa.list_(pa.int64())), pa.array(slot), pa.array(seen[often].astype(np.int64))], schema=schema)
 
         for batch in batches:
-            ids, n, cls = column(batch, "doc_id"), [], []
+            ids, n, cls, sketch = column(batch, "doc_id"), [], [], []
             for own in shingle_sets(column(batch, "text"), width):
                 n.append(len(own))
                 cls.append(_class_id(own) if len(own) else None)
+                sketch.append(_sketch(own) if len(own) else None)
                 if len(own) and cls[-1] not in classes:
                     classes.add(cls[-1])
                     held.append(own)
@@ -85,7 +100,7 @@ def _sets_and_census(width: int):
                         yield census()
                         held, classes, size = [], set(), 0
             none = pa.nulls(len(ids), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), none, none], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sketch, pa.list_(pa.int64())), none, none], schema=schema)
         if held:
             yield census()
 
@@ -122,47 +137,33 @@ def _postings(width: int, percent: int, frequency):
     return run
 
 
-_SHARED = "token long, cls long, n int, pos int, prev long, prev_n int, prev_pos int"
-
-
 def _shared_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of entries sorted by (token, n, cls): those of tokens that two classes at least have, each with the one before."""
+    """Of entries sorted by (token, n, cls): those of tokens that at least two classes have."""
     names = ["token", "cls", "n", "pos"]
-    schema = pa.schema([("token", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("prev", pa.int64()), ("prev_n", pa.int32()), ("prev_pos", pa.int32())])
-    tail: list[np.ndarray] | None = None  # the last entry so far; not given out yet while it stands alone
-    open_ = False  # whether the tail is already known to share its token
-
-    def give(cols, keep, has):
-        token, cls, n, pos = cols
-        shift = [np.concatenate((x[:1], x[:-1])) for x in (cls, n, pos)]
-        mask = ~has[keep]
-        own = [pa.array(x[keep]) for x in cols]
-        return pa.RecordBatch.from_arrays(own + [pa.array(x[keep], mask=mask) for x in shift], schema=schema)
-
+    tail: list[np.ndarray] | None = None  # the last entry so far
+    given = False  # whether it has been given out
     for batch in batches:
         cols = [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in names]
         if tail is not None:
             cols = [np.concatenate((t, c)) for t, c in zip(tail, cols)]
         if not len(cols[0]):
             continue
-        fresh = np.ones(len(cols[0]), bool)  # a copy of a class: same token, size and class as the row before
+        fresh = np.ones(len(cols[0]), bool)  # a copy of a class has the token, size and class of the row before
         fresh[1:] = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])
         cols = [c[fresh] for c in cols]
         same = np.zeros(len(cols[0]), bool)
         same[1:] = cols[0][1:] == cols[0][:-1]
         shares = same.copy()
         shares[:-1] |= same[1:]
-        if open_:
-            shares[0] = False  # already given out
-        last = len(cols[0]) - 1
-        if open_ and last == 0:
-            tail = [c[-1:] for c in cols]
-            continue
-        shares[last] &= same[last]  # else not known yet
-        keep = np.flatnonzero(shares)
-        if len(keep):
-            yield give(cols, keep, same)
-        open_ = bool(same[last])
+        shares[0] &= not given
+        last = len(same) - 1
+        if last:
+            shares[last] &= same[last]  # else not known yet
+            given = bool(same[last])
+        elif not given:
+            shares[0] = False
+        if shares.any():
+            yield pa.RecordBatch.from_arrays([pa.array(c[shares]) for c in cols], names=names)
         tail = [c[-1:] for c in cols]
 
 
@@ -263,6 +264,29 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return blocks.mapInArrow(_verify(width, percent), "a long, b long")
 
 
+def _texts(docs: DataFrame, ids: DataFrame, pairs: DataFrame) -> DataFrame:
+    """cls, text of the classes in ``pairs``.
+
+    Only texts whose id falls on a wanted slot are shuffled; there are CENSUS_SLOTS slots at most, so the broadcast
+    stays small and only thins less when it fills up.
+    """
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(CENSUS_SLOTS)).alias("slot")
+    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct().join(ids, "cls")
+    thin = docs.where("text is not null").select("doc_id", "text", slot).join(F.broadcast(wanted.select(slot).distinct()), "slot", "left_semi")
+    own = thin.select(F.col("doc_id").alias("own"), "text")
+    return store(wanted.join(own, F.col("doc_id").eqNullSafe(F.col("own"))).select("cls", "text"), "texts")
+
+
+def _possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs (a, b) that their sizes and sketches allow, with ``off``: sketch bits that differ, per shingle."""
+    first = sketches.select(F.col("cls").alias("a"), F.col("n").alias("a_n"), F.col("sketch").alias("a_sketch"))
+    second = sketches.select(F.col("cls").alias("b"), F.col("n").alias("b_n"), F.col("sketch").alias("b_sketch"))
+    bits = F.aggregate(F.zip_with("a_sketch", "b_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    both = pairs.join(first, "a").join(second, "b").select("a", "b", "a_n", "b_n", bits.alias("bits"))
+    both = both.where("7 * bits <= a_n + b_n and 3 * a_n <= 4 * b_n and 3 * b_n <= 4 * a_n")
+    return both.select("a", "b", (F.col("bits") / (F.col("a_n") + F.col("b_n"))).alias("off"))
+
+
 def classes(spark: SparkSession, documents: DataFrame, width: int = WIDTH, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id of every document; ``percent`` of at least 75 is the Jaccard threshold."""
     if percent < 75:
@@ -277,28 +301,39 @@ def classes(spark: SparkSession, documents: DataFrame, width: int = WIDTH, perce
     frequency = spark.sparkContext.broadcast(level)
 
     entries = docs.mapInArrow(_postings(width, percent, frequency), "token long, cls long, n int, pos int")
-    shared = store(entries.repartition("token").sortWithinPartitions("token", "n", "cls").mapInArrow(_shared_columns, _SHARED), "shared")
-
-    ids = sets.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    wanted = shared.select("cls").distinct().join(ids, "cls")
-    texts = store(wanted.join(docs.where("text is not null").withColumnRenamed("doc_id", "own"), F.col("doc_id").eqNullSafe(F.col("own"))).select("cls", "text"), "texts")
-
-    # First pass: neighbours in a column, for each class the partner with the most common entries.
-    near = shared.where("prev is not null and 4 * prev_n >= 3 * n").groupBy("cls", "prev").count()
-    best = near.groupBy("cls").agg(F.max_by("prev", F.struct("count", "prev")).alias("a")).select("a", F.col("cls").alias("b"))
-    links = store(_verified(best, texts, width, percent), "links")
-    joined = store(components(spark, links), "joined")
-
-    # Second pass: every pair that the bounds allow and that is not connected yet.
-    known = shared.select("token", "cls", "n", "pos").join(joined, F.col("cls") == F.col("node"), "left").select("token", "cls", "n", "pos", F.coalesce("component", "cls").alias("comp"))
-    known = store(known, "known")
+    shared = store(entries.repartition("token").sortWithinPartitions("token", "n", "cls").mapInArrow(_shared_columns, "token long, cls long, n int, pos int"), "shared")
+
+    ids = store(sets.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id")), "ids")
+    sketches = both.where("cls is not null").select("cls", F.col("n_shingles").alias("n"), "sketch")
+    sketches = store(sketches.join(shared.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"]), "sketches")
+
+    # First passes: for each class the partners with the most similar sketches among its neighbours in a few columns.
+    joined = spark.createDataFrame([], "node long, component long")
+    rank = F.row_number().over(Window.partitionBy("cls").orderBy(F.xxhash64("token"), "token"))
+    near = store(shared.select("token", "cls", rank.alias("rank")).where(F.col("rank") <= _FIRST).select("token", "cls"), "near")
+    for turn in range(_PASSES):
+        known = near.join(joined, F.col("cls") == F.col("node"), "left").select("token", "cls", F.coalesce("component", "cls").alias("comp"))
+        column_ = Window.partitionBy("token").orderBy(F.xxhash64("token", "cls", F.lit(turn)), "cls")
+        steps = [F.struct(F.lag("cls", k).over(column_).alias("a"), F.lag("comp", k).over(column_).alias("a_comp")) for k in (1, 2, 4)]
+        pairs = known.select("cls", "comp", F.array(*steps).alias("steps")).select("cls", "comp", F.explode("steps").alias("s"))
+        pairs = pairs.where("s.a is not null and s.a_comp <> comp").select(F.least("cls", "s.a").alias("a"), F.greatest("cls", "s.a").alias("b")).distinct()
+        likely = _possible(pairs, sketches)
+        best = likely.groupBy("b").agg(F.slice(F.array_sort(F.collect_set(F.struct("off", "a"))), 1, _PARTNERS).alias("best"))  # 3 * _FIRST partners at most
+        pairs = store(best.select(F.explode("best.a").alias("a"), "b"), "pairs")
+        links = _verified(pairs, _texts(docs, ids, pairs), width, percent)
+        links = links.union(joined.select(F.col("component").alias("a"), F.col("node").alias("b")))
+        joined = store(components(spark, links), "joined")
+
+    # Last pass: every pair that the bounds allow and that is not connected yet.
+    known = shared.join(joined, F.col("cls") == F.col("node"), "left").select("token", "cls", "n", "pos", F.coalesce("component", "cls").alias("comp"))
     mixed = known.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
     cross = known.join(mixed, "token").repartition("token").sortWithinPartitions("token", "n", "cls").mapInArrow(_cross_pairs, _PAIRS)
     pairs = cross.groupBy("a", "b").agg(F.sum("shared").alias("shared"), *[F.max(c).alias(c) for c in ("a_n", "b_n", "a_pos", "b_pos")])
     # common entries so far, and at most all that follow the last common one
     pairs = pairs.where("7 * (shared + least(a_n - a_pos, b_n - b_pos) - 1) >= 3 * (a_n + b_n)").select("a", "b")
-    more = store(_verified(pairs, texts, width, percent), "links")
-    joined = components(spark, links.union(more).union(joined.select(F.col("component").alias("a"), F.col("node").alias("b"))))
+    pairs = store(_possible(pairs, sketches).select("a", "b"), "pairs")
+    more = store(_verified(pairs, _texts(docs, ids, pairs), width, percent), "links")
+    joined = components(spark, more.union(joined.select(F.col("component").alias("a"), F.col("node").alias("b"))))
 
     # Names: the smallest id of all classes of a component.
     group = ids.join(joined, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("component", "cls").alias("comp"), "doc_id")
