@@ -17,6 +17,7 @@ segments, never in their result; repeated rows repeat their result; columns othe
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import re
 from collections.abc import Callable, Iterable, Iterator
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import column
 
-_SEGMENTS = 300_000  # remembered segments of a task
+_SEGMENTS = 400_000  # remembered segments of a task
 _STATES = 150_000  # remembered states of a task
 _LOOK = 1024  # bytes of one piece after which agreed tokens are given out
 # White space is what has the property; Python's own class also counts four control characters.
@@ -43,14 +44,14 @@ def read_ranks(raw: bytes) -> dict[bytes, int]:
 
 
 class _State(dict):
-    """A state of the deterministic transducer: byte -> (next state, length of the token that ends there)."""
+    """A state of the deterministic transducer: byte -> (next state, length and id of the token that ends there)."""
 
     __slots__ = ("live", "made")
 
     def __init__(self, live: tuple, made: Callable):
         self.live, self.made = live, made
 
-    def __missing__(self, byte: int) -> tuple[_State, int]:
+    def __missing__(self, byte: int) -> tuple[_State, int, int]:
         step = self[byte] = self.made(self.live, byte)
         return step
 
@@ -68,13 +69,24 @@ class Transducer:
         self._parts: dict[bytes, tuple[bytes, bytes] | None] = {}
         self._edges: tuple[dict[bytes, list[bytes]], dict[bytes, list[bytes]]] = ({}, {})
         self._pairs: dict[tuple[bytes, bytes], bool] = {}
-        self.tokens = {t for t in ranks if len(t) == 1 or self.parts(t)}
-        self.inner = {t[:k] for t in self.tokens for k in range(1, len(t))}
+        self._children: list[dict[int, int]] = [{}]  # the trie: node 0 is its root
+        self._token: list[bytes | None] = [None]
+        for token in ranks:
+            if len(token) == 1 or self.parts(token):
+                node = 0
+                for byte in token:
+                    child = self._children[node].get(byte)
+                    if child is None:
+                        child = self._children[node][byte] = len(self._children)
+                        self._children.append({})
+                        self._token.append(None)
+                    node = child
+                self._token[node] = token
         self._reset()
 
     def _reset(self) -> None:
         self._states: dict[tuple, _State] = {}
-        self._start = self._state(((None, b""),))
+        self._start = self._state(((None, 0, 0),))
 
     def _state(self, live: tuple) -> _State:
         known = self._states.get(live)
@@ -127,18 +139,20 @@ class Transducer:
             self._pairs[(a, b)] = known
         return known
 
-    def _step(self, places: tuple, byte: int) -> tuple[_State, int]:
-        live, letter, end = [], bytes((byte,)), None
-        for last, read in places:
-            read += letter
-            if read in self.inner:
-                live.append((last, read))
-            if end is None and read in self.tokens and (last is None or self.fits(last, read)):
-                end = read
+    def _step(self, places: tuple, byte: int) -> tuple[_State, int, int]:
+        live, end, children, token = [], None, self._children, self._token
+        for last, node, read in places:
+            node = children[node].get(byte)
+            if node is None:
+                continue
+            if children[node]:
+                live.append((last, node, read + 1))
+            if end is None and (own := token[node]) is not None and (last is None or self.fits(last, own)):
+                end = own
         if end is None:
             raise ValueError("the vocabulary lacks a byte")
-        live.append((end, b""))
-        return self._state(tuple(live)), len(end)
+        live.append((end, 0, 0))
+        return self._state(tuple(live)), len(end), self.ranks[end]
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """Token ids of one piece."""
@@ -147,16 +161,18 @@ class Transducer:
             return [whole]
         if len(self._states) > _STATES:
             self._reset()
-        state, lengths, out, base = self._start, [], [], 0
-        for byte in piece:
-            state, n = state[byte]
-            lengths.append(n)
-            if len(lengths) >= _LOOK:
-                done = self._agreed(lengths, [len(read) for _, read in state.live])
-                out += self._read(piece, base, lengths, done)
-                base += done
-                del lengths[:done]
-        return out + self._read(piece, base, lengths, len(lengths))
+            gc.collect()  # states point at each other
+        state, lengths, ids, out = self._start, [], [], []
+        for at in range(0, len(piece), _LOOK):
+            for byte in piece[at : at + _LOOK]:
+                state, n, token = state[byte]
+                lengths.append(n)
+                ids.append(token)
+            if at + _LOOK < len(piece):
+                done = self._agreed(lengths, [read for _, _, read in state.live])
+                out += self._read(lengths, ids, done)
+                del lengths[:done], ids[:done]
+        return out + self._read(lengths, ids, len(lengths))
 
     def _agreed(self, lengths: list[int], behind: list[int]) -> int:
         """The last place that the encodings of all live hypotheses go through."""
@@ -169,25 +185,30 @@ class Transducer:
             shared = places if shared is None else shared & places
         return max(shared, default=0)
 
-    def _read(self, piece: bytes, base: int, lengths: list[int], end: int) -> list[int]:
+    @staticmethod
+    def _read(lengths: list[int], ids: list[int], end: int) -> list[int]:
         out = []
         while end > 0:
-            start = end - lengths[end - 1]
-            out.append(self.ranks[piece[base + start : base + end]])
-            end = start
-        return out[::-1]
+            out.append(ids[end - 1])
+            end -= lengths[end - 1]
+        out.reverse()
+        return out
 
 
 class _Segments(dict):
-    """Segment -> (ids, ids as text); each is encoded when it first comes up."""
+    """Segment -> its ids; each is encoded when it first comes up.
+
+    Two generations: when the table is full it becomes the old one, and what is used again moves over.
+    """
 
     def __init__(self, codec: Codec, before: str):
-        self.codec, self.before = codec, before
+        self.codec, self.before, self.old = codec, before, {}
 
-    def __missing__(self, text: str) -> tuple[list[int], str]:
-        known = self.codec.segment(self.before + text)
+    def __missing__(self, text: str) -> tuple[int, ...]:
+        known = self.old.get(text) or self.codec.segment(self.before + text)
         if len(text) <= 64:
             if len(self) >= _SEGMENTS:
+                self.old = dict(self)
                 self.clear()
             self[text] = known
         return known
@@ -204,15 +225,16 @@ class Codec:
         self.transducer = Transducer(ranks)
         self.pieces = regex.compile(pattern)
         self.bytes_of = {rank: token for token, rank in ranks.items()}
+        gc.set_threshold(50_000, 20, 1000)  # the tables are many small objects that stay
         self._bare, self._spaced = _Segments(self, ""), _Segments(self, " ")
 
-    def segment(self, text: str) -> tuple[list[int], str]:
+    def segment(self, text: str) -> tuple[int, ...]:
         ids: list[int] = []
         for piece in self.pieces.findall(text):
             ids += self.transducer.encode_piece(piece.encode("utf-8", "surrogatepass"))
-        return ids, ",".join(map(str, ids))
+        return tuple(ids)
 
-    def segments(self, text: str) -> list[tuple[list[int], str]]:
+    def segments(self, text: str) -> list[tuple[int, ...]]:
         if "  " in text or _BEFORE_SPACE.search(text):
             return [self._bare[part] for part in _SEGMENT.findall(text)]
         first, *rest = text.split(" ")
@@ -221,7 +243,7 @@ class Codec:
         return [self._bare[first], *parts] if first else parts
 
     def encode(self, text: str | None) -> list[int]:
-        return list(chain.from_iterable([ids for ids, _ in self.segments(text or "")]))
+        return list(chain.from_iterable(self.segments(text or "")))
 
 
 class StreamDecoder:
@@ -288,6 +310,7 @@ def digests(spark: SparkSession, documents: DataFrame, vocabulary: str, pattern:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(raw.value, pattern)
+        number = {i: str(i) for i in codec.bytes_of}
         for batch in batches:
             n, ids_hash, decoded_hash = [], [], []
             for text in column(batch, "text"):
@@ -295,10 +318,9 @@ def digests(spark: SparkSession, documents: DataFrame, vocabulary: str, pattern:
                 decoder = StreamDecoder(codec.bytes_of)
                 parts = codec.segments(text or "")
                 for at in range(0, len(parts), 5000):  # bounds the ids that one long text holds at a time
-                    known = parts[at : at + 5000]
-                    own = list(chain.from_iterable([ids for ids, _ in known]))
+                    own = list(chain.from_iterable(parts[at : at + 5000]))
                     count += len(own)
-                    told.update((("" if first else ",") + ",".join([x for _, x in known])).encode())
+                    told.update((("" if first else ",") + ",".join([number[i] for i in own])).encode())
                     first = False
                     back.update(decoder.feed(own).encode())
                 back.update(decoder.finish().encode())
