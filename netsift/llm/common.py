@@ -54,15 +54,16 @@ def _hash_chunk(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mix(value + (ends - starts).astype(np.uint64)), starts
 
 
-def word_hashes(texts: list[str | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[str | None], lower: bool = False, table: bytes | None = None) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words (runs of anything but ASCII white space) of all texts, one after the other,
 
     and the offsets at which each text's words begin (one more than there are texts). Null counts as empty.
+    ``lower`` turns A-Z into a-z first; ``table`` replaces bytes instead (256 of them, as bytes.translate takes them).
     """
     parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     data = b"\n".join(parts)
-    if lower:
-        data = data.translate(LOWER)
+    if lower or table:
+        data = data.translate(table or LOWER)
     begins = np.concatenate(([0], np.cumsum([len(p) + 1 for p in parts]))) if parts else np.zeros(1, np.int64)
     hashes, starts, at = [], [], 0
     while at < len(data):
