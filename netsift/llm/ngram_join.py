@@ -7,8 +7,8 @@ common shingle stands among the first ``a / 4 + 1`` of the one and the first ``b
 any fixed order of shingles, and only those entries enter the product. Frequent shingles come last in that order.
 
 What the product proposes must first pass a bound that is exact as well: each set has a parity sketch (every shingle
-flips one of 2,048 bits), and two sets differ in at least as many shingles as their sketches differ in bits. What is
-left is verified on the whole shingle sets, so links are exact.
+flips one of four bits or more a shingle), and two sets differ in at least as many shingles as their sketches differ in
+bits; of two lengths, the longer one is folded. What is left is verified on the whole sets, so links are exact.
 
 Connected classes are the result, so pairs that verified links already connect are not proposed again: the first
 passes multiply near neighbours in the columns of a set's first shingles and verify each set's most similar partners,
@@ -35,8 +35,8 @@ from .common import column, components, mix, store, windows, word_hashes
 WIDTH = 5
 CENSUS_SLOTS = 1 << 22  # fixed size of the table of frequent shingles that tasks share: 4 MB
 _CENSUS_CHUNK = 2_000_000  # shingles that a task counts at a time
-_FREQUENT = 8  # occurrences in different classes of one chunk
-_BITS = 2048  # of a sketch
+_FREQUENT = 2  # occurrences in different classes of one chunk
+_BITS = 256  # of the shortest sketch
 _FIRST = 8  # columns of a set that the first passes look at
 _PASSES = 2  # first passes
 _PARTNERS = 3  # that a first pass verifies for each set
@@ -64,8 +64,9 @@ def _class_id(shingles: np.ndarray) -> int:
 
 
 def _sketch(shingles: np.ndarray) -> list[int]:
-    """The bits that an odd number of shingles falls on, as 64-bit numbers."""
-    odd = np.bincount((shingles >> np.uint64(20)).astype(np.int64) & (_BITS - 1), minlength=_BITS) & 1
+    """The bits that an odd number of shingles falls on, as 64-bit numbers; four bits or more a shingle."""
+    bits = max(_BITS, 1 << (4 * len(shingles) - 1).bit_length())
+    odd = np.bincount((shingles >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
@@ -281,9 +282,15 @@ def _possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """Pairs (a, b) that their sizes and sketches allow, with ``off``: sketch bits that differ, per shingle."""
     first = sketches.select(F.col("cls").alias("a"), F.col("n").alias("a_n"), F.col("sketch").alias("a_sketch"))
     second = sketches.select(F.col("cls").alias("b"), F.col("n").alias("b_n"), F.col("sketch").alias("b_sketch"))
-    bits = F.aggregate(F.zip_with("a_sketch", "b_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    both = pairs.join(first, "a").join(second, "b").select("a", "b", "a_n", "b_n", bits.alias("bits"))
-    both = both.where("7 * bits <= a_n + b_n and 3 * a_n <= 4 * b_n and 3 * b_n <= 4 * a_n")
+    both = pairs.join(first, "a").join(second, "b").where("3 * a_n <= 4 * b_n and 3 * b_n <= 4 * a_n")  # so one is twice as long at most
+    length = F.least(F.size("a_sketch"), F.size("b_sketch"))
+
+    def folded(name: str):
+        halves = F.zip_with(F.slice(name, F.lit(1), length), F.slice(name, length + 1, length), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(name) > length, halves).otherwise(F.col(name))
+
+    bits = F.aggregate(F.zip_with(folded("a_sketch"), folded("b_sketch"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    both = both.select("a", "b", "a_n", "b_n", bits.alias("bits")).where("7 * bits <= a_n + b_n")
     return both.select("a", "b", (F.col("bits") / (F.col("a_n") + F.col("b_n"))).alias("off"))
 
 

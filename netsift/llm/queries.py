@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cover_tree, html_extract, language_id, line_quality, mixing, ngram_join, secret_scan
+from . import bpe, cover_tree, html_extract, language_id, line_quality, mixing, ngram_join, secret_scan, tool_calls, toxicity
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -52,10 +52,23 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(spark, _table(spark, sf_dir, "documents"), VOCABULARY, public_tokenizers.PATTERN)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    held = F.coalesce(_remainder(3) == 1, F.lit(False))
+    labels = _table(spark, sf_dir, "labels").where(~held).select("doc_id", F.col("toxic").alias("label"))
+    scored = toxicity.predict(spark, documents, toxicity.fit(spark, documents, labels))
+    return scored.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"), "evidence")
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(spark, _table(spark, sf_dir, "documents"))
 
 
+def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = tool_calls.calls_of(_table(spark, sf_dir, "conversations"))
+    return tool_calls.link(spark, calls, results, tool_calls.schema_table(spark))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_mixing": op2_mixing,
@@ -64,7 +77,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ngram_join": op5_ngram_join,
     "op6_quality": op6_quality,
     "op7_bpe": op7_bpe,
+    "op8_toxicity": op8_toxicity,
     "op9_secrets": op9_secrets,
+    "op10_tool_calls": op10_tool_calls,
 }
 
 ORACLE: dict[str, str] = {"op6_quality": line_quality.ORACLE}
