@@ -2,7 +2,8 @@
 
 Stages take documents and return documents (the last one: token digests). What decides inside them is in netsift.llm.
 Nulls, empty texts, ties, repeated rows, empty tables and further columns are handled as each operator states; of a group
-of near duplicates the row with the group's smallest id stays (of several rows with that id, one with each text).
+of near duplicates the row with the group's smallest id stays (of several rows with that id, one with each text); rows
+without an id cannot be told apart and stay.
 """
 
 from __future__ import annotations
@@ -27,8 +28,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked documents stays: the one with the smallest id."""
     groups = ngram_join.classes(spark, docs)
-    stays = groups.where("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(stays, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates()
+    stays = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    named = docs.join(stays, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return named.union(docs.where("doc_id is null"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
