@@ -17,10 +17,11 @@ _SOURCE_NAMES = {LEASES: "leases", ARP: "arp", DHCP: "dhcp"}
 
 
 def vendor_table(prefixes: DataFrame, extra: list[tuple[str, str]] = C.LOCAL_PREFIXES) -> DataFrame:
-    """Vendor prefixes plus local additions, which never override the main list."""
+    """One vendor for each prefix (the first line for it), plus local additions, which never override the main list."""
     rows = ", ".join(f"('{p}', '{n}')" for p, n in extra)
     local = prefixes.sparkSession.sql(f"SELECT * FROM VALUES {rows} AS t(prefix, name)")
-    main = prefixes.select("prefix", "name")
+    place = F.col("ord") if "ord" in prefixes.columns else F.lit(0)
+    main = prefixes.groupBy("prefix").agg(F.min(F.struct(place.alias("ord"), "name")).alias("_m")).select("prefix", "_m.name")
     return main.unionByName(local.join(main, "prefix", "left_anti"))
 
 
@@ -64,7 +65,7 @@ def merge_assets(
 
     old = previous.select(F.col("ip").alias("_ip"), F.lower("mac").alias("_mac"), "hostname", "os", "open_ports")
     by_mac = old.where("_mac <> ''").groupBy("_mac").agg(F.min(F.struct("_ip", "hostname", "os", "open_ports")).alias("_bm"))
-    by_ip = old.select("_ip", F.struct("hostname", "os", "open_ports").alias("_bi"))
+    by_ip = old.groupBy("_ip").agg(F.min(F.struct("hostname", "os", "open_ports")).alias("_bi"))
     j = base.join(by_mac, base["mac"] == by_mac["_mac"], "left").join(by_ip, base["ip"] == by_ip["_ip"], "left")
     fill = lambda c: F.coalesce(
         *[F.when(x != "", x) for x in (F.col(c), F.col(f"_bm.{c}"), F.col(f"_bi.{c}"))], F.lit(""))

@@ -8,13 +8,12 @@ from pyspark.sql import functions as F
 from ..functions import catalogues as C
 from ..functions import names as N
 from ..session import checkpoint
-from ..sources.windows import last_existing_days
+from ..sources.windows import in_last_existing_days
 from .ranges import lookup
 from .skew import salted_semi
 from .suppress import Registry, drop_devices, glob_lookup
 
 PAIR = ["src", "dst", "dst_port"]
-_MASK_DAYS = 63
 
 
 def egress(conn: DataFrame) -> DataFrame:
@@ -25,27 +24,22 @@ def egress(conn: DataFrame) -> DataFrame:
     )
 
 
-def pair_profile(conn: DataFrame, window_days: int = C.CADENCE_WINDOW_DAYS) -> DataFrame:
-    """Per (src, dst, port): flows, distinct days and a 24-bin hour histogram over the window.
+def pair_profile(conn: DataFrame, window_days: int | None = C.CADENCE_WINDOW_DAYS) -> DataFrame:
+    """Per (src, dst, port): flows, distinct days and a 24-bin hour histogram over the window (None: every day).
 
-    One shuffle with constant-size state: days are bits of a mask and hours are counters, so a pair
-    that owns a third of all flows is folded before the shuffle.
+    Two levels for a window of any length: first per pair and day, where flows are folded before the
+    shuffle (so a pair with a third of all flows is one row a day and task), then days are counted.
     """
-    flows = egress(conn)
-    flows = flows.join(last_existing_days(conn, window_days), "day").withColumn("hour", F.hour("ts"))
-    if window_days <= _MASK_DAYS:
-        mask = F.expr("bit_or(shiftleft(1L, day_no))")
-        days = F.bit_count(mask)
-    else:
-        days = F.countDistinct("day")
+    flows = in_last_existing_days(egress(conn), window_days, of=conn).withColumn("hour", F.hour("ts"))
     hours = [F.count_if(F.col("hour") == h).alias(f"h{h}") for h in range(24)]
-    return flows.groupBy(*PAIR).agg(
-        F.count("*").alias("total_conns"), days.cast("bigint").alias("days_seen"), *hours
+    daily = flows.groupBy(*PAIR, "day").agg(F.count("*").alias("n"), *hours)
+    return daily.groupBy(*PAIR).agg(
+        F.sum("n").alias("total_conns"), F.count("day").alias("days_seen"), *[F.sum(f"h{h}").alias(f"h{h}") for h in range(24)]
     )
 
 
 def slow_pairs(
-    conn: DataFrame, window_days: int = C.CADENCE_WINDOW_DAYS, min_days: int = C.CADENCE_MIN_DAYS,
+    conn: DataFrame, window_days: int | None = C.CADENCE_WINDOW_DAYS, min_days: int = C.CADENCE_MIN_DAYS,
     max_per_day: int = C.CADENCE_MAX_PER_DAY,
 ) -> DataFrame:
     """Pairs seen on enough days at a low enough rate, with their hour consistency.
@@ -70,13 +64,13 @@ def slow_pairs(
     )
 
 
-def interval_cv(conn: DataFrame, pairs: DataFrame, window_days: int = C.CADENCE_WINDOW_DAYS) -> DataFrame:
+def interval_cv(conn: DataFrame, pairs: DataFrame, window_days: int | None = C.CADENCE_WINDOW_DAYS) -> DataFrame:
     """Coefficient of variation of the gaps between flows, for the pairs given.
 
     ``pairs`` comes out of :func:`slow_pairs`, so a pair has at most ``max_per_day`` flows per day
     and its sort is small. Busy pairs leave in the salted semi join.
     """
-    flows = egress(conn).join(last_existing_days(conn, window_days).select("day"), "day")
+    flows = in_last_existing_days(egress(conn), window_days, of=conn)
     flows = flows.select(*PAIR, F.unix_timestamp("ts").alias("sec"))
     flows = salted_semi(flows, pairs, PAIR, F.col("sec"))
     previous = F.lag("sec").over(Window.partitionBy(*PAIR).orderBy("sec"))
@@ -136,15 +130,15 @@ def http_profile(http: DataFrame) -> DataFrame:
     )
 
 
-def lan_talkers(conn: DataFrame, window_days: int = C.CADENCE_WINDOW_DAYS) -> DataFrame:
+def lan_talkers(conn: DataFrame, window_days: int | None = C.CADENCE_WINDOW_DAYS) -> DataFrame:
     """Distinct inside sources per (dst, port). Counted distinct-first, so a popular service is spread by source."""
-    flows = egress(conn).join(last_existing_days(conn, window_days).select("day"), "day")
+    flows = in_last_existing_days(egress(conn), window_days, of=conn)
     return flows.groupBy("dst", "dst_port").agg(F.countDistinct("src").alias("lan_talkers"))
 
 
 def slow_candidates(
     conn: DataFrame, ssl: DataFrame, http: DataFrame, geo: DataFrame, registry: Registry,
-    window_days: int = C.CADENCE_WINDOW_DAYS, min_consistency: float = C.CADENCE_MIN_CONSISTENCY,
+    window_days: int | None = C.CADENCE_WINDOW_DAYS, min_consistency: float = C.CADENCE_MIN_CONSISTENCY,
 ) -> DataFrame:
     """The full detector: regular pairs, named, owned, filtered and rated for paging."""
     # The few regular pairs steer every later step, so they are computed once and written down.

@@ -26,8 +26,9 @@ def walk_sorted(df: DataFrame, key: str, order: list[str], fold: Fold, schema: s
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, state = None, None
         for batch in batches:
-            for k, rows in batch.groupby(key, sort=False):
-                state, out = fold(state if k == last else None, rows)
+            for k, rows in batch.groupby(key, sort=False, dropna=False):
+                k = None if pd.isna(k) else k  # a null key is a key
+                state, out = fold(state if k == last and state is not None else None, rows)
                 last = k
                 if len(out):
                     yield out
@@ -148,8 +149,8 @@ def gauge_fold(state, rows, threshold=C.GAUGE_THRESHOLD, reset=C.GAUGE_RESET_BEL
 def gauge_alerts(means: DataFrame) -> DataFrame:
     """``means(host, time, event_id, mean, short_mean)`` from ``telemetry.rolling_mean``.
 
-    Only samples over the line can alert, so only those reach the walk.
+    Samples that can neither alert nor clear the elevated mark do not reach the walk.
     """
-    means = means.where(F.col("mean") >= C.GAUGE_THRESHOLD)
+    means = means.where((F.col("mean") >= C.GAUGE_THRESHOLD) | (F.col("short_mean") < C.GAUGE_RESET_BELOW))
     rows = means.select("host", F.unix_timestamp("time").alias("sec"), "event_id", "mean", "short_mean")
     return walk_sorted(rows, "host", ["sec", "event_id"], gauge_fold, GAUGE_SCHEMA)

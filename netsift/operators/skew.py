@@ -30,12 +30,16 @@ def in_chunks(rows: DataFrame, key: str, order: list[str], coarse: Column, overl
     only serves the next chunk. ``coarse`` is a bucket that grows with ``order`` (an hour): numbers
     come from bucket counts plus the place inside the bucket, so no step sorts a whole key.
     """
+    if overlap > chunk:
+        raise ValueError("a window reaches back over more than one chunk: raise chunk")
     rows = rows.withColumn("_coarse", coarse)
     counts = rows.groupBy(key, "_coarse").agg(F.count("*").alias("_n"))
     earlier = Window.partitionBy(key).orderBy("_coarse").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(key, "_coarse", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
     inside = F.row_number().over(Window.partitionBy(key, "_coarse").orderBy(*order))
-    numbered = rows.join(starts, [key, "_coarse"]).withColumn("no", F.col("_start") + inside).drop("_coarse", "_start")
+    starts = starts.withColumnsRenamed({key: "_key", "_coarse": "_bucket"})
+    same = F.col(key).eqNullSafe(F.col("_key")) & F.col("_coarse").eqNullSafe(F.col("_bucket"))  # a null key is a key
+    numbered = rows.join(starts, same).withColumn("no", F.col("_start") + inside).drop("_coarse", "_start", "_key", "_bucket")
     home = F.floor((F.col("no") - 1) / chunk)
     serves_next = (F.col("no") - 1) % chunk >= chunk - overlap
     copies = F.when(serves_next, F.array(home, home + 1)).otherwise(F.array(home))

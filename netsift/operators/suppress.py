@@ -61,7 +61,7 @@ def _glob_shape():
     p = F.col("pattern")
     return (
         F.when(~p.rlike(wild), 0)
-        .when(p.startswith("*.") & ~F.substring(p, 3, 1_000_000).rlike(wild), 1)
+        .when(p.startswith("*.") & ~F.expr("substring(pattern, 3)").rlike(wild), 1)
         .otherwise(2)
     )
 

@@ -14,14 +14,14 @@ from .oracle_views import geo_of, glob_hit, service_hit, v4num, with_views
 from .registry import query
 
 _PAIR = "src, dst, dst_port"
-ALL_DAYS = 63  # more days than the tables hold: the detectors below run over every day
+ALL_DAYS = None  # the detectors below run over every day
 
 
-def last_days(view: str, n: int) -> str:
-    return f"day IN (SELECT DISTINCT day FROM {view} ORDER BY day DESC LIMIT {n})"
+def last_days(view: str, n: int | None) -> str:
+    return "true" if n is None else f"day IN (SELECT DISTINCT day FROM {view} ORDER BY day DESC LIMIT {n})"
 
 
-def _pairs_sql(days: int) -> str:
+def _pairs_sql(days: int | None) -> str:
     return f"""
   pairs0 AS (SELECT {_PAIR}, count(*) AS total_conns, count(DISTINCT day) AS days_seen FROM egress
     WHERE {last_days('conn', days)} GROUP BY ALL HAVING days_seen >= 5 AND total_conns <= days_seen * 6),
@@ -34,7 +34,7 @@ def _pairs_sql(days: int) -> str:
     FROM hrs JOIN modes USING ({_PAIR}) JOIN pairs0 USING ({_PAIR}) GROUP BY {_PAIR})"""
 
 
-def _cv_sql(days: int) -> str:
+def _cv_sql(days: int | None) -> str:
     return f"""
   gaps AS (SELECT {_PAIR}, sec - lag(sec) OVER (PARTITION BY {_PAIR} ORDER BY sec) AS gap
     FROM egress JOIN pairs USING ({_PAIR}) WHERE {last_days('conn', days)}),
@@ -138,7 +138,7 @@ query(
 FROM cand WHERE src || '|' || dst || '|' || dst_port NOT IN (SELECT pair FROM known)""", *_CAND_VIEWS),
 )
 query(
-    "pair_alerts", lambda v: K.pair_alerts(K.new_pairs(_cand(v, ALL_DAYS), _cand(v, ALL_DAYS).select(K.pair_key().alias("pair")).limit(0))),
+    "pair_alerts", lambda v: K.pair_alerts(K.new_pairs(_cand(v, ALL_DAYS), v.spark.createDataFrame([], "pair string"))),
     _after(_candidates_sql(ALL_DAYS), """SELECT 'slow_cadence_beacon' AS type, 'medium' AS severity, src AS device,
   substring('Slow-cadence beacon: ' || coalesce(nullif(sni, ''), nullif(http_host, ''), dst) || ':' || dst_port || ', ' || days_seen ||
    ' days, ~' || round(total_conns / days_seen, 2) || '/day at ' || lpad(CAST(modal_hour AS VARCHAR), 2, '0') || ':00 UTC (hour-cons ' ||

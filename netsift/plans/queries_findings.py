@@ -204,7 +204,7 @@ _GATED = f"""
 _ALERT_SQL = """
 SELECT type, reason, device, CASE type WHEN 'high_score_beacon' THEN 'Score-1.0 beacon → ' ELSE 'Strobe → ' END || substring(dest, 1, 80) AS detail FROM ga
 UNION ALL SELECT 'threat_intel_hit', 'fire', src, 'Threat intel hit → ' || substring(dest, 1, 80) FROM summ WHERE threat_intel AND NOT user_safe"""
-_alerts = lambda v: G.summary_alerts(_summ(v), K.lan_talkers(v.conn, 63))
+_alerts = lambda v: G.summary_alerts(_summ(v), K.lan_talkers(v.conn, None))
 query("gate_alerts", lambda v: _alerts(v), with_views("", "summ", "egress").rstrip() + "," + _GATED + _ALERT_SQL)
 query("gate_reasons", lambda v: G.gate_stats(_alerts(v), "type"),
       with_views("", "summ", "egress").rstrip() + "," + _GATED + f" SELECT type AS component, reason, count(*) AS n FROM ({_ALERT_SQL}) GROUP BY 1, 2")

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators import bandwidth as B
 from ..operators import folds as Q
@@ -40,6 +41,30 @@ def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
+def run_updates(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """Process everything that is there in update mode: every window is given out, closed or not.
+
+    Each batch writes its updates into a partition of its own, so a batch that runs again replaces itself; the row of
+    the newest batch counts for each key.
+    """
+    spark = stream.sparkSession
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+    def upsert(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.withColumn("batch", F.lit(batch_id).cast("bigint"))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{base}/out")
+
+    started = (
+        stream.writeStream.foreachBatch(upsert).option("checkpointLocation", f"{base}/state")
+        .outputMode("update").trigger(availableNow=True).start()
+    )
+    started.awaitTermination()
+    written = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(f"{base}/out")
+    rest = [c for c in stream.columns if c not in keys]
+    newest = written.groupBy(*keys).agg(F.max(F.struct("batch", *rest)).alias("_row"))
+    return newest.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
+
+
 def _device_alerts(v: Views) -> DataFrame:
     return v.flows.select(
         F.lit("flow").alias("type"), F.when(F.col("event_type") == "error", "high").otherwise("medium").alias("severity"),
@@ -81,11 +106,10 @@ query("sustained_load", lambda v: Q.gauge_alerts(M.rolling_mean(v.telemetry, win
   s AS (SELECT host, min((sec, event_id, mean)) AS x FROM h GROUP BY host
     UNION ALL SELECT * FROM (SELECT s.host, (SELECT min((h.sec, h.event_id, h.mean)) FROM h WHERE h.host = s.host AND h.sec >= struct_extract_at(s.x, 1) + 14400) AS x FROM s) WHERE x IS NOT NULL)
 SELECT host, struct_extract_at(x, 1) AS sec, struct_extract_at(x, 3) AS mean FROM s""")
-# A finished window is emitted once the watermark passes it, so the last day's hours stay open.
 query("stream_hourly",
-      lambda v: run_to_end(J.hourly_bytes(StreamViews(v.spark, v.dir).conn)).where("hour < '2024-01-29'").withColumn("hour", F.unix_timestamp("hour")),
+      lambda v: run_updates(J.hourly_bytes(StreamViews(v.spark, v.dir).conn), ["hour", "src"]).withColumn("hour", F.unix_timestamp("hour")),
       with_views(f"""SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS hour, src, CAST(sum(orig_ip_bytes + resp_ip_bytes) AS BIGINT) AS bytes
-FROM {WAN} AND ts < TIMESTAMP '2024-01-29' GROUP BY ALL""", "conn"))
+FROM {WAN} GROUP BY ALL""", "conn"))
 query("hourly_bytes",
       lambda v: B.wan_flows(v.conn).groupBy(F.window("ts", "1 hour").alias("w"), "src").agg(F.sum("bytes").alias("bytes"))
       .select(F.unix_timestamp("w.start").alias("hour"), "src", "bytes"),

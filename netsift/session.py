@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,36 +25,56 @@ def prepare(spark: SparkSession) -> SparkSession:
     for key, value in _DEFAULTS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    ship(spark)
     return spark
 
 
-_FULL_TASK_BYTES = 32 << 20
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables: what the cluster names in ``spark.checkpoint.dir``.
 
+    Where nothing is named, the warehouse folder is used, which driver and executors share as well. Everything goes
+    into one folder of the application, which :func:`remove_intermediates` (also at exit) deletes.
+    """
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    folder = folder or spark.conf.get("spark.sql.warehouse.dir")
+    own = f"{folder.rstrip('/')}/netsift-{sc.applicationId}"
+    if own not in _used:
+        _used.add(own)
+        atexit.register(remove_intermediates, spark, own)
+    return own
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread a small file over all cores by its key; a table that fills them already stays as it is.
 
-    A file of a few row groups is read by as few tasks, which would then do all the work that follows.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores, key) if size < cores * _FULL_TASK_BYTES else df
+_used: set[str] = set()
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: what the cluster names in ``spark.checkpoint.dir``.
+def remove_intermediates(spark: SparkSession, folder: str | None = None) -> None:
+    """Delete the application's intermediate tables; results that still read them must be written before."""
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder or shared_folder(spark))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # the session may have ended first; the folder's name tells whose it was
+        pass
 
-    Only where nothing is named and the session is a local one (unit tests) a temporary folder is used.
-    """
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, which need not have it installed or share the driver's working folder."""
     sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    folder = folder or sc.getCheckpointDir()
-    if not folder:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        folder = tempfile.mkdtemp(prefix="netsift-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="netsift-"), "netsift.zip")  # the driver serves it from here
+    with zipfile.ZipFile(target, "w") as out:
+        for base, _, files in os.walk(root):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(base, name)
+                    out.write(full, os.path.join("netsift", os.path.relpath(full, root)))
+    sc.addPyFile(target)
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -59,6 +82,6 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
     Computed once, survives lost executors, and its size is known to the planner afterwards.
     """
-    path = f"{shared_folder(df.sparkSession)}/netsift-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

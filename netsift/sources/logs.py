@@ -53,7 +53,7 @@ def sensor_log(spark: SparkSession, paths, stem: str) -> DataFrame:
     schema = StructType.fromDDL(T.LOGS[stem])
     lines = _lines(spark, paths)
     headers = lines.where(F.col("value").startswith("#fields\t")).select(
-        "file", "pos", F.expr("slice(split(value, '\t'), 2, 10000)").alias("fields"))
+        "file", "pos", F.expr("slice(split(value, '\t'), 2, size(split(value, '\t')))").alias("fields"))
     rows = _with_latest(lines.where(~F.col("value").startswith("#") & (F.col("value") != "")), headers, "fields")
     cells = F.split("value", "\t")
     rows = rows.where(F.col("fields").isNotNull() & (F.size(cells) >= F.size("fields")))

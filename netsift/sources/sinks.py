@@ -43,13 +43,18 @@ def write_state(df: DataFrame, path: str) -> int:
     The new state may be computed from the old one, which is never overwritten.
     """
     spark = df.sparkSession
+    fs, _ = _fs(spark, path)
+    made = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/.tmp-{uuid.uuid4().hex}")
+    df.write.parquet(made.toString())
     versions = _versions(spark, path)
     number = versions[-1] + 1 if versions else 0
-    fs, _ = _fs(spark, path)
-    tmp, final = f"{path}/.tmp-{uuid.uuid4().hex}", f"{path}/v-{number:012d}"
-    df.write.parquet(tmp)
-    fs.rename(spark._jvm.org.apache.hadoop.fs.Path(tmp), spark._jvm.org.apache.hadoop.fs.Path(final))
-    return number
+    while True:  # another writer may take the number first: then the next one
+        final = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v-{number:012d}")
+        if not fs.exists(final) and fs.rename(made, final):
+            return number
+        if not fs.exists(final):
+            raise OSError(f"cannot rename {made} to {final}")
+        number += 1
 
 
 def append_stats(stats: DataFrame, path: str, component: str, ts) -> None:

@@ -17,9 +17,11 @@ def last_existing_days(df: DataFrame, n: int, day: str = "day") -> DataFrame:
     return F.broadcast(days.agg(listed.alias("_days")).select(F.posexplode("_days").alias("day_no", day)))
 
 
-def in_last_existing_days(df: DataFrame, n: int, day: str = "day") -> DataFrame:
-    """Rows of the last ``n`` days that have data, with ``day_no``."""
-    return df.join(last_existing_days(df, n, day), day)
+def in_last_existing_days(df: DataFrame, n: int | None, day: str = "day", of: DataFrame | None = None) -> DataFrame:
+    """Rows of the last ``n`` days that have data (in ``of``, or in the rows themselves); all rows without ``n``."""
+    if n is None:
+        return df
+    return df.join(last_existing_days(df if of is None else of, n, day).select(day), day)
 
 
 def in_calendar_window(df: DataFrame, days: int, today, day: str = "day") -> DataFrame:

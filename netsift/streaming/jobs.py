@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -13,16 +14,17 @@ from ..operators import folds as Q
 
 
 def ingest_batch(table: str, late: str, today: Callable[[], str]) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` writer: today and yesterday go to the day table, older rows to the late table.
+    """``foreachBatch`` writer: today and yesterday go to the day table, older rows and rows without a day to the late table.
 
-    Each batch owns a partition, so a batch that is run again replaces itself.
+    Each batch owns a partition, so a batch that is run again replaces itself. The batch is read once for both tables.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.withColumn("batch", F.lit(batch_id))
-        fresh = F.col("day") >= F.date_sub(F.lit(today()).cast("date"), 1)
+        rows = batch.withColumn("batch", F.lit(batch_id)).persist(StorageLevel.DISK_ONLY)
+        fresh = F.coalesce(F.col("day") >= F.date_sub(F.lit(today()).cast("date"), 1), F.lit(False))
         for part, path in ((rows.where(fresh), table), (rows.where(~fresh), late)):
             part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(path)
+        rows.unpersist()
 
     return write
 
