@@ -11,7 +11,6 @@ from . import catalogues as C
 
 _LOOSE_V4 = r"^(\d{1,3}\.){3}\d{1,3}$"
 _STRICT_V4 = r"^((25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)$"
-_V6_CHARS = r"^[0-9A-Fa-f:]*:[0-9A-Fa-f:]*$"
 
 
 def col(c) -> Column:
@@ -44,16 +43,24 @@ def ip_num(c) -> Column:
     return F.when(is_v4(c), number)
 
 
+def _v6_text(c: Column) -> Column:
+    """A v6 address with a dotted tail written as its last two groups."""
+    tail = F.substring_index(c, ":", -1)
+    octet = lambda i: F.get(F.split(tail, r"\."), F.lit(i)).try_cast("int")
+    pair = lambda i: F.hex(octet(i) * 256 + octet(i + 1))
+    head = F.substring(c, F.lit(1), F.length(c) - F.length(tail))
+    return F.when(c.contains(":") & is_v4(tail), F.concat(head, pair(0), F.lit(":"), pair(2))).otherwise(c)
+
+
 def _v6_groups(c: Column) -> Column:
-    """The eight four-digit groups of a v6 address (``::`` filled with zeros)."""
-    sides = F.split(c, "::", 2)
-    left = F.filter(F.split(F.get(sides, F.lit(0)), ":"), lambda g: g != "")
-    right = F.filter(F.split(F.coalesce(F.get(sides, F.lit(1)), F.lit("")), ":"), lambda g: g != "")
-    missing = F.lit(8) - F.size(left) - F.size(right)
-    zeros = F.when(
-        c.contains("::") & (missing > 0), F.array_repeat(F.lit("0"), missing)
-    ).otherwise(F.array().cast("array<string>"))
-    return F.concat(left, zeros, right)
+    """The eight groups of a v6 address (one ``::`` filled with zeros); null when the text is not an address."""
+    whole = F.size(F.split(c, "::", -1))  # 1: no gap, 2: one gap
+    groups = lambda text: F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ":", -1))
+    left, right = groups(F.substring_index(c, "::", 1)), groups(F.substring_index(c, "::", -1))
+    gap = F.lit(8) - F.size(left) - F.size(right)
+    filled = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(gap, F.lit(0))), right)
+    eight = F.when(whole == 1, F.split(c, ":", -1)).when((whole == 2) & (gap >= 1) & ~c.contains(":::"), filled)
+    return F.when((F.size(eight) == 8) & F.forall(eight, lambda g: g.rlike("^[0-9A-Fa-f]{1,4}$")), eight)
 
 
 def ip_bits(c) -> Column:
@@ -63,10 +70,9 @@ def ip_bits(c) -> Column:
     """
     c = strip_v4(c)
     v4 = F.lpad(F.bin(ip_num(c)), 32, "0")
-    groups = _v6_groups(c)
-    valid = c.rlike(_V6_CHARS) & (F.size(groups) == 8) & F.forall(groups, lambda g: F.length(g) <= 4)
+    groups = _v6_groups(_v6_text(c))
     v6 = F.array_join(F.transform(groups, lambda g: F.lpad(F.conv(g, 16, 2), 16, "0")), "")
-    return F.when(is_v4(c), v4).when(valid, v6)
+    return F.when(is_v4(c), v4).when(groups.isNotNull(), v6)
 
 
 def cidr_prefix(c) -> Column:

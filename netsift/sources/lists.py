@@ -98,20 +98,25 @@ def vendor_prefixes(spark: SparkSession, paths) -> DataFrame:
 
 
 def scan_results(spark: SparkSession, paths) -> DataFrame:
-    """Greppable port scan lines: address, name, hardware, operating system, open ports."""
-    line = F.col("value")
-    rows = spark.read.text(paths).where(line.startswith("Host:") & line.rlike(r"^Host:\s+\S+\s+\([^)]*\)"))
-    os_ = F.substring(F.trim(F.get(F.split(F.regexp_extract(line, r"\tOS:\s+([^\t]+)", 1), ";"), F.lit(0))), 1, 60)
-    ports = F.split(F.regexp_extract(line, r"\tPorts:\s+([^\t]+)", 1), ", ")
-    part = lambda e, i: F.coalesce(F.get(F.split(e, "/"), F.lit(i)), F.lit(""))
-    label = lambda e: F.concat(
-        part(e, 0), F.lit("/"), part(e, 2), F.when(part(e, 4) != "", F.concat(F.lit(":"), part(e, 4))).otherwise(""))
+    """Greppable port scan lines: address, name, hardware, operating system, open ports.
+
+    A line is tab-separated ``key: value`` sections; names stand in parentheses after what they name.
+    """
+    rows = spark.read.text(paths).select(F.split("value", "\t").alias("_s"))
+    cut = lambda s, mark: F.trim(F.substring(s, F.length(F.substring_index(s, mark, 1)) + 2, F.length(s)))
+    section = lambda key: F.coalesce(F.get(F.transform(F.filter("_s", lambda s: s.startswith(key + ":")), lambda s: cut(s, ":")), F.lit(0)), F.lit(""))
+    first = lambda text: F.substring_index(text, " ", 1)
+    named = lambda text: F.when(text.contains("("), F.substring_index(F.substring_index(text, "(", -1), ")", 1)).otherwise("")
+    rows = rows.select(*[section(k).alias(k) for k in ("Host", "MAC", "OS", "Ports")]).where(F.col("Host").contains("("))
+    guess = F.substring(F.trim(F.substring_index("OS", ";", 1)), 1, 60)
+    field = lambda port, i: F.coalesce(F.get(F.split(port, "/"), F.lit(i)), F.lit(""))
+    label = lambda port: F.concat_ws(":", F.concat_ws("/", field(port, 0), field(port, 2)), F.when(field(port, 4) != "", field(port, 4)))
+    open_ = F.filter(F.transform(F.split("Ports", ","), lambda p: F.trim(p)), lambda p: field(p, 1) == "open")
+    mac = F.when(F.length(first(F.col("MAC"))) == 17, first(F.col("MAC"))).otherwise("")
     return rows.select(
-        F.regexp_extract(line, r"^Host:\s+(\S+)", 1).alias("ip"), F.regexp_extract(line, r"^Host:\s+\S+\s+\(([^)]*)\)", 1).alias("hostname"),
-        F.regexp_extract(line, r"MAC:\s+([0-9A-Fa-f:]{17})\s+\(", 1).alias("mac"),
-        F.regexp_extract(line, r"MAC:\s+[0-9A-Fa-f:]{17}\s+\(([^)]+)\)", 1).alias("mac_vendor"),
-        F.when(os_.contains("|"), "").otherwise(os_).alias("os"),
-        F.array_distinct(F.transform(F.filter(ports, lambda e: part(e, 1) == "open"), label)).alias("open_ports"))
+        first(F.col("Host")).alias("ip"), named(F.col("Host")).alias("hostname"), mac.alias("mac"),
+        F.when(mac != "", named(F.col("MAC"))).otherwise("").alias("mac_vendor"),
+        F.when(guess.contains("|"), "").otherwise(guess).alias("os"), F.array_distinct(F.transform(open_, label)).alias("open_ports"))
 
 
 def telemetry_days(spark: SparkSession, paths) -> DataFrame:

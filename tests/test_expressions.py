@@ -138,3 +138,13 @@ def test_intel_badges_and_alert_keys(spark):
     key = lambda sev: one(spark, G.alert_fingerprint(F.lit("t"), F.lit(sev), F.lit("d"), "v"), "x")
     import hashlib
     assert key("high") == hashlib.sha256(b"t:high:d:x").hexdigest()[:32] != key("medium")
+
+
+def test_v6_addresses(spark):
+    good = ["::", "::1", "fe80::1", "1:2:3:4:5:6:7:8", "::1.2.3.4", "1:2:3:4:5:6:1.2.3.4", "1::8", "2001:DB8::"]
+    bad = [":::", "fe80:::1", ":1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7::8:9", "1:2:3:4:5:6:7", "::g", "1::2::3", "12345::", "1:2:3:4:5:6:7:8:", "::1.2.3", ""]
+    import ipaddress
+
+    want = [format(int(ipaddress.ip_address(a)), "0128b") for a in good]
+    assert table(spark, IP.ip_bits("v"), good) == want
+    assert table(spark, IP.ip_bits("v"), bad) == [None] * len(bad)

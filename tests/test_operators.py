@@ -285,3 +285,20 @@ def test_panels_do_not_depend_on_row_order(spark):
     shuffled = conn.orderBy(F.rand(1)).repartition(9)
     for panel in (lambda c: W.exfil(c, geo, reg, 0.001), lambda c: W.night(c, reg), lambda c: K.lan_talkers(c, 14)):
         assert sorted(map(tuple, panel(conn).collect())) == sorted(map(tuple, panel(shuffled).collect()))
+
+
+def test_null_source_is_a_source(spark):
+    from netsift.operators import folds
+
+    rows = [(s, f"2024-01-01 00:00:0{i}") for s in ("a", None) for i in range(5)]
+    events = spark.createDataFrame(rows, "src string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    assert {r["src"] for r in folds.rate_alerts(events).collect()} == {"a", None}
+
+
+def test_chunks_refuse_windows_longer_than_a_chunk(spark):
+    from netsift.operators.skew import in_chunks
+
+    rows = spark.range(5).select(F.lit("k").alias("key"), F.col("id").alias("n"))
+    with pytest.raises(ValueError):
+        in_chunks(rows, "key", ["n"], F.lit(0), overlap=9, chunk=4)
+    assert in_chunks(rows.withColumn("key", F.lit(None).cast("string")), "key", ["n"], F.lit(0), overlap=2, chunk=4).where("chunk = home").count() == 5

@@ -146,3 +146,10 @@ def test_local_vendor_list_does_not_override(spark):
     got = {r["prefix"]: r["name"] for r in A.vendor_table(main).collect()}
     assert got["DCA632"] == "Main name" and got["B827EB"] == dict(C.LOCAL_PREFIXES)["B827EB"]
     assert S.make_registry(spark.createDataFrame([("domains", 0, "*.x", "r")], "kind string, ord int, pattern string, reason string")).domains.count() == 1
+
+
+def test_duplicate_vendor_prefix_keeps_the_first_line(spark):
+    from netsift.operators import assets as A
+
+    main = spark.createDataFrame([("AABBCC", "First", 1), ("AABBCC", "Second", 2)], "prefix string, name string, ord int")
+    assert [r["name"] for r in A.vendor_table(main).where("prefix = 'AABBCC'").collect()] == ["First"]
