@@ -140,8 +140,11 @@ def parse(page: str) -> Tree:
             elif tag in ("br", "img", "input"):
                 run.append(" ")
             continue
-        if tag in ("html", "head", "body") and closing:
+        if tag in ("html", "head", "body"):  # the root stands for all three; the drop list covers what heads hold
             leaf()
+            found_y = re.search(r"data-y=(\d)", rest or "")
+            if found_y and not closing:
+                stack[0] = ("html", 0, int(found_y[1]))
             continue
         if closing:
             close({tag}, {"body"} if tag != "p" else {"div", "article", "section", "td", "body"})
@@ -267,7 +270,7 @@ def generated(words: list[str], n: int, seed: int = 5) -> list[Tree]:
     words = words or "the of and a in to is that for it was on are by with this".split()
     one = lambda *options: options[int(rng.integers(len(options)))]
     some = lambda lo, hi: " ".join(entities.escape(words[int(k)]) for k in rng.integers(len(words), size=int(rng.integers(lo, hi))))
-    say = lambda lo, hi: some(lo, hi).capitalize() + one(".", ".", ".", "!", "?")
+    say = lambda lo, hi: some(lo, hi).capitalize() + one(".", ".", ".", ".", "!", "?", "")
 
     def links(k: int, outer: str = "ul") -> str:
         items = "".join(f"<li><a href='/{j}'>{some(1, 4)}</a></li>" for j in range(k))
@@ -291,6 +294,8 @@ def generated(words: list[str], n: int, seed: int = 5) -> list[Tree]:
             return f"<table><tr><td>{some(1, 5)}</td><td>{some(1, 5)}</td></tr></table>"
         if kind < 0.33:
             return f"<pre>{some(3, 20)}</pre>"
+        if kind < 0.4:
+            return f"<p>{some(90, 200)}{one('.', '')}</p>"
         link = f" <a href='#'>{some(1, 4)}</a> " if rng.random() < 0.25 else " "
         bold = "<b>" if rng.random() < 0.15 else ""
         return f"<p>{bold}{say(3, 60)}{link}{say(2, 60)}" + one("</p>", "</p>", "</p>", "<br>")
@@ -301,7 +306,7 @@ def generated(words: list[str], n: int, seed: int = 5) -> list[Tree]:
         extra = box(("share", "social", "tags", "byline"), ("div", "ul"), some(1, 6)) if rng.random() < 0.15 else ""
         inside_ad = box(("ad", "ad-slot", "sponsored"), ("div", "aside"), f"<p>{say(4, 20)}</p>") if rng.random() < 0.2 else ""
         title = f"<h1>{some(2, 12).capitalize()}</h1>" if rng.random() < 0.85 else ""
-        holder = one("article", "article", "main", "div class='content'", "div id='main-content'", "div class='post-body entry'", "section class='story'", "div")
+        holder = one("article", "article", "article", "article class='post'", "main", "div class='content'", "div id='main-content'", "div class='post-body entry'", "section class='story'", "div")
         main = f"<{holder} data-y=1>{title}{extra}{body}{inside_ad}{paragraph()}</{holder.split()[0]}>"
         if rng.random() < 0.3:
             main = f"<main data-y=1>{main}</main>" if not holder.startswith("main") else f"<div class='{one('page', 'content', 'row')}'>{main}</div>"
@@ -321,7 +326,7 @@ def generated(words: list[str], n: int, seed: int = 5) -> list[Tree]:
             fields = f"<label>{some(1, 4)}</label><input name=q>" + one("", f"<p>{say(2, 16)}</p>") + f"<button>{some(1, 3)}</button>"
             one(before, after).append(f"<form {one('', 'class=search', 'id=login')} data-y=0>{fields}</form>")
         if chance() < 0.5:
-            replies = "".join(f"<{(t := one('div class=comment', 'li', 'article class=comment', 'div'))}><p>{say(3, 60)}</p></{t.split()[0]}>" for _ in range(int(rng.integers(1, 5))))
+            replies = "".join(f"<{(t := one('div class=comment', 'li', 'div class=reply', 'div', 'li class=comment', 'article class=comment'))}><p>{say(3, 60)}</p></{t.split()[0]}>" for _ in range(int(rng.integers(1, 4))))
             block = box(("comments", "comment-list", "comments-area", "discussion", "reader-comments"), ("section", "div", "div"), one(f"<h2>{some(1, 3)}</h2>", "") + replies)
             if rng.random() < 0.3:
                 main = main[: main.rindex("</")] + block + main[main.rindex("</") :]

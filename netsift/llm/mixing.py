@@ -137,7 +137,7 @@ def mixture(spark: SparkSession, documents: DataFrame, seed: int = SEED) -> Data
 
     Rows are found again by id; an id that stands in several rows is taken for each of them as often as for the first.
     """
-    picked = mix(spark, documents, seed).where("taken > 0").select("doc_id", F.expr("cast(taken / size as int)").alias("_times"))
-    picked = picked.groupBy(F.col("doc_id").alias("_id")).agg(F.max("_times").alias("_times"))
-    rows = documents.join(picked, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*documents.columns)
+    picked = mix(spark, documents, seed).where("taken > 0").select("doc_id", F.expr("cast(taken / size as int)").alias("__mix_times"))
+    picked = picked.groupBy(F.col("doc_id").alias("__mix_id")).agg(F.max("__mix_times").alias("__mix_times"))
+    rows = documents.join(picked, F.col("doc_id").eqNullSafe(F.col("__mix_id")))
+    return rows.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), "__mix_times"))).select(*documents.columns)
