@@ -294,6 +294,8 @@ def generated(words: list[str], n: int, seed: int = 5) -> list[Tree]:
             return f"<table><tr><td>{some(1, 5)}</td><td>{some(1, 5)}</td></tr></table>"
         if kind < 0.33:
             return f"<pre>{some(3, 20)}</pre>"
+        if kind < 0.36:  # verses: many short blocks
+            return "".join(f"<p>{say(1, 4)}</p>" for _ in range(int(rng.integers(4, 25))))
         if kind < 0.4:
             return f"<p>{some(90, 200)}{one('.', '')}</p>"
         link = f" <a href='#'>{some(1, 4)}</a> " if rng.random() < 0.25 else " "
