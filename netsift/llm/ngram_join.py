@@ -59,6 +59,13 @@ def shingle_sets(texts: list[str | None], width: int = WIDTH) -> list[np.ndarray
     return out
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches in small slices: what a task holds besides a batch stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _class_id(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
@@ -87,7 +94,7 @@ def _sets_and_census(width: int):
             none = pa.nulls(len(slot), pa.int64())
             return pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(slot), pa.list_(pa.int64())), pa.array(slot), pa.array(seen[often].astype(np.int64))], schema=schema)
 
-        for batch in batches:
+        for batch in _slices(batches):
             ids, n, cls, sketch = column(batch, "doc_id"), [], [], []
             for own in shingle_sets(column(batch, "text"), width):
                 n.append(len(own))
@@ -114,7 +121,7 @@ def _postings(width: int, percent: int, frequency):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = frequency.value
         done: set[int] = set()
-        for batch in batches:
+        for batch in _slices(batches):
             tokens, cls, n, pos = [], [], [], []
             for own in shingle_sets(column(batch, "text"), width):
                 if not len(own):
@@ -237,7 +244,7 @@ def _verify(width: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leader, own = None, np.empty(0, np.uint64)
-        for batch in batches:
+        for batch in _slices(batches):
             a, b, role = column(batch, "a"), column(batch, "b"), column(batch, "role")
             linked_a, linked_b = [], []
             for x, y, r, theirs in zip(a, b, role, shingle_sets(column(batch, "text"), width)):
