@@ -43,24 +43,36 @@ def ip_num(c) -> Column:
     return F.when(is_v4(c), number)
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _v6_text(c: Column) -> Column:
     """A v6 address with a dotted tail written as its last two groups."""
+
+    def hexed(tail: Column) -> Column:
+        octets = F.transform(F.split(tail, r"\."), lambda o: o.try_cast("int"))
+        return _let(octets, lambda o: F.concat(F.hex(F.get(o, F.lit(0)) * 256 + F.get(o, F.lit(1))), F.lit(":"), F.hex(F.get(o, F.lit(2)) * 256 + F.get(o, F.lit(3)))))
+
     tail = F.substring_index(c, ":", -1)
-    octet = lambda i: F.get(F.split(tail, r"\."), F.lit(i)).try_cast("int")
-    pair = lambda i: F.hex(octet(i) * 256 + octet(i + 1))
     head = F.substring(c, F.lit(1), F.length(c) - F.length(tail))
-    return F.when(c.contains(":") & is_v4(tail), F.concat(head, pair(0), F.lit(":"), pair(2))).otherwise(c)
+    return F.when(c.contains(":") & is_v4(tail), F.concat(head, hexed(tail))).otherwise(c)
 
 
 def _v6_groups(c: Column) -> Column:
     """The eight groups of a v6 address (one ``::`` filled with zeros); null when the text is not an address."""
-    whole = F.size(F.split(c, "::", -1))  # 1: no gap, 2: one gap
     groups = lambda text: F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ":", -1))
-    left, right = groups(F.substring_index(c, "::", 1)), groups(F.substring_index(c, "::", -1))
-    gap = F.lit(8) - F.size(left) - F.size(right)
-    filled = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(gap, F.lit(0))), right)
-    eight = F.when(whole == 1, F.split(c, ":", -1)).when((whole == 2) & (gap >= 1) & ~c.contains(":::"), filled)
-    return F.when((F.size(eight) == 8) & F.forall(eight, lambda g: g.rlike("^[0-9A-Fa-f]{1,4}$")), eight)
+    sides = F.split(c, "::", -1)  # one side: no gap; two sides: one gap
+
+    def filled(s: Column) -> Column:
+        both = F.struct(groups(F.get(s, F.lit(0))).alias("l"), groups(F.get(s, F.lit(1))).alias("r"))
+        return _let(both, lambda x: _let(
+            F.lit(8) - F.size(x["l"]) - F.size(x["r"]),
+            lambda gap: F.when(gap >= 1, F.concat(x["l"], F.array_repeat(F.lit("0"), gap), x["r"]))))
+
+    eight = _let(sides, lambda s: F.when(F.size(s) == 1, F.split(F.get(s, F.lit(0)), ":", -1)).when(F.size(s) == 2, filled(s)))
+    return _let(eight, lambda g: F.when((F.size(g) == 8) & F.forall(g, lambda x: x.rlike("^[0-9A-Fa-f]{1,4}$")), g))
 
 
 def ip_bits(c) -> Column:
@@ -68,11 +80,13 @@ def ip_bits(c) -> Column:
 
     Prefixes of this string are networks, so CIDR membership becomes equality of prefixes.
     """
-    c = strip_v4(c)
-    v4 = F.lpad(F.bin(ip_num(c)), 32, "0")
-    groups = _v6_groups(_v6_text(c))
-    v6 = F.array_join(F.transform(groups, lambda g: F.lpad(F.conv(g, 16, 2), 16, "0")), "")
-    return F.when(is_v4(c), v4).when(groups.isNotNull(), v6)
+
+    def v6(text: Column) -> Column:
+        digits = lambda groups: F.array_join(F.transform(groups, lambda g: F.lpad(F.conv(g, 16, 2), 16, "0")), "")
+        return _let(_v6_groups(text), lambda groups: F.when(groups.isNotNull(), digits(groups)))
+
+    v4 = lambda a: F.lpad(F.bin(ip_num(a)), 32, "0")
+    return _let(strip_v4(c), lambda a: F.when(is_v4(a), v4(a)).when(a.contains(":"), _let(_v6_text(a), v6)))
 
 
 def cidr_prefix(c) -> Column:
