@@ -145,6 +145,10 @@ query(
    CAST(floor(round(hour_consistency, 3) * 100) AS INTEGER) || '%) — sole LAN talker, ASN: ' || coalesce(nullif(dst_org, ''), 'unknown ASN'), 1, 240) AS detail
 FROM cand WHERE alert_eligible""", *_CAND_VIEWS),
 )
+query(
+    "slow_source_rows", lambda v: _show(K.source_rows(_cand(v, ALL_DAYS))),
+    _after(_candidates_sql(ALL_DAYS), f"SELECT {_SHOW} FROM cand", *_CAND_VIEWS),
+)
 query(
     "slow_source_groups", lambda v: K.source_groups(_cand(v, ALL_DAYS)),
     _after(_candidates_sql(ALL_DAYS), """SELECT src, count(*) AS n_candidates, count(DISTINCT dst) AS n_dsts,

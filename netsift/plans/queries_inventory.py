@@ -40,6 +40,8 @@ query("alert_categories", lambda v: S.categories(_rel(v)),
 query("alert_hours", lambda v: S.hours(_rel(v)),
       with_views("SELECT h AS hour, (SELECT count(*) FROM rel WHERE hour(ts) = h) AS count FROM range(24) t(h)", "rel"))
 query("alert_priorities", lambda v: S.priorities(_rel(v)), with_views("SELECT priority, count(*) AS count FROM rel GROUP BY 1", "rel"))
+query("alert_trend_details", lambda v: _text(S.trend_details(_rel(v)).withColumn("ts", F.unix_timestamp("ts")), "day"),
+      with_views("SELECT CAST(day AS VARCHAR) AS day, CAST(floor(epoch(ts)) AS BIGINT) AS ts, priority, rule, src_ip, dst_ip FROM rel", "rel"))
 query("alert_trend", lambda v: _text(S.trend(_rel(v), "2024-02-02"), "day"),
       with_views("""SELECT CAST(d AS VARCHAR) AS day, (SELECT count(*) FROM rel WHERE rel.day = d) AS count,
   (SELECT count(*) FROM rel WHERE rel.day = d) = 0 AND d <> DATE '2024-02-02' AS no_data

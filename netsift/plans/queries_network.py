@@ -156,6 +156,16 @@ FROM m JOIN tp ON tp.day = m.day AND tp.src = m.src GROUP BY m.day, m.src""")
 query("ja4_threats", lambda v: _text(P.threats(P.wan_prints(v.ssl, v.registry), v.listed("ja4_labels")), "day"),
       with_views("", "ssl", "fp_devices", "l_ja4_labels").rstrip() + "," + _LABEL + "," + _PRINTS + """
 SELECT CAST(day AS VARCHAR) AS day, src AS ip, ja4, label AS match, n AS count FROM pr JOIN cls USING (ja4) WHERE is_threat AND source = 'ja4db'""")
+query("ja4_threat_alerts", lambda v: _text(P.threat_alerts(P.wan_prints(v.ssl, v.registry), v.listed("ja4_labels")), "day"),
+      with_views("", "ssl", "fp_devices", "l_ja4_labels").rstrip() + "," + _LABEL + "," + _PRINTS + """
+SELECT DISTINCT CAST(day AS VARCHAR) AS day, 'threat_intel_hit' AS type, 'high' AS severity, src AS device, 'JA4 match: ' || label AS detail
+FROM pr JOIN cls USING (ja4) WHERE is_threat AND source = 'ja4db'""")
+query("intel_counts",
+      lambda v: W.intel_counts({"l2": W.l2_anomalies(v.arp, _FPM(v), L.GATEWAY_IP, L.GATEWAY_MACS), "weird": W.weird(v.weird, v.registry)}),
+      with_views("", "arp", "l_rules", "weird").rstrip() + "," + _L2 + """,
+  sizes AS (SELECT 'l2' AS panel, (SELECT count(*) FROM l2) AS n
+    UNION ALL SELECT 'weird', (SELECT least(30, count(DISTINCT name)) FROM weird WHERE name NOT IN ('-', '')))
+SELECT * FROM sizes UNION ALL SELECT 'total', CAST(sum(n) AS BIGINT) FROM sizes""")
 query("ja4_device_summary",
       lambda v: _text(P.device_summary(P.wan_prints(v.ssl).where(F.col("day") == TODAY), _hist(v), v.listed("ja4_labels"), v.registry, TODAY), "first_seen"),
       with_views("", "ssl", "fp_devices", "l_ja4_labels").rstrip() + "," + _LABEL + "," + _PRINTS + f""",
