@@ -120,14 +120,14 @@ def schema_table(spark: SparkSession) -> DataFrame:
 def calls_of(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results in the form that ``link`` takes, read off plain conversations.
 
-    Every assistant turn calls a tool that its length picks, with its first line as the query; from the fourth turn on it
-    needs the call at about half its turn. The next turn of anybody else is the result.
+    Every assistant turn calls a tool that its length picks, with its whole text as the query (line breaks and quotes are
+    escaped); from the fourth turn on it needs the call at about half its turn. The next turn of anybody else is the result.
     """
     n, turn = F.length("text"), F.col("turn")
     name = F.element_at(F.array(F.lit("search"), F.lit("summarise"), F.lit("translate")), (n % 3 + 1).cast("int"))
     half = F.floor((turn - 1) / 2)
     needs = half + F.when(half % 2 == 0, 1).otherwise(0)
-    query = F.to_json(F.struct(F.split_part("text", F.lit("\n"), F.lit(1)).alias("query")))  # {"query":"..."}
+    query = F.to_json(F.struct(F.col("text").alias("query")))  # {"query":"..."}
     inner = F.expr("substring(query_json, 2, length(query_json) - 2)")
     base = conversations.select("conv_id", "turn", "role", "text").where("text is not null").withColumn("query_json", query)
     limit = F.when(n % 7 == 0, F.concat(F.lit('"limit":"'), n.cast("string"), F.lit('"'))).when(n % 3 != 2, F.concat(F.lit('"limit":'), n.cast("string")))

@@ -1,5 +1,6 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing column names, for every operator."""
 
+import json
 import re
 
 import pytest
@@ -130,6 +131,15 @@ def test_calls_in_a_circle_and_loose_ends(spark):
     assert got["f"]["json"] == '{"arguments":{"a":{"y":[1],"z":1},"after":{"$ref":"e"},"b":2,"query":1.5},"id":"f","name":"search","result":null}'
 
 
+def test_calls_hold_whole_texts(spark):
+    texts = {1: "one\ntwo\r\n\nthree\n", 3: 'a "b" \\ {"$ref": "c9"}\n}{\t', 5: "\n", 7: "", 9: "ß\u2028日本\n🎉"}
+    talk = [(1, k, "assistant", t) for k, t in texts.items()]
+    calls, results = tool_calls.calls_of(spark.createDataFrame(talk, "conv_id long, turn long, role string, text string"))
+    rows = tool_calls.link(spark, calls, results, tool_calls.schema_table(spark)).collect()
+    assert {r["turn"]: json.loads(r["json"])["arguments"]["query"] for r in rows} == texts
+    assert not any("malformed" in r["problems"] or "c9" in r["problems"] for r in rows)
+
+
 def test_general_forms_keep_texts(spark, tables):
     docs = spark.read.parquet(f"{tables['full']}/documents.parquet")
     assert {r["doc_id"]: r["text"] for r in secret_scan.redact(spark, docs).collect()}[5] == "[SECRET] 1 2 3"
