@@ -42,8 +42,8 @@ def _power(base: np.uint64, name: str, n: int) -> np.ndarray:
     return have[:n]
 
 
-def _hash_chunk(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and start of every word of a byte array."""
+def _hash_chunk(raw: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of every word of a byte array, and of the first characters of words that are longer."""
     inside = np.concatenate(([False], ~_SPACE[raw], [False]))
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[::2], edges[1::2]
@@ -51,14 +51,28 @@ def _hash_chunk(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.empty(0, np.uint64), starts
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[raw] * _power(_STEP, "up", len(raw)), dtype=np.uint64)))
     value = (sums[ends] - sums[starts]) * _power(_BACK, "down", len(raw))[starts]
-    return mix(value + (ends - starts).astype(np.uint64)), starts
-
-
-def word_hashes(texts: list[str | None], lower: bool = False, table: bytes | None = None) -> tuple[np.ndarray, np.ndarray]:
+    hashes = mix(value + (ends - starts).astype(np.uint64))
+    if not prefixes:
+        return hashes, starts
+    chars = np.flatnonzero((raw & 0xC0) != 0x80)
+    first, chars = np.searchsorted(chars, starts), np.append(chars, len(raw))
+    all_hashes, all_starts = [hashes], [starts]
+    for n in prefixes:
+        stop = chars[np.minimum(first + n, len(chars) - 1)]
+        own = stop < ends
+        value = (sums[stop[own]] - sums[starts[own]]) * _power(_BACK, "down", len(raw))[starts[own]]
+        all_hashes.append(mix(mix(value + np.uint64(n)) + _STEP))  # never equal to the word of these characters
+        all_starts.append(starts[own])
+    order = np.argsort(np.concatenate(all_starts), kind="stable")
+    return np.concatenate(all_hashes)[order], np.concatenate(all_starts)[order]
+
+
+def word_hashes(texts: list[str | None], lower: bool = False, table: bytes | None = None, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words (runs of anything but ASCII white space) of all texts, one after the other,
 
     and the offsets at which each text's words begin (one more than there are texts). Null counts as empty.
     ``lower`` turns A-Z into a-z first; ``table`` replaces bytes instead (256 of them, as bytes.translate takes them).
+    ``prefixes``: numbers of characters; the beginnings of longer words are given out as further hashes.
     """
     parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     data = b"\n".join(parts)
@@ -70,7 +84,7 @@ def word_hashes(texts: list[str | None], lower: bool = False, table: bytes | Non
         end = min(at + _CHUNK, len(data))
         while end < len(data) and data[end] not in _BLANKS:  # never cut a word
             end += 1
-        value, first = _hash_chunk(np.frombuffer(data, np.uint8, end - at, at))
+        value, first = _hash_chunk(np.frombuffer(data, np.uint8, end - at, at), prefixes)
         hashes.append(value)
         starts.append(first + at)
         at = end

@@ -1,10 +1,14 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes.
 
-Labelled texts (a bounded sample of each label) are the index. Its terms are words that neither too few nor too many
-examples have, and that clearly more examples of label 1 have than of label 0 (counted in one half of the examples); a term's postings are cut into blocks of examples, and of every block the largest weight is kept. A text is
-scored against the blocks with the highest bound (its weights times the block maxima) first, until no other block's bound
-reaches the k-th best cosine found: the neighbours are exactly those of a full comparison, ties by index order. Their
-distance-weighted vote is calibrated on the examples themselves, each scored without itself.
+Labelled texts (a bounded sample of each label) are the index. Its terms are all words of the examples and the beginnings
+of longer words, so that the forms of one stem count together. No term is left out: a term weighs its rarity times its lift,
+the log ratio of its shares in the examples of label 1 and of label 0, less LESS standard errors (counted in one half of the
+examples) and FLOOR at least. The bound nears the true ratio as examples are added, so rare terms need no more of them.
+
+Examples stand in blocks. Postings of rare terms are added up first; frequent terms are dense, with the largest weight of
+every block. A text is scored against the blocks with the highest bound first, then against all blocks whose bound reaches
+the k-th best cosine found: the neighbours are exactly those of a full comparison, ties by index order. Their
+distance-weighted vote is calibrated on the other half of the examples, each scored without itself.
 
 Rows: null and empty texts, and texts without a known term, get the calibrated score of the prior; texts are read whole;
 repeated rows get equal scores; labels that are null are left out, an id labelled twice has its higher label; without
@@ -13,43 +17,51 @@ examples of both labels every score is 0. Examples with equal ids stand in the i
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import column, store, word_hashes
 
 EXAMPLES = (4000, 3000)  # expected examples of label 0 and 1
-LEAST, MOST = 0.002, 0.3  # share of the examples that have a term
-LIFT = 6.0  # standard errors by which more examples of label 1 than of label 0 have a term
+PREFIXES = (3, 5, 7)  # characters of the beginnings that are terms
+LESS = 2.0  # standard errors taken off the log ratio
+FLOOR = 0.1  # weight of terms without lift
+FREQUENT = 32  # a term is dense from one of so many examples on
 NEIGHBOURS = 25
 BLOCK = 64
 _FIRST = 6  # blocks scored before the threshold is known
+_TEXTS = 200  # texts scored at a time
 # letters of any script stay; ASCII signs and digits part words; A-Z are lower-cased
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
 def terms(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Distinct word hashes and their counts."""
-    words, at = word_hashes(texts, table=_WORDS)
+    """Distinct hashes of words and beginnings, and their counts."""
+    words, at = word_hashes(texts, table=_WORDS, prefixes=PREFIXES)
     return [np.unique(words[a:b], return_counts=True) for a, b in zip(at[:-1], at[1:])]
 
 
 @dataclass
 class Index:
-    vocabulary: np.ndarray  # sorted word hashes
-    idf: np.ndarray
-    weights: np.ndarray  # (blocks * terms, examples of a block): postings, each example of length one
-    top: np.ndarray  # (blocks, terms)
+    vocabulary: np.ndarray  # sorted hashes
+    idf: np.ndarray  # weights of the terms: rarity times lift
+    weights: np.ndarray  # (blocks * frequent terms, examples of a block): dense postings, each example of length one
+    top: np.ndarray  # (blocks, frequent terms)
     label: np.ndarray  # (blocks, examples of a block); -1 where a block is not full
     ids: np.ndarray
     prior: float
     slope: float = 1.0
     shift: float = 0.0
+    dense: np.ndarray | None = None  # row of a frequent term among the dense ones, -1 for a rare term; None: all are frequent
+    starts: np.ndarray | None = None  # postings of rare term t: starts[t] to starts[t + 1]
+    places: np.ndarray | None = None
+    rare: np.ndarray | None = None
 
     def vector(self, own: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Known terms of a text and their weights."""
@@ -61,41 +73,80 @@ class Index:
         weight = (1 + np.log(counts[known])) * self.idf[at]
         return at, weight / np.sqrt((weight**2).sum()) if len(at) else weight
 
+    def _rare_part(self, at: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """What rare terms add to the cosine of every example."""
+        begin, have = self.starts[at], self.starts[at + 1] - self.starts[at]
+        posting = np.repeat(begin - np.cumsum(have) + have, have) + np.arange(have.sum())
+        return np.bincount(self.places[posting], np.repeat(weight, have) * self.rare[posting], self.label.size)
+
+    def nearest_of(self, vectors: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None = None, k: int = NEIGHBOURS) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Places and cosines of the k nearest examples of every text, best first."""
+        blocks, frequent = self.top.shape
+        postings = self.weights.reshape(blocks, frequent, BLOCK)
+        query = np.zeros((len(vectors), frequent), self.weights.dtype)
+        base = np.zeros((len(vectors), blocks, BLOCK), self.weights.dtype)
+        for n, (at, weight) in enumerate(vectors):
+            row = at if self.dense is None else self.dense[at]
+            query[n, row[row >= 0]] = weight[row >= 0]
+            if self.dense is not None:
+                base[n] = self._rare_part(at[row < 0], weight[row < 0]).reshape(blocks, BLOCK)
+        digits = 12 if self.weights.dtype == np.float64 else 6
+        bound = query @ self.top.T + base.max(2) + 10.0**-digits
+        score = np.full(base.shape, -1.0, base.dtype)
+        use = self.label >= 0
+
+        def fill(chosen: np.ndarray) -> None:
+            for b in np.flatnonzero(chosen.any(0)):
+                texts = np.flatnonzero(chosen[:, b])
+                score[texts, b] = np.where(use[b], query[texts] @ postings[b] + base[texts, b], -1)
+                for n in texts if without is not None else ():
+                    if without[n] // BLOCK == b:
+                        score[n, b, without[n] % BLOCK] = -1
+
+        first = np.zeros(bound.shape, bool)
+        np.put_along_axis(first, np.argsort(-bound, axis=1, kind="stable")[:, :_FIRST], True, 1)
+        fill(first)
+        flat = score.reshape(len(vectors), -1)
+        least = min(k, flat.shape[1])
+        fill(~first & (bound >= np.partition(flat, -least, 1)[:, -least, None]))
+        floor = np.partition(flat, -least, 1)[:, -least] - 10.0**-digits
+        out = []
+        for own, low in zip(flat, floor):
+            place = np.flatnonzero((own >= low) & (own > 0))
+            place = place[np.lexsort((place, -np.round(own[place], digits)))[:k]]
+            out.append((place, own[place].astype(np.float64)))
+        return out
+
     def nearest(self, at: np.ndarray, weight: np.ndarray, without: int = -1, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k nearest examples, best first."""
-        bound = self.top[:, at] @ weight
-        order = np.argsort(-bound, kind="stable")
-        place, score, done = np.empty(0, np.int64), np.empty(0), 0
-        while done < len(order):
-            floor = np.partition(score, -k)[-k] if len(score) >= k else -1.0
-            # one more round of blocks: all whose bound can still reach the k-th best
-            stop = min(done + _FIRST, len(order)) if floor < 0 else done + int((bound[order[done:]] >= floor).sum())
-            if stop == done:
-                break
-            picked = order[done:stop]
-            postings = self.weights[(picked[:, None] * len(self.vocabulary) + at).ravel()].reshape(len(picked), len(at), BLOCK)
-            cosines = (weight @ postings).ravel()
-            places = (picked[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            use = (cosines > 0) & (self.label.ravel()[places] >= 0) & (places != without)
-            place, score, done = np.concatenate((place, places[use])), np.concatenate((score, cosines[use])), stop
-        best = np.lexsort((place, -np.round(score, 12)))[:k]
-        return place[best], score[best]
+        """Places and cosines of the k nearest examples of one text."""
+        return self.nearest_of([(at, weight)], [without], k)[0]
 
     def vote(self, place: np.ndarray, score: np.ndarray) -> float:
-        """Log odds of the distance-weighted vote, drawn to even odds by one weak neighbour."""
-        weight = 1 / np.maximum(1e-3, 1 - score)
+        """Log odds of the distance-weighted vote, drawn to even odds by one weak neighbour; without likeness there is no vote."""
+        weight = score**2 / np.maximum(1e-3, 1 - score)
         toxic = float((weight * self.label.ravel()[place]).sum())
-        return float(np.log((toxic + 0.5) / (weight.sum() - toxic + 0.5)))
+        return float(np.log((toxic + 0.05) / (weight.sum() - toxic + 0.05)))
+
+    def scores(self, bags: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list[int]]]:
+        out: list[tuple[float, list[int]]] = []
+        for begin in range(0, len(bags), _TEXTS):
+            vectors = [self.vector(*x) for x in bags[begin : begin + _TEXTS]]
+            for place, cosine in self.nearest_of(vectors):
+                if not len(place):
+                    out.append((self.prior, []))
+                    continue
+                odds = self.slope * self.vote(place, cosine) + self.shift
+                out.append((float(1 / (1 + np.exp(-np.clip(odds, -30, 30)))), [int(x) for x in self.ids[place[:3]]]))
+        return out
 
     def score(self, own: np.ndarray, counts: np.ndarray) -> tuple[float, list[int]]:
-        at, weight = self.vector(own, counts)
-        if not len(at):
-            return self.prior, []
-        place, cosine = self.nearest(at, weight)
-        if not len(place):
-            return self.prior, []
-        odds = self.slope * self.vote(place, cosine) + self.shift
-        return float(1 / (1 + np.exp(-np.clip(odds, -30, 30)))), [int(x) for x in self.ids[place[:3]]]
+        return self.scores([(own, counts)])[0]
+
+
+def lift(n0: np.ndarray, n1: np.ndarray, all0: int, all1: int) -> np.ndarray:
+    """Log ratio of a term's shares in label 1 and label 0, less LESS standard errors; FLOOR at least."""
+    ratio = np.log((n1 + 0.5) / (all1 + 1)) - np.log((n0 + 0.5) / (all0 + 1))
+    return FLOOR + np.maximum(0, ratio - LESS * np.sqrt(1 / (n1 + 0.5) + 1 / (n0 + 0.5)))
 
 
 def _terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,51 +166,65 @@ def fit(spark: SparkSession, documents: DataFrame, labels: DataFrame, examples:
     picked = marked.where(unit < F.when(F.col("label") == 1, min(1.0, examples[1] / sizes[1])).otherwise(min(1.0, examples[0] / sizes[0])))
     rows = documents.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(picked), F.col("id") == F.col("doc_id")).select("doc_id", "label", "text")
     bags = store(rows.mapInArrow(_terms_of, "doc_id long, label int, term array<long>, times array<long>").dropDuplicates(["doc_id"]), "examples")
-    flat = bags.select("doc_id", "label", F.explode(F.arrays_zip("term", "times")).alias("x")).select("doc_id", "label", "x.term", "x.times")
-    half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2))
-    here = {r["label"]: r["count"] for r in bags.where(half == 0).groupBy("label").count().collect()}
-    if len(here) < 2:
-        return None
-    count = sum(here.values())
-    known = flat.where(half == 0).groupBy("term").agg(F.count("*").alias("n"), F.sum("label").alias("n1"))
-    known = known.where((F.col("n") >= max(2, LEAST * count)) & (F.col("n") <= max(2, MOST * count)))
-    share, spread = F.col("n") / count, 1 / here[0] + 1 / here[1]
-    lift = (F.col("n1") / here[1] - (F.col("n") - F.col("n1")) / here[0]) / F.sqrt(share * (1 - share) * spread)
-    known = known.where(lift >= LIFT).select("term")
-    got = flat.select("doc_id", "term", "times").join(known, "term").toArrow()  # terms of the bounded sample
-    heads = bags.select("doc_id", "label", half.cast("int").alias("half")).toArrow()
-    ids, label, other = heads["doc_id"].to_numpy(), heads["label"].to_numpy(), heads["half"].to_numpy()
+    half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int")
+    return build(bags.withColumn("half", half).toArrow(), sizes)  # the bounded sample
+
+
+def build(got: pa.Table, sizes: dict[int, int]) -> Index | None:
+    """Index of examples (doc_id, label, term, times, half); ``sizes``: labelled rows by label."""
     # examples with similar terms side by side keep block maxima low: by label, then by id
-    order = np.lexsort((ids, label))
-    ids, label, other = ids[order], label[order], other[order]
-    vocabulary, column_ = np.unique(got["term"].to_numpy().view(np.uint64), return_inverse=True)
-    row = np.searchsorted(ids[np.argsort(ids)], got["doc_id"].to_numpy())
-    row = np.argsort(ids)[row] if len(row) else row
-    have = np.bincount(column_, minlength=len(vocabulary))
-    idf = np.log(len(ids) / np.maximum(have, 1)) + 1
+    got = got.sort_by([("label", "ascending"), ("doc_id", "ascending")])
+    ids, label, other = got["doc_id"].to_numpy(), got["label"].to_numpy(), got["half"].to_numpy()
+    here = np.bincount(label[other == 0], minlength=2)
+    if not here.all():
+        return None
+    own = np.repeat(np.arange(len(ids), dtype=np.int32), pc.list_value_length(got["term"]).to_numpy())
+    term, times = pc.list_flatten(got["term"]).to_numpy().view(np.uint64), pc.list_flatten(got["times"]).to_numpy()
+    del got
+    order = np.lexsort((own, term))
+    own, term, weight = own[order], term[order], (1 + np.log(times[order])).astype(np.float32)
+    del times, order
+    vocabulary, starts = np.unique(term, return_index=True)
+    starts = np.append(starts, len(term))
+    have = np.diff(starts)
+    of = np.repeat(np.arange(len(vocabulary), dtype=np.int32), have)
+    del term
+    first = other[own] == 0
+    n1 = np.bincount(of, first & (label[own] == 1), len(vocabulary))
+    n0 = np.bincount(of, first, len(vocabulary)) - n1
+    idf = (np.log(len(ids) / np.maximum(have, 1)) + 1) * lift(n0, n1, int(here[0]), int(here[1]))
+    weight *= idf[of].astype(np.float32)
+    weight /= np.sqrt(np.bincount(own, weight.astype(np.float64) ** 2, len(ids))).astype(np.float32)[own]
     blocks = -(-len(ids) // BLOCK)
-    weights = np.zeros((blocks * BLOCK, len(vocabulary)))
-    weights[row, column_] = (1 + np.log(got["times"].to_numpy())) * idf[column_]
-    weights /= np.maximum(np.sqrt((weights**2).sum(1, keepdims=True)), 1e-300)
+    dense = np.where(have * FREQUENT >= len(ids), np.cumsum(have * FREQUENT >= len(ids)) - 1, -1)
+    frequent = int(dense.max(initial=-1)) + 1
+    cube, often = np.zeros((blocks, frequent, BLOCK), np.float32), dense[of] >= 0
+    cube[own[often] // BLOCK, dense[of[often]], own[often] % BLOCK] = weight[often]
     full = np.full(blocks * BLOCK, -1)
     full[: len(label)] = label
-    cube = np.ascontiguousarray(weights.reshape(blocks, BLOCK, len(vocabulary)).transpose(0, 2, 1))
+    rare_starts = np.concatenate(([0], np.cumsum(np.where(dense < 0, have, 0))))
     index = Index(vocabulary, idf, cube.reshape(-1, BLOCK), cube.max(2), full.reshape(blocks, BLOCK), np.pad(ids, (0, blocks * BLOCK - len(ids))), 0.0)
+    index.dense, index.starts, index.places, index.rare = dense, rare_starts, own[~often], weight[~often]
+    by_example = np.argsort(own, kind="stable")
+    edges = np.searchsorted(own[by_example], np.arange(len(ids) + 1))
+    vectors = lambda k: (of[by_example[edges[k] : edges[k + 1]]], weight[by_example[edges[k] : edges[k + 1]]])
     stands_for = np.where(label == 1, sizes[1] / max(1, (label == 1).sum()), sizes[0] / max(1, (label == 0).sum()))
-    _calibrate(index, label, weights, np.flatnonzero(other), stands_for)
+    _calibrate(index, label, vectors, np.flatnonzero(other), stands_for)
     return index
 
 
-def _calibrate(index: Index, label: np.ndarray, weights: np.ndarray, held: np.ndarray, stands_for: np.ndarray) -> None:
-    """Logistic regression of the label on the vote, over the half that the terms were not chosen on.
+def _calibrate(index: Index, label: np.ndarray, vectors: Callable, held: np.ndarray, stands_for: np.ndarray) -> None:
+    """Logistic regression of the label on the vote, over the half that the lift was not counted in.
 
     An example counts for the labelled rows that it stands for. Texts without a vote get the share of label 1 among
     examples without one.
     """
     votes, voted, silent = [], [], []
-    for k in held:
-        at = np.flatnonzero(weights[k])
-        place, cosine = index.nearest(at, weights[k][at], without=k) if len(at) else ([], [])
+    near = []
+    for begin in range(0, len(held), _TEXTS):
+        some = held[begin : begin + _TEXTS]
+        near += index.nearest_of([vectors(k) for k in some], list(some))
+    for k, (place, cosine) in zip(held, near):
         if len(place):
             votes.append(index.vote(place, cosine))
             voted.append(k)
@@ -192,15 +257,15 @@ class _Packed:
         i = self.index
         flat = i.weights.reshape(-1)
         at = np.flatnonzero(flat)
-        return _unpack, (i.vocabulary, i.idf, i.weights.shape, at, flat[at], i.label, i.ids, i.prior, i.slope, i.shift)
+        return _unpack, (i.vocabulary, i.idf, i.weights.shape, at, flat[at], i.label, i.ids, i.prior, i.slope, i.shift, i.dense, i.starts, i.places, i.rare)
 
 
-def _unpack(vocabulary, idf, shape, at, values, label, ids, prior, slope, shift) -> _Packed:
-    flat = np.zeros(int(np.prod(shape)))
+def _unpack(vocabulary, idf, shape, at, values, label, ids, prior, slope, shift, *rare) -> _Packed:
+    flat = np.zeros(int(np.prod(shape)), values.dtype)
     flat[at] = values
     weights = flat.reshape(shape)
-    top = weights.max(1).reshape(-1, len(vocabulary))
-    return _Packed(Index(vocabulary, idf, weights, top, label, ids, prior, slope, shift))
+    top = weights.max(1).reshape(len(label), -1)
+    return _Packed(Index(vocabulary, idf, weights, top, label, ids, prior, slope, shift, *rare))
 
 
 def predict(spark: SparkSession, documents: DataFrame, index: Index | None) -> DataFrame:
@@ -212,7 +277,8 @@ def predict(spark: SparkSession, documents: DataFrame, index: Index | None) -> D
         for batch in batches:
             out = []
             for at in range(0, batch.num_rows, 1000):
-                out += [own.score(*x) if own is not None else (0.0, []) for x in terms(column(batch.slice(at, 1000), "text"))]
+                texts = column(batch.slice(at, 1000), "text")
+                out += own.scores(terms(texts)) if own is not None else [(0.0, [])] * len(texts)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in out], pa.float64()), pa.array([e for _, e in out], pa.list_(pa.int64()))], names=["doc_id", "score", "evidence"])
 
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, evidence array<long>")

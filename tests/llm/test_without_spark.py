@@ -160,6 +160,46 @@ def test_nearest_examples_equal_a_full_comparison():
     assert index.score(np.empty(0, np.uint64), np.empty(0)) == (0.1, [])
 
 
+def test_all_words_and_stems_count_however_rare():
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(400)]
+    texts, label = [], []
+    for k in range(1200):  # one text in 50 insults in a rare language, each time by another form of one stem
+        rare = k % 50 == 7
+        bad = rare or k % 4 == 1
+        insult = [f"zumvork{chr(97 + k // 50)}q" if rare else "idiot"] * 3
+        texts.append(" ".join(rng.choices(words, k=30) + (insult if bad else [])))
+        label.append(int(bad))
+    bags = toxicity.terms(texts)
+    table = pa.table({
+        "doc_id": pa.array(range(len(texts)), pa.int64()), "label": pa.array(label, pa.int32()), "half": pa.array([k // 50 % 2 for k in range(len(texts))], pa.int32()),
+        "term": pa.array([x.view(np.int64).tolist() for x, _ in bags], pa.list_(pa.int64())), "times": pa.array([y.tolist() for _, y in bags], pa.list_(pa.int64()))})
+    index = toxicity.build(table, {0: label.count(0), 1: label.count(1)})
+    assert set(np.concatenate([x for x, _ in bags]).tolist()) == set(index.vocabulary.tolist()) and index.idf.min() > 0
+    new = [" ".join(rng.choices(words, k=30) + more) for more in (["zumvorkxy", "zumvorkzy"], ["idiot"] * 2, [])]
+    got = [s for s, _ in index.scores(toxicity.terms(new))]
+    assert got[0] > 0.7 and got[1] > 0.7 and got[2] < 0.3
+    # frequent and rare terms together give the cosines of a full comparison
+    full = np.zeros((index.label.size, len(index.vocabulary)))
+    for k, bag in zip(np.argsort(np.array(label), kind="stable"), range(len(texts))):
+        at, weight = index.vector(*bags[k])
+        full[bag, at] = weight
+    assert 0 < index.top.shape[1] < len(index.vocabulary)
+    for at, weight in (index.vector(*x) for x in toxicity.terms(new)):
+        place, cosine = index.nearest(at, weight)
+        want = full[:, at] @ weight
+        assert np.allclose(cosine, np.sort(want)[::-1][:25], atol=1e-5) and np.allclose(want[place], cosine, atol=1e-5)
+
+
+def test_beginnings_of_words():
+    hashes, at = common.word_hashes(["réêou réê", "réê x", None], prefixes=(3,))
+    assert np.diff(at).tolist() == [3, 2, 0] and len(set(hashes.tolist())) == 4
+    other, _ = common.word_hashes(["y réêabc"], prefixes=(3,))
+    assert len(set(other.tolist()) & set(hashes.tolist())) == 1
+
+
 def test_leaf_pairs_count_links_and_span_components():
     import pyarrow as pa
 
