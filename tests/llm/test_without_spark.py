@@ -84,6 +84,32 @@ def test_secret_spans():
     assert net.probability([]).shape == (0,)
 
 
+def test_every_key_like_run_is_scored():
+    for key in ("qwZkTbLpXoVnRsMyHgFd", "kqzvxwjpthgmbnrcsdlfkqzv", "48213907561290348817", "aB3dE6gH", "x9Kq-72Lm", "0" * 8):
+        text = f"the key {key} of the"
+        assert [text[a:b] for a, b in secret_scan.candidates(text, [])] == [key]
+    assert secret_scan.candidates("The understanding, HEREAFTER... is Beginning.", []) == []
+    net = secret_scan.train(*secret_scan.generated(["the of and in a to is that for was"], 300), epochs=6)
+    rng = random.Random(8)
+    found = total = 0
+    for letters in ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"):
+        for _ in range(50):
+            key = "".join(rng.choice(letters) for _ in range(20))
+            text = f"on are by key: {key} with this it"
+            found += any(text[a:b] == key for a, _, b in secret_scan.scan_text(text, net)[1])
+            total += 1
+    assert found / total > 0.9
+
+
+def test_threshold_is_the_recall_quantile():
+    positive, negative = secret_scan.generated(["the of and in a to is that for was"], 160)
+    hard = positive + negative[:40]  # findings that look like none: the threshold has to go down for them
+    net = secret_scan.train(hard, negative, epochs=2)
+    order = np.random.default_rng(7).permutation(len(hard) + len(negative))
+    held = [(hard + negative)[k] for k in order[: len(order) // 4] if k < len(hard)]
+    assert (net.probability(held) >= net.threshold - 1e-6).mean() >= secret_scan.RECALL and net.threshold < 0.5
+
+
 def test_lines():
     good = "This is a line that reads like a sentence, more or less."
     assert line_quality.judge_text(good) == (good, 12, 0, 0)
