@@ -150,6 +150,7 @@ def fit(spark: SparkSession, training: DataFrame, per_language: int = SAMPLE_PER
     common = grams.where(F.col("share") >= MIN_SHARE)  # so a language has at most (n-grams of a text) / MIN_SHARE of them
     top = common.groupBy("gram").agg(F.max("share").alias("top"))
     kept = common.join(top, "gram").where(F.col("share") >= RATIO * F.col("top")).select("lang", "gram").toArrow()
+    rows_of = {r["lang"]: r["count"] for r in known}  # of all training rows, not of the sample
     masks = np.zeros((SLOTS, (len(languages) + 63) // 64 or 1), np.uint64)
     lang = np.array(kept["lang"].to_pylist(), object)
     gram = kept["gram"].to_numpy().view(np.uint64)
@@ -161,7 +162,7 @@ def fit(spark: SparkSession, training: DataFrame, per_language: int = SAMPLE_PER
             used[slots] = True
         masks[used, k // 64] |= np.uint64(1 << (k % 64))
         wrong[k] = used.mean() ** HASHES
-    return Filters(languages, masks, wrong, max(languages, key=lambda x: (total[x], x)) if languages else None)
+    return Filters(languages, masks, wrong, max(languages, key=lambda x: (rows_of[x], x)) if languages else None)
 
 
 def predict(spark: SparkSession, documents: DataFrame, filters: Filters) -> DataFrame:

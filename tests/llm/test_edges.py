@@ -149,3 +149,10 @@ def test_general_forms_keep_texts(spark, tables):
     assert mixed.columns == docs.columns and mixed.count() > 0
     filters = language_id.fit(spark, docs)
     assert set(filters.languages) == {"de", "en", "fr"}
+
+
+def test_usual_language_is_that_of_most_rows(spark):
+    unit = F.pmod(F.xxhash64("id", F.lit("language sample")), F.lit(1 << 30)) / float(1 << 30)
+    sampled = [r["id"] for r in spark.range(2000).where(unit < 0.05).limit(40).collect()]  # the sample has all rows of the rarer language
+    rows = [(k, f"bb text {k}", "bb") for k in sampled] + [(5000 + k, f"aa text {k}", "aa") for k in range(60)]
+    assert language_id.fit(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), 10).usual == "aa"
