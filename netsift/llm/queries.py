@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netsift.session import ship
+from netsift.session import shared_folder, ship
 
-from . import bpe, cover_tree, html_extract, language_id, line_quality, mixing, ngram_join, secret_scan, tool_calls, toxicity
+from . import bpe, cover_tree, html_extract, language_id, line_quality, mixing, ngram_join, secret_scan, spelling, token_counts, tool_calls, toxicity
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +74,16 @@ def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tool_calls.link(spark, calls, results, tool_calls.schema_table(spark))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spark, _table(spark, sf_dir, "documents"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache of this query belongs to the table's folder and ends with the application."""
+    cache = f"{shared_folder(spark)}/token-counts-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+    return token_counts.count(spark, _table(spark, sf_dir, "documents"), WORD_VOCABULARY, cache)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_mixing": op2_mixing,
@@ -83,6 +95,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_secrets": op9_secrets,
     "op10_tool_calls": op10_tool_calls,
+    "op12_spelling": op12_spelling,
+    "op13_token_counts": op13_token_counts,
 }
 
 ORACLE: dict[str, str] = {"op6_quality": line_quality.ORACLE}
