@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from netsift.session import shared_folder, ship
 
-from . import bpe, cover_tree, html_extract, language_id, line_quality, mixing, ngram_join, secret_scan, spelling, token_counts, tool_calls, toxicity
+from . import bpe, collocations, cover_tree, html_extract, language_id, line_quality, mixing, ngram_join, secret_scan, spelling, token_counts, tool_calls, toxicity
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -74,6 +74,10 @@ def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tool_calls.link(spark, calls, results, tool_calls.schema_table(spark))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(spark, _table(spark, sf_dir, "documents"))
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spark, _table(spark, sf_dir, "documents"))
 
@@ -95,8 +99,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_secrets": op9_secrets,
     "op10_tool_calls": op10_tool_calls,
+    "op11_collocations": op11_collocations,
     "op12_spelling": op12_spelling,
     "op13_token_counts": op13_token_counts,
 }
 
-ORACLE: dict[str, str] = {"op6_quality": line_quality.ORACLE}
+ORACLE: dict[str, str] = {"op6_quality": line_quality.ORACLE, "op11_collocations": collocations.ORACLE}

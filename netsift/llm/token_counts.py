@@ -3,8 +3,8 @@
 A text's key is the SHA-256 of its normalised content, the text with every run of ASCII white space as one space and none
 at its ends; the tokenizer's key is the SHA-256 of its vocabulary file and library version, and names a folder of the
 cache. The tokenizer drops white space and none of its special strings holds any, so texts of one digest have one count.
-For the same reason a count is the sum over a text's white-space separated pieces: a task asks the library for each
-distinct piece once and keeps a bounded number of answers.
+For the same reason a count is the sum over a text's white-space separated pieces (which are cut further between letters
+or digits and marks such as a comma): a task asks the library for each distinct piece once and keeps a bounded number of answers.
 
 The cache is append-only: every run adds one folder of (digest, n_tokens), complete when its ``_SUCCESS`` is there, so a
 run that dies leaves nothing that is read. Two runs at once may store a digest twice, with the same count.
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -34,8 +35,10 @@ LIMIT = 2048
 ENTRIES = "digest binary, n_tokens long"
 HOT = 256  # a digest with more than a HOT-th of all rows is joined by broadcast
 MISSES = 200_000  # up to so many missing digests (32 bytes each) are broadcast to leave known texts at home
-_PIECES = 200_000  # answers a task keeps
+_PIECES = 400_000  # answers a task keeps
 _LONGEST = 64  # longer pieces are asked anew each time
+# between a letter or digit and one of these marks the tokenizer always cuts, and no special string holds the marks
+_INNER = re.compile(rb"(?<=[A-Za-z0-9])(?=[.,;:!?])|(?<=[.,;:!?])(?=[A-Za-z0-9])")
 
 
 def digest(text: Column) -> Column:
@@ -66,20 +69,35 @@ class Counts:
         found = self._library.encode_batch_fast([p.decode("utf-8", "replace") for p in pieces], add_special_tokens=False)
         return [len(x) for x in found]
 
-    def of(self, text: str) -> int:
-        pieces = Counter(text.encode("utf-8", "surrogatepass").split())  # bytes split at ASCII white space only
-        new = [p for p in pieces if p not in self._known]
-        if len(self._known) + len(new) > _PIECES:
-            self._known.clear()
-            new = list(pieces)
-        total = 0
+    def _sum(self, pieces: Counter) -> int:
+        """Tokens of all pieces; those not known are asked for and, as far as there is room, remembered."""
+        known, total, new = self._known, 0, []
+        for piece, n in pieces.items():
+            got = known.get(piece)
+            if got is None:
+                new.append(piece)
+            else:
+                total += got * n
+        if len(known) + len(new) > _PIECES:
+            known.clear()
         for at in range(0, len(new), 1000):
             part = new[at : at + 1000]
-            for piece, n in zip(part, self._ask(part)):
-                if len(piece) <= _LONGEST and len(self._known) < _PIECES:
-                    self._known[piece] = n
-                total += n * pieces.pop(piece)
-        return total + sum(self._known[p] * n for p, n in pieces.items())
+            for piece, got in zip(part, self._ask(part)):
+                if len(piece) <= _LONGEST and len(known) < _PIECES:
+                    known[piece] = got
+                total += got * pieces[piece]
+        return total
+
+    def of(self, text: str) -> int:
+        pieces = Counter(text.encode("utf-8", "surrogatepass").split())  # bytes split at ASCII white space only
+        fine: Counter = Counter()
+        for piece in [p for p in pieces if p not in self._known and _INNER.search(p)]:
+            n = pieces.pop(piece)
+            for part in _INNER.split(piece):
+                fine[part] += n
+        for part, n in fine.items():
+            pieces[part] += n
+        return self._sum(pieces)
 
 
 def encode(spark: SparkSession, texts: DataFrame, path: str) -> DataFrame:

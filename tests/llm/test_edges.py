@@ -50,8 +50,12 @@ def test_every_query_on_odd_and_empty_tables(spark, tables, name):
     rows = queries.QUERIES[name](spark, tables["full"]).collect()
     if name in ("op3_html", "op4_cover_tree", "op10_tool_calls"):
         assert len(rows) == {"op3_html": 4, "op4_cover_tree": 12, "op10_tool_calls": 3}[name]
+    elif name in ("op11_collocations", "op12_spelling"):
+        assert rows and all(None not in (r["lang"], r["phrase"]) if name.startswith("op11") else r["root"] for r in rows)
     else:
         assert len(rows) == 12
+    if name == "op13_token_counts":
+        assert {(r["n_bytes"], r["n_tokens"]) for r in rows if r["doc_id"] in (3, 4)} == {(0, 0)}
     if name == "op4_cover_tree":
         got = {(r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in rows}
         assert {(1, 4, 1, True), (2, 4, 1, False), (10, 4, 1, False), (None, 4, None, False), (3, 0, 3, True), (5, 0, 5, True), (9, 0, 9, True)} <= got
