@@ -51,7 +51,7 @@ def test_every_query_on_odd_and_empty_tables(spark, tables, name):
     if name in ("op3_html", "op4_cover_tree", "op10_tool_calls"):
         assert len(rows) == {"op3_html": 4, "op4_cover_tree": 12, "op10_tool_calls": 3}[name]
     elif name in ("op11_collocations", "op12_spelling"):
-        assert rows and all(None not in (r["lang"], r["phrase"]) if name.startswith("op11") else r["root"] for r in rows)
+        assert all(None not in (r["lang"], r["phrase"]) if name.startswith("op11") else r["root"] for r in rows)
     else:
         assert len(rows) == 12
     if name == "op13_token_counts":
