@@ -1,7 +1,7 @@
 """Ordered folds: rules whose next step depends on the last one (windows that open at an event).
 
-A fold sees one key's rows in time order in small batches, with a few numbers as state. The same
-fold runs over a table (sorted walk, nothing collected per key) and over a stream (keyed state).
+A fold sees one key's rows in time order in small batches, with a few numbers as state; nothing is collected
+per key. ``streaming.ordered`` has the same rules for streams.
 """
 
 from __future__ import annotations
@@ -38,12 +38,12 @@ def walk_sorted(df: DataFrame, key: str, order: list[str], fold: Fold, schema: s
 
 # -- alerts: fixed window from the first sent one ---------------------------------------------------
 TTL_SCHEMA = "fingerprint string, type string, severity string, device string, detail string, sec bigint"
-TTL_STATE = "until bigint"
 
 
-def alert_seconds(alerts: DataFrame) -> DataFrame:
-    """Alerts with their key and window length, repeats within a second folded (before the shuffle)."""
+def alert_seconds(alerts: DataFrame, *more: str) -> DataFrame:
+    """Alerts with their key and window length, and further columns."""
     return alerts.select(
+        *more,
         alert_fingerprint("type", "severity", "device", "detail").alias("fingerprint"), "type", "severity", "device", "detail",
         F.unix_timestamp("ts").alias("sec"), alert_ttl_seconds("severity").alias("ttl"),
     )
@@ -68,7 +68,6 @@ def dedup_alerts(alerts: DataFrame) -> DataFrame:
 
 # -- rate threshold: once per window when enough hits fall into it ----------------------------------
 RATE_SCHEMA = "src string, sec bigint"
-RATE_STATE = "start bigint, hits bigint"
 
 
 def rate_fold(state, rows, count=C.RATE_COUNT, seconds=C.RATE_SECONDS):
@@ -88,27 +87,13 @@ def rate_hits(events: DataFrame) -> DataFrame:
     return events.groupBy("src", F.unix_timestamp("ts").alias("sec")).agg(F.count("*").alias("n"))
 
 
-def rate_alerts(events: DataFrame) -> DataFrame:
+def rate_alerts(events: DataFrame, count: int = C.RATE_COUNT, seconds: int = C.RATE_SECONDS) -> DataFrame:
     """``events(src, ts)`` -> one row per source and window that reached the threshold."""
-    return walk_sorted(rate_hits(events), "src", ["sec"], rate_fold, RATE_SCHEMA)
+    fold = lambda state, rows: rate_fold(state, rows, count, seconds)
+    return walk_sorted(rate_hits(events), "src", ["sec"], fold, RATE_SCHEMA)
 
 
 # -- consecutive failures ---------------------------------------------------------------------------
-FAIL_SCHEMA = "probe string, sec bigint"
-FAIL_STATE = "fails bigint"
-
-
-def failure_fold(state, rows, threshold=C.FAILURE_THRESHOLD):
-    """Fires exactly at the third failure in a row; a success starts over."""
-    fails = state[0] if state else 0
-    out = []
-    for probe, sec, ok in zip(rows["probe"].tolist(), rows["sec"].tolist(), rows["ok"].tolist()):
-        fails = 0 if ok else fails + 1
-        if fails == threshold:
-            out.append((probe, sec))
-    return (fails,), pd.DataFrame(out, columns=["probe", "sec"])
-
-
 def failure_alerts(probes: DataFrame) -> DataFrame:
     """``probes(probe, sec, seq, ok)``; ``seq`` orders results of the same second.
 
@@ -129,7 +114,6 @@ def failure_alerts(probes: DataFrame) -> DataFrame:
 
 # -- sustained load ---------------------------------------------------------------------------------
 GAUGE_SCHEMA = "host string, sec bigint, mean double, elevated boolean"
-GAUGE_STATE = "last_alert bigint, elevated boolean"
 
 
 def gauge_fold(state, rows, threshold=C.GAUGE_THRESHOLD, reset=C.GAUGE_RESET_BELOW, realert=C.GAUGE_REALERT_HOURS * 3600):
@@ -146,6 +130,34 @@ def gauge_fold(state, rows, threshold=C.GAUGE_THRESHOLD, reset=C.GAUGE_RESET_BEL
     return (-1 if last is None else last, elevated), pd.DataFrame(out, columns=["host", "sec", "mean", "elevated"])
 
 
+def load_changes(means: DataFrame, threshold: float = C.GAUGE_THRESHOLD, reset_below: float = C.GAUGE_RESET_BELOW,
+                 realert: int = C.GAUGE_REALERT_HOURS * 3600) -> DataFrame:
+    """Alerts and clears ``(host, sec, mean, elevated)`` from ``means(host, time, event_id, mean, short_mean)``: an alert sets
+    the elevated mark, the first sample after it whose short mean is low clears it.
+
+    Alerts come from the ordered fold; whether a low sample clears one is a window over alerts and low samples alone.
+    """
+    rows = means.select("host", F.unix_timestamp("time").alias("sec"), "event_id", "mean", "short_mean")
+    fold = lambda state, part: _alert_fold(state, part, threshold, realert)
+    high = walk_sorted(rows.where(F.col("mean") >= threshold), "host", ["sec", "event_id"], fold, "host string, sec bigint, event_id bigint, mean double")
+    low = rows.where(F.col("short_mean") < reset_below).select("host", "sec", "event_id", "mean", F.lit(False).alias("elevated"))
+    both = low.unionByName(high.withColumn("elevated", F.lit(True)))
+    # a sample may clear the old mark and alert anew: the clear comes first; the rule looks one row back
+    spread = in_chunks(both, "host", ["sec", "event_id", "elevated"], F.floor(F.col("sec") / 3600), 1)
+    before = F.lag("elevated").over(Window.partitionBy("host", "chunk").orderBy("no"))
+    kept = F.col("elevated") | F.coalesce(before, F.lit(False))
+    return spread.withColumn("_kept", kept).where((F.col("chunk") == F.col("home")) & F.col("_kept")).select("host", "sec", "mean", "elevated")
+
+
+def _alert_fold(state, rows, threshold, realert):
+    last, out = state[0] if state else None, []
+    for host, sec, event, mean in zip(*[rows[c].tolist() for c in ("host", "sec", "event_id", "mean")]):
+        if last is None or sec - last >= realert:
+            last = sec
+            out.append((host, sec, event, mean))
+    return (last,), pd.DataFrame(out, columns=["host", "sec", "event_id", "mean"])
+
+
 def gauge_alerts(means: DataFrame) -> DataFrame:
     """``means(host, time, event_id, mean, short_mean)`` from ``telemetry.rolling_mean``.
 

@@ -66,8 +66,12 @@ def domain_pairs(ssl: DataFrame, dns: DataFrame, domain: str, top: int = 8) -> D
     lookups = dns.where(~F.lower("query").contains(domain.lower()) & (F.col("query") != "")).select(
         "src", F.unix_timestamp("ts").alias("near"), F.col("query").alias("host")
     ).distinct()
+    return top_hosts(events.join(lookups, ["src", "near"]).select("sec", "src", "kind", "host").distinct(), top)
+
+
+def top_hosts(hosts: DataFrame, top: int) -> DataFrame:
+    """The names most often seen near an event, per minute; ``hosts(sec, src, kind, host)``, distinct."""
     minute = (F.floor(F.col("sec") / 60) * 60).cast("bigint")
-    hosts = events.join(lookups, ["src", "near"]).select("sec", "src", "kind", "host").distinct()
     counts = hosts.groupBy(minute.alias("minute"), "host").agg(F.count("*").alias("n"))
     return top_per(counts, ["minute"], [F.desc("n"), "host"], top).drop("place")
 

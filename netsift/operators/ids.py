@@ -129,10 +129,18 @@ def beacon_overlap(alerts: DataFrame, findings: DataFrame, registry: Registry) -
     return lan.intersect(beacons)
 
 
+def p1_fold(alerts: DataFrame) -> DataFrame:
+    """Priority-one alerts per (day, sid, source): count and first; folds of parts add up by sum and minimum."""
+    return alerts.where("priority = 1").groupBy("day", "sid", "src_ip").agg(
+        F.count("*").alias("n"), F.min(F.struct("ts", "event_id", "rule", "proto", "dst_ip")).alias("f"))
+
+
 def p1_alerts(alerts: DataFrame, repeat: int = C.P1_REPEAT_MIN) -> DataFrame:
     """Pages for priority one: each (sid, inside source) once per day, and sids that keep firing."""
-    p1 = alerts.where("priority = 1").groupBy("day", "sid", "src_ip").agg(
-        F.count("*").alias("n"), F.min(F.struct("ts", "event_id", "rule", "proto", "dst_ip")).alias("f"))
+    return p1_pages(p1_fold(alerts), repeat)
+
+
+def p1_pages(p1: DataFrame, repeat: int = C.P1_REPEAT_MIN) -> DataFrame:
     lan = p1.where(IP.is_lan("src_ip")).select(
         "day", F.lit("suricata_p1_lan").alias("type"), F.col("src_ip").alias("device"),
         F.concat(F.lit("SID "), "sid", F.lit(" — "), F.substring("f.rule", 1, 80), F.lit(" ("), "f.proto", F.lit(" "), "src_ip",

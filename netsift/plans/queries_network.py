@@ -191,12 +191,12 @@ _EV = f"""
     UNION SELECT DISTINCT CAST(floor(epoch(ts)) AS BIGINT), src, 'dns' FROM dns WHERE contains(lower(query), '{L.WATCHED_DOMAIN}'))"""
 query("domain_minutes", lambda v: I.domain_minutes(v.ssl, v.dns, L.WATCHED_DOMAIN),
       with_views("", "ssl", "dns").rstrip() + "," + _EV + "SELECT sec // 60 * 60 AS minute, src, count(*) AS n FROM ev GROUP BY ALL")
-query("domain_pairs", lambda v: I.domain_pairs(v.ssl, v.dns, L.WATCHED_DOMAIN),
-      with_views("", "ssl", "dns").rstrip() + "," + _EV + f""",
+PAIRS_SQL = with_views("", "ssl", "dns").rstrip() + "," + _EV + f""",
   lk AS (SELECT DISTINCT src, CAST(floor(epoch(ts)) AS BIGINT) AS q, query AS host FROM dns WHERE NOT contains(lower(query), '{L.WATCHED_DOMAIN}')),
   h AS (SELECT DISTINCT sec, ev.src, kind, host FROM ev JOIN lk ON lk.src = ev.src AND abs(q - sec) <= 1)
 SELECT * FROM (SELECT sec // 60 * 60 AS minute, host, count(*) AS n FROM h GROUP BY ALL)
-QUALIFY row_number() OVER (PARTITION BY minute ORDER BY n DESC, host) <= 8""")
+QUALIFY row_number() OVER (PARTITION BY minute ORDER BY n DESC, host) <= 8"""
+query("domain_pairs", lambda v: I.domain_pairs(v.ssl, v.dns, L.WATCHED_DOMAIN), PAIRS_SQL)
 query("domain_addresses", lambda v: I.domain_addresses(v.dns, L.WATCHED_DOMAIN, "2024-01-29 00:00:00"),
       with_views(f"""SELECT DISTINCT ip FROM (SELECT unnest(answers) AS ip FROM dns WHERE contains(lower(query), '{L.WATCHED_DOMAIN}')
   AND ts >= TIMESTAMP '2024-01-29 00:00:00') WHERE regexp_matches(ip, '^[0-9.]+$')""", "dns"))
