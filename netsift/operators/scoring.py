@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import catalogues as C
 from ..functions import names as N
 from ..functions.flags import level_of
+from .quantiles import with_quantiles
 
 PAIR = ["day", "src", "dst"]
 
@@ -34,11 +35,10 @@ def _regularity(median: Column, q1: Column, q3: Column, mad: Column) -> Column:
 
 def _quartiles(df: DataFrame, value: str, prefix: str) -> DataFrame:
     """Median, quartiles and median absolute deviation of ``value`` (weighted by ``n``) per pair."""
-    q = lambda p: F.percentile(value, F.lit(p), F.col("n"))
-    mid = df.groupBy(*PAIR).agg(q(0.5).alias("med"), q(0.25).alias("q1"), q(0.75).alias("q3"))
-    dev = df.join(mid.select(*PAIR, "med"), PAIR).withColumn("_d", F.abs(F.col(value) - F.col("med")))
-    mad = dev.groupBy(*PAIR).agg(F.percentile("_d", F.lit(0.5), F.col("n")).alias("mad"))
-    return mid.join(mad, PAIR).select(*PAIR, _regularity(F.col("med"), F.col("q1"), F.col("q3"), F.col("mad")).alias(prefix))
+    mid = with_quantiles(df, PAIR, value, {"med": 0.5, "q1": 0.25, "q3": 0.75})
+    dev = mid.withColumn("_d", F.abs(F.col(value) - F.col("med")))  # the rows of a pair are together already
+    per = with_quantiles(dev, PAIR, "_d", {"mad": 0.5}).groupBy(*PAIR).agg(*[F.max(c).alias(c) for c in ("med", "q1", "q3", "mad")])
+    return per.select(*PAIR, _regularity(F.col("med"), F.col("q1"), F.col("q3"), F.col("mad")).alias(prefix))
 
 
 def beacon_scores(conn: DataFrame) -> DataFrame:

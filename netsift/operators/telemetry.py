@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import catalogues as C
+from .quantiles import quantiles, value_counts
 from .skew import CHUNK, in_chunks
 
 
@@ -40,8 +41,9 @@ def duty(t: DataFrame, flag: str, other: str) -> DataFrame:
     idle = ~F.coalesce(F.col(flag), F.lit(False)) & ~F.coalesce(F.col(other), F.lit(False))
     stats = t.groupBy("host").agg(
         F.count("*").alias("samples"), (F.count_if(flag) * 100.0 / F.count("*")).alias("duty_pct"),
-        F.max("temp_c").alias("peak_c"), F.median(F.when(idle, F.col("temp_c"))).alias("idle_median_c"))
-    j = stats.join(transitions(t, flag), "host")
+        F.max("temp_c").alias("peak_c"))
+    median = quantiles(value_counts(t, ["host"], F.when(idle, F.col("temp_c"))), ["host"], "value", {"idle_median_c": 0.5})
+    j = stats.join(median, "host", "left").join(transitions(t, flag), "host")
     return j.withColumn("transitions_per_hour", F.col("transitions") / (F.col("samples") / 60.0))
 
 
@@ -84,4 +86,5 @@ def freshness(imports: DataFrame, now, ts: str = "ts", source: str = "source") -
 
 def chart_bounds(t: DataFrame, gauge: str) -> DataFrame:
     """2nd and 98th percentile per host, the chart's axis."""
-    return t.groupBy("host").agg(F.percentile(gauge, F.lit(0.02)).alias("p2"), F.percentile(gauge, F.lit(0.98)).alias("p98"))
+    hosts = t.select("host").distinct()
+    return hosts.join(quantiles(value_counts(t, ["host"], F.col(gauge)), ["host"], "value", {"p2": 0.02, "p98": 0.98}), "host", "left")
