@@ -69,6 +69,26 @@ def glob_to_regex(pattern: str) -> str:
     return r"(?s)\A" + "".join(out) + r"\z"
 
 
+def literal_regex(text: str) -> str:
+    return re.escape(text)
+
+
+def glob_literals(pattern: str) -> list[str]:
+    """The literal runs of a glob: every value it matches holds each of them."""
+    runs, run, i = [], "", 0
+    while i < len(pattern):
+        ch = pattern[i]
+        close = pattern.find("]", i + 2) if ch == "[" else -1
+        if ch in "*?" or close > 0:
+            runs.append(run)
+            run = ""
+            i = max(i, close)
+        else:
+            run += ch
+        i += 1
+    return [r for r in [*runs, run] if r]
+
+
 def glob_matches(c, pattern: str) -> Column:
     """One glob as an expression; ``*.x`` also matches the apex ``x``."""
     c = col(c)

@@ -149,3 +149,19 @@ def p1_pages(p1: DataFrame, repeat: int = C.P1_REPEAT_MIN) -> DataFrame:
         "day", F.lit("suricata_p1_repeated").alias("type"), F.lit("sensor").alias("device"),
         F.concat(F.lit("SID "), "sid", F.lit(f" fired ≥{repeat}× today — "), F.substring("f.rule", 1, 80)).alias("detail"))
     return lan.unionByName(again)
+
+
+def with_rules(alerts: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """Alerts per (sid, rule) with what the catalogue says of the sid; ``known`` tells sids it lacks.
+
+    Alerts are counted before the join; of a sid that is listed twice the enabled rule counts, then the smaller text.
+    A logged id ``gid:sid:rev`` is joined by its middle part.
+    """
+    parts = F.split("sid", ":")
+    sid = F.when(F.size(parts) == 3, F.get(parts, F.lit(1))).otherwise(F.col("sid"))
+    counts = alerts.groupBy(sid.alias("sid"), "rule").agg(F.count("*").alias("n"), F.max("ts").alias("last_seen"))
+    best = catalogue.groupBy("sid").agg(F.min(F.struct((~F.col("enabled")).alias("off"), "msg", "action", "classtype")).alias("_r"))
+    j = counts.join(best, "sid", "left")
+    return j.select(
+        "sid", "rule", "n", "last_seen", F.col("_r").isNotNull().alias("known"), (~F.col("_r.off")).alias("enabled"), F.col("_r.action").alias("action"),
+        F.col("_r.classtype").alias("classtype"), F.col("_r.msg").alias("msg"))

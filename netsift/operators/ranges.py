@@ -63,6 +63,44 @@ def range_table(df: DataFrame, lo: str = "lo", hi: str = "hi", order: str = "ord
     )
 
 
+def range_prefixes(lo: Column, hi: Column) -> Column:
+    """The fewest prefixes that cover ``lo`` to ``hi``, two strings of binary digits of one length; null if there are none.
+
+    Below the digit where the ends part, the lower half is covered by ``lo`` without its trailing zeros and by the right
+    neighbour of every further zero on the way to it, the upper half likewise with ones; two whole halves are one prefix.
+    Works on digits, so 128 of them are as good as 32.
+    """
+    width = F.length(lo)
+
+    def cover(d: Column) -> Column:
+        """``d``: place of the first digit that differs (from 1); 0: none does."""
+        cut = lambda bits, digit: F.rpad(F.rtrim(bits, F.lit(digit)), F.greatest(F.length(F.rtrim(bits, F.lit(digit))), d), digit)
+        low, high = cut(lo, "0"), cut(hi, "1")
+
+        def side(edge: Column, digit: str, other: str) -> Column:
+            inner = F.sequence(d + 1, F.length(edge) - 1)
+            steps = F.transform(inner, lambda i: F.when(F.substring(edge, i, F.lit(1)) == digit, F.concat(F.substring(edge, F.lit(1), i - 1), F.lit(other))))
+            return F.concat(F.array(edge), F.when(F.length(edge) - 1 >= d + 1, F.array_compact(steps)).otherwise(F.array().cast("array<string>")))
+
+        whole = (F.length(low) == d) & (F.length(high) == d)
+        parts = F.when(whole, F.array(F.substring(lo, F.lit(1), d - 1))).otherwise(F.concat(side(low, "0", "1"), side(high, "1", "0")))
+        return F.when(d == 0, F.array(lo)).otherwise(parts)
+
+    same = F.transform(F.sequence(F.lit(1), width), lambda i: F.substring(lo, i, F.lit(1)) == F.substring(hi, i, F.lit(1)))
+    found = F.transform(F.array(F.array_position(same, F.lit(False)).cast("int")), cover)
+    return F.when((width == F.length(hi)) & (lo <= hi), F.get(found, F.lit(0)))
+
+
+def address_range_table(df: DataFrame, lo: str = "lo", hi: str = "hi", order: str = "ord") -> DataFrame:
+    """Inclusive ranges given as addresses, v4 and v6 in one list, as prefixes for :func:`lookup`.
+
+    Rows whose ends are not addresses, of two families or in the wrong order are dropped.
+    """
+    rows = df.withColumns({"_lo": IP.ip_bits(lo), "_hi": IP.ip_bits(hi)})
+    rows = rows.withColumn("prefix", F.explode(range_prefixes(F.col("_lo"), F.col("_hi"))))
+    return rows.select(*df.columns, "prefix", F.length("_lo").alias("fam"), F.length("prefix").alias("plen")).withColumn("ord", F.col(order).cast("bigint"))
+
+
 def lookup(
     ips: DataFrame, ip: str, table: DataFrame, payload: list[str], pick: str = "longest"
 ) -> DataFrame:
@@ -106,9 +144,3 @@ def with_ranges(
     """
     found = lookup(df if ips is None else ips, ip, table, payload, pick)
     return df.join(found, ip, "left")
-
-
-def in_ranges(df: DataFrame, ip: str, table: DataFrame, flag: str) -> DataFrame:
-    """``df`` plus a boolean: the address lies in one of the networks."""
-    found = lookup(df, ip, table, ["ord"], "first").select(ip, F.lit(True).alias(flag))
-    return df.join(found, ip, "left").withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))

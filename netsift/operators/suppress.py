@@ -1,21 +1,26 @@
 """False-positive suppression: device, name glob, service component and owner glob.
 
 All four tests are look-ups on distinct values. The usual pattern shapes (a literal name, or
-``*.`` + literal) are equality joins on the name's label suffixes; only irregular globs become
-regular expressions, compiled once on the driver from the hand-kept registry.
+``*.`` + literal) are equality joins on the name's label suffixes. Up to ``_CHUNK`` irregular globs, what a hand-kept
+registry has, are one chain of regular expressions; more are indexed by a rare piece of their literal text, which
+values are looked up by, and only the patterns found there are tested.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names as N
+from ..session import checkpoint
 
 _CHUNK = 200
+_GRAM = 8
 
 
 @dataclass
@@ -66,6 +71,42 @@ def _glob_shape():
     )
 
 
+def glob_index(patterns: DataFrame) -> DataFrame:
+    """``(ord, gram, regex)``: each glob under the piece of its literal text (``_GRAM`` characters at most) that fewest share.
+
+    A glob without literal text stands under the empty piece, which every value has.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for ord_, pattern in zip(batch["ord"].tolist(), batch["pattern"].tolist()):
+                grams = {r[i : i + _GRAM] for r in N.glob_literals(pattern) for i in range(max(1, len(r) - _GRAM + 1))}
+                regex = N.glob_to_regex(pattern)
+                if pattern.startswith("*."):  # the text after it stands for itself as well, wildcards and all
+                    grams = {r[i : i + _GRAM] for r in N.glob_literals(pattern[2:]) for i in range(max(1, len(r) - _GRAM + 1))}
+                    regex = f"{regex}|\\A{N.literal_regex(pattern[2:])}\\z"
+                rows += [(ord_, g, regex) for g in grams or {""}]
+            yield pd.DataFrame(rows, columns=["ord", "gram", "regex"])
+
+    grams = patterns.select(F.col("ord").cast("int").alias("ord"), "pattern").mapInPandas(run, "ord int, gram string, regex string")
+    shared = grams.groupBy("gram").agg(F.count("*").alias("_n"))
+    best = grams.join(shared, "gram").groupBy("ord", "regex").agg(F.min(F.struct("_n", (-F.length("gram")).alias("_l"), "gram")).alias("_g"))
+    return checkpoint(best.select("ord", F.col("_g.gram").alias("gram"), "regex"))  # its size decides how it is joined
+
+
+def _indexed_lookup(distinct: DataFrame, keep: list[str], value: str, patterns: DataFrame) -> DataFrame:
+    """``(*keep, value, _regex_ord)`` of the first indexed glob that matches; a plan of one size for any number of globs."""
+    index = glob_index(patterns)
+    lengths = index.agg(F.collect_set(F.length("gram"))).scalar()  # at most _GRAM + 1 of them
+    v, n = F.col(value), F.length(value)
+    pieces = lambda k: F.when(k == 0, F.array(F.lit(""))).when(k <= n, F.array_distinct(F.transform(
+        F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(v, i, k))))
+    probes = distinct.withColumn("_lens", lengths).withColumn("gram", F.explode(F.flatten(F.array_compact(F.transform("_lens", pieces)))))
+    hits = probes.join(index, "gram").where(F.rlike(v, F.col("regex")))
+    return hits.groupBy(*keep, value).agg(F.min("ord").alias("_regex_ord"))
+
+
 def glob_lookup(values: DataFrame, value: str, patterns: DataFrame, keep: list[str] = ()) -> DataFrame:
     """``(*keep, value, ord)`` of the first pattern, in registry order, that each distinct value matches.
 
@@ -82,12 +123,14 @@ def glob_lookup(values: DataFrame, value: str, patterns: DataFrame, keep: list[s
         )
         .groupBy("_kind", "_key").agg(F.min("ord").alias("ord"))
     )
-    irregular = shaped.where("_shape = 2").select("ord", "pattern").orderBy("ord").collect()
-    chunks = [
-        F.coalesce(*[F.when(N.glob_matches(value, r["pattern"]), F.lit(r["ord"])) for r in irregular[i : i + _CHUNK]])
-        for i in range(0, len(irregular), _CHUNK)
-    ]
-    by_regex = F.coalesce(*chunks) if chunks else F.lit(None).cast("int")
+    irregular = shaped.where("_shape = 2").select("ord", "pattern")
+    few = irregular.orderBy("ord").limit(_CHUNK + 1).collect()
+    if len(few) > _CHUNK:
+        found = _indexed_lookup(distinct, keep, value, irregular).withColumnsRenamed({c: f"_f{i}" for i, c in enumerate([*keep, value])})
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_f{i}")) for i, c in enumerate([*keep, value])])
+        distinct, by_regex = distinct.join(found, same, "left"), F.col("_regex_ord")
+    else:
+        by_regex = F.coalesce(F.lit(None).cast("int"), *[F.when(N.glob_matches(value, r["pattern"]), F.lit(r["ord"])) for r in few])
     probes = distinct.select(
         *keep, value, by_regex.alias("_regex_ord"),
         F.explode(

@@ -144,7 +144,8 @@ class Views:
             F.concat(F.lit("O=Example, CN="), F.col("site"), F.lit(",C=US")).alias("server_subject"),
             F.when(k < 5, "self signed certificate").when(k < 8, "certificate has expired").otherwise("ok").alias("validation_status"),
             (k % 13 != 0).alias("established"),
-            F.concat_ws("_", shape, cipher, F.concat(F.lit("e"), F.col("event_id") % 3)).alias("ja4"),
+            F.concat_ws("_", shape, cipher, F.when((uid % 20 == 7) & (k % 10 == 3), F.concat(F.lit("u"), uid)).otherwise(
+                F.concat(F.lit("e"), F.col("event_id") % 3))).alias("ja4"),  # some devices have a print of their own
         )
 
     @cached_property

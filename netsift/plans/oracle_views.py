@@ -78,7 +78,7 @@ view("ssl", """
     k % 13 <> 0 AS established,
     ['t13d1516h2', 't12d190800', 'q13d0312h3', 't13d1517h1'][user_id % 4 + 1] || '_' ||
       CASE WHEN event_id % 7 = 0 THEN 'badc0ffee' ELSE ['aaaa0000', 'dddd1111', 'bbbb2222', 'cccc3333'][user_id % 4 + 1] END
-      || '_e' || (event_id % 3) AS ja4
+      || CASE WHEN user_id % 20 = 7 AND k % 10 = 3 THEN '_u' || user_id ELSE '_e' || (event_id % 3) END AS ja4
   FROM flows JOIN sites ON page_id = event_id % (SELECT count(*) FROM pages)
   WHERE service = 'ssl'""", "flows", "sites")
 view("dns", """

@@ -9,7 +9,7 @@ from ..operators import relay as Y
 from ..operators import scoring as Z
 from .oracle_views import lan, view, with_views
 from .queries_network import TODAY
-from .registry import query
+from .registry import ORACLE, query
 
 _text = lambda df, *cs: df.withColumns({c: F.col(c).cast("string") for c in cs})
 _joined = lambda df, *cs: df.withColumns({c: F.array_join(c, ",") for c in cs})
@@ -128,3 +128,25 @@ query("final_score",
       with_views("", "wk", "conn").rstrip() + "," + _SCORE + "," + _PREV + "," + _FIRST + f""",
   z AS (SELECT fs.*, least(greatest(score + coalesce(pm.modifier, 0) + coalesce(fm.modifier, 0), 0.0), 1.0) AS f FROM fs LEFT JOIN pm ON pm.day = fs.day AND pm.dst = fs.dst LEFT JOIN fm ON fm.dst = fs.dst)
 SELECT CAST(day AS VARCHAR) AS day, src, dst, round(score, 6) AS score, round(f, 6) AS final_score, {_LEVEL.format(s='f')} AS final_severity FROM z""")
+
+
+def _all_modifiers(v):
+    """The beacon score with every modifier of its week: prevalence, age, feed, HTTP, TLS fingerprint, straight to C2."""
+    conn = _week(v.conn)
+    suspects = Z.c2_over_dns(_week(v.dns), {"base": 3, "low": 5, "medium": 8, "high": 10}).where("level <> 'none'")
+    return Z.apply_modifiers(
+        Z.beacon_scores(conn), (Z.prevalence(conn), ["day", "dst"]), (Z.first_seen(v.conn, "2024-02-02"), ["dst"]),
+        (Z.threat_hits(conn, v.listed("threat_feed")), Z.PAIR), (Z.http_modifiers(_week(v.http), _mime(v)), Z.PAIR),
+        (Z.rare_signatures(_week(v.ssl)), Z.PAIR), (Z.direct_to_c2(conn, v.dns, suspects), Z.PAIR))
+
+
+_PARTS = ["threat_hits", "http_modifiers", "rare_weekly", "direct_to_c2"]
+_RARE = with_views("""SELECT DISTINCT CAST(date_trunc('week', day) AS DATE)::VARCHAR AS day, src, dst, 0.15::DOUBLE AS modifier
+FROM ssl WHERE ja4 IN (SELECT ja4 FROM ssl GROUP BY ja4 HAVING count(DISTINCT src) = 1)""", "ssl")
+query("final_score_all", lambda v: _text(_r(_all_modifiers(v).select("day", "src", "dst", "score", "final_score", "final_severity"), "score", "final_score"), "day"),
+      with_views("", "wk", "conn").rstrip() + "," + _SCORE + "," + _PREV + "," + _FIRST + ", " + ", ".join(
+          f"m{i} AS (SELECT day, src, dst, sum(modifier) AS modifier FROM ({_RARE if n == 'rare_weekly' else ORACLE[n]}) GROUP BY ALL)" for i, n in enumerate(_PARTS)) + f""",
+  z AS (SELECT fs.*, least(greatest(score + coalesce(pm.modifier, 0) + coalesce(fm.modifier, 0) + {' + '.join(f'coalesce(m{i}.modifier, 0)' for i in range(4))}, 0.0), 1.0) AS f
+    FROM fs LEFT JOIN pm ON pm.day = fs.day AND pm.dst = fs.dst LEFT JOIN fm ON fm.dst = fs.dst
+    {' '.join(f'LEFT JOIN m{i} ON m{i}.day = CAST(fs.day AS VARCHAR) AND m{i}.src = fs.src AND m{i}.dst = fs.dst' for i in range(4))})
+SELECT CAST(day AS VARCHAR) AS day, src, dst, round(score, 6) AS score, round(f, 6) AS final_score, {_LEVEL.format(s='f')} AS final_severity FROM z""")

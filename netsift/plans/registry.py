@@ -23,4 +23,4 @@ def query(name: str, build: Callable[[Views], DataFrame], sql: str | None = None
 
 def load() -> None:
     """Import every query module once."""
-    from . import queries_cadence, queries_findings, queries_inventory, queries_network, queries_scoring, queries_streams  # noqa: F401
+    from . import queries_cadence, queries_findings, queries_inventory, queries_network, queries_scoring, queries_sources, queries_streams  # noqa: F401

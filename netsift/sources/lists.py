@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as T
-from ..operators.ranges import cidr_table
+from ..operators.ranges import address_range_table, cidr_table
 
 
 def _ordered_lines(spark: SparkSession, paths) -> DataFrame:
@@ -18,6 +18,17 @@ def _data_lines(spark: SparkSession, paths) -> DataFrame:
     return _ordered_lines(spark, paths).where("value <> '' and not startswith(value, '#') and not startswith(value, ';')")
 
 
+class EmptyList(ValueError):
+    """A list that must never replace a good one."""
+
+
+def refuse_empty(entries: DataFrame, what: str) -> DataFrame:
+    """``entries``, or an error where there are none: a damaged download must not clear a list that is in use."""
+    if entries.isEmpty():
+        raise EmptyList(f"{what}: no usable entry")
+    return entries
+
+
 def leases(spark: SparkSession, paths) -> DataFrame:
     """DHCP leases ``ts mac ip host clientid``; ``*`` means no name; shorter lines are dropped."""
     p = F.split("value", r"\s+")
@@ -59,7 +70,9 @@ def ja4_labels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def service_endpoints(spark: SparkSession, path: str, area: str = "Skype") -> DataFrame:
-    """Published endpoint list of one service area as ``(kind, value)``: cidr, suffix, exact. IPv4 only."""
+    """Published endpoint list of one service area as ``(kind, value)``: cidr, suffix, exact. IPv4 only.
+
+    A list without any entry of the area is refused."""
     schema = "serviceArea string, ips array<string>, urls array<string>"
     rows = spark.read.schema(schema).option("multiLine", True).json(path).where(F.col("serviceArea") == area)
     nets = rows.select(F.explode("ips").alias("value")).where("not contains(value, ':')").withColumn("kind", F.lit("cidr"))
@@ -67,7 +80,7 @@ def service_endpoints(spark: SparkSession, path: str, area: str = "Skype") -> Da
     wild = F.col("value").startswith("*.")
     names = urls.select(
         F.when(wild, F.expr("substring(value, 2)")).otherwise(F.col("value")).alias("value"), F.when(wild, "suffix").otherwise("exact").alias("kind"))
-    return nets.unionByName(names).distinct()
+    return refuse_empty(nets.unionByName(names).distinct(), f"endpoints of {area}")
 
 
 def netblocks(spark: SparkSession, paths) -> DataFrame:
@@ -90,6 +103,12 @@ def geo_ranges(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("ord", F.monotonically_increasing_id())
 
 
+def address_ranges(spark: SparkSession, path: str) -> DataFrame:
+    """Range table CSV ``lo,hi,cc,city,org`` with the ends as v4 or v6 addresses, as prefixes."""
+    df = spark.read.option("header", True).schema("lo string, hi string, cc string, city string, org string").csv(path)
+    return address_range_table(df.withColumns({"lo": F.trim("lo"), "hi": F.trim("hi"), "ord": F.monotonically_increasing_id()}))
+
+
 def vendor_prefixes(spark: SparkSession, paths) -> DataFrame:
     """``PREFIX vendor name`` lines, six hex digits with or without separators."""
     rows = _data_lines(spark, paths)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructType
+from pyspark.sql.types import ArrayType, StructField, StructType, TimestampType
 
 from .. import schemas as T
 from ..functions import ip as IP
 from ..functions import names as N
+from ..session import checkpoint
 
 _DAY_IN_PATH = r"/(\d{4}-\d{2}-\d{2})/"
 
@@ -31,9 +35,11 @@ def _lines(spark: SparkSession, paths) -> DataFrame:
 def _with_latest(lines: DataFrame, markers: DataFrame, value: str) -> DataFrame:
     """Each line with the ``value`` of the latest marker line above it in its file.
 
-    A file has a handful of markers (usually one), so they travel as one small array per file.
+    A file has a handful of markers (usually one), so they travel as one small array per file, also to the later blocks of
+    a large file. They are written out first: then their size is known, and up to the planner's broadcast limit the lines
+    stay where they were read.
     """
-    per_file = markers.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("pos", value))).alias("_m"))
+    per_file = checkpoint(markers.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("pos", value))).alias("_m")))
     above = F.filter("_m", lambda m: m["pos"] < F.col("pos"))
     return lines.join(per_file, "file").withColumn(value, F.try_element_at(above, F.lit(-1))[value]).drop("_m")
 
@@ -66,10 +72,27 @@ def sensor_log(spark: SparkSession, paths, stem: str) -> DataFrame:
     return out.withColumn("day", F.coalesce(F.col("_day").try_cast("date"), F.to_date("ts"))).drop("_day")
 
 
+def day_paths(spark: SparkSession, root: str, pattern: str, today, days: int = 1) -> list[str]:
+    """Globs under the dated folders of the last ``days`` days that exist, and under the folders without a date (the live one)."""
+    Path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(Path(root)):
+        return []
+    last = dt.date.fromisoformat(str(today)[:10])
+    wanted = {(last - dt.timedelta(days=k)).isoformat() for k in range(days)}
+    names = sorted(s.getPath().getName() for s in fs.listStatus(Path(root)) if s.isDirectory())
+    globs = [f"{root}/{n}/{pattern}" for n in names if n in wanted or not re.fullmatch(r"\d{4}-\d{2}-\d{2}", n)]
+    return [g for g in globs if fs.globStatus(Path(g))]
+
+
 def sensor_days(spark: SparkSession, root: str, stem: str, today, days: int = 1) -> DataFrame:
-    """The log of the last ``days`` dated folders plus the live folder (which is today's tail)."""
+    """The log of the last ``days`` dated folders plus the live folder (which is today's tail); no other folder is listed."""
     today_ = F.lit(today).cast("date")
-    df = sensor_log(spark, f"{root}/*/{stem}.*log*", stem)
+    paths = day_paths(spark, root, f"{stem}.*log*", today, days)
+    if not paths:
+        schema = StructType([StructField(f.name, TimestampType() if f.name == "ts" else f.dataType) for f in StructType.fromDDL(T.LOGS[stem])])
+        return spark.createDataFrame([], schema.add("day", "date"))
+    df = sensor_log(spark, paths, stem)
     return df.where((F.col("day") > F.date_sub(today_, days)) & (F.col("day") <= today_))
 
 
@@ -102,7 +125,7 @@ def parse_alert_lines(lines: DataFrame) -> DataFrame:
     """
     parts = F.split(F.regexp_replace(F.trim("value"), r"^\[\s*x\d+\]\s*", ""), r"\[\*\*\]")
     piece = lambda i: F.trim(F.get("_p", F.lit(i)))
-    sid = F.substring_index(F.substring(piece(1), 2, 1 << 10), "]", 1)
+    sid = F.substring_index(F.substring(piece(1), F.lit(2), F.length(piece(1))), "]", 1)
     rule = F.trim(F.expr("substring(trim(get(_p, 1)), length(substring_index(trim(get(_p, 1)), ']', 1)) + 2)"))
     facts = piece(2)
     tags = F.transform(F.split(F.substring_index(facts, "{", 1), r"\]"), lambda t: F.ltrim(F.regexp_replace(t, r"^\s*\[", "")))
