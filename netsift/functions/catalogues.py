@@ -14,6 +14,7 @@ NXDOMAIN_MIN_SHARE = 0.25
 ENTROPY_MIN_BITS = 3.5
 ENTROPY_MIN_LABEL = 8
 EXFIL_MIN_MB = 10.0
+JA4_LOOKBACK_DAYS = 2
 JA4_FADE_DAYS = 14
 RECENT_SECTIONS = 3
 TOP_BEACON_SCORE = 0.80

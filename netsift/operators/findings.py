@@ -15,6 +15,7 @@ from ..functions import names as N
 from ..functions.flags import finding_flag
 from ..session import checkpoint
 from ..sources.windows import last_existing_days
+from .fingerprints import classify, modal_print
 from .network import top_per
 from .ranges import with_ranges
 from .suppress import Registry, drop_devices, keep_unsuppressed, mark_suppressed
@@ -135,6 +136,29 @@ def investigate(marked: DataFrame) -> DataFrame:
     return j.select("src", "flag", "score", "n_dests", shown.alias("dests"), text.alias("flag_str"))
 
 
+def investigate_details(marked: DataFrame, ssl: DataFrame, labels: DataFrame, ident: DataFrame, today) -> DataFrame:
+    """What stands beside a row of :func:`investigate`, per (src, flag): the usual TLS client and recovered names.
+
+    The client is the most common fingerprint of the source towards the group's addresses, today and yesterday, with its
+    label, where that comes from, and whether it names malware; nulls where none was seen. ``recovered`` lists the shown
+    destinations that are bare addresses and have a name elsewhere (``ident``), as ``address: name (source)``.
+    """
+    marked = checkpoint(marked.select("src", "flag", "dest", "dst", "fqdn", "score"))
+    prints = checkpoint(modal_print(ssl, marked.where("dst <> ''").select("src", "flag", "dst"), today))
+    known = classify(prints, labels).select("ja4", F.col("label").alias("ja4_label"), F.col("source").alias("ja4_source"), F.col("is_threat").alias("ja4_threat"))
+    keys = ["src", "flag"]
+    bare = F.when(F.coalesce("fqdn", F.lit("")) == "", F.col("dst"))
+    dests = marked.groupBy(*keys, "dest").agg(F.max("score").alias("score"), F.max(bare).alias("address"))
+    total = dests.groupBy(*keys).agg(F.count("*").alias("n_dests"))
+    shown = top_per(dests, keys, [F.desc("score"), "dest"], 3).join(total, keys).where("place <= 2 or n_dests <= 3")
+    named = shown.join(ident.select(F.col("dst").alias("address"), "name", "source"), "address")
+    text = F.concat("address", F.lit(": "), "name", F.lit(" ("), "source", F.lit(")"))
+    recovered = named.groupBy(*keys).agg(F.array_join(F.transform(
+        F.sort_array(F.collect_list(F.struct("place", text.alias("t")))), lambda x: x["t"]), "; ").alias("recovered"))
+    out = total.join(prints, keys, "left").join(known, "ja4", "left").join(recovered, keys, "left")
+    return out.select(*keys, "ja4", "ja4_count", "ja4_label", "ja4_source", "ja4_threat", F.coalesce("recovered", F.lit("")).alias("recovered"))
+
+
 def beaconing_devices(rows: DataFrame) -> DataFrame:
     """The tile: devices on the hotlist."""
     return rows.agg(F.countDistinct("src").alias("devices"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import catalogues as C
 from ..functions import ip as IP
 from ..functions import ja4 as J
+from ..sources.windows import in_calendar_window
 from .network import top_per
 from .suppress import Registry, drop_devices
 
@@ -51,8 +52,13 @@ def wan_prints(ssl: DataFrame, registry: Registry | None = None) -> DataFrame:
     return drop_devices(counts, registry) if registry else counts
 
 
-def modal_print(ssl: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Most common fingerprint per (src, flag) over the destinations in ``pairs(src, flag, dst)``."""
+def modal_print(ssl: DataFrame, pairs: DataFrame, today=None, days: int = C.JA4_LOOKBACK_DAYS) -> DataFrame:
+    """Most common fingerprint per (src, flag) over the destinations in ``pairs(src, flag, dst)``.
+
+    With ``today`` only the last ``days`` days of the log count.
+    """
+    if today is not None:
+        ssl = in_calendar_window(ssl, days, today)
     counts = ssl.where(~F.coalesce("ja4", F.lit("")).isin("", "-")).groupBy("src", "dst", "ja4").agg(F.count("*").alias("n"))
     merged = pairs.select("src", "flag", "dst").distinct().join(counts, ["src", "dst"]).groupBy("src", "flag", "ja4").agg(F.sum("n").alias("n"))
     return merged.groupBy("src", "flag").agg(F.max(F.struct("n", "ja4")).alias("_m")).select(

@@ -12,7 +12,7 @@ from ..operators import identity as I
 from ..operators import fingerprints as P
 from ..operators import folds as Q
 from .oracle_views import geo_of, glob_hit, service_hit, view, with_views
-from .queries_network import TODAY
+from .queries_network import _LABEL, TODAY
 from .registry import query
 
 
@@ -135,6 +135,31 @@ SELECT src, flag, score, n_dests, CASE WHEN n_dests <= 3 THEN array_to_string(l,
   CASE WHEN flag = 'vendor-telemetry' THEN vs || ' telemetry (' || conns || ' conns)' WHEN flag = 'dns' AND n > 1 THEN 'Excessive DNS: ' || conns || ' total queries' ELSE m END AS flag_str
 FROM dd JOIN ms USING (src, flag)"""
 query("investigate", lambda v: D.investigate(D.flagged(_live(v))), with_views("", "flagged").rstrip() + "," + _INV)
+# The flows of the TLS view go to other addresses than the findings: findings' own connections of the last four days beside it.
+_CLIENTS = ["t13d1516h2_badc0ffee_e1", "t13d1517h1_cccc3333_e1", "q13d0312h3_bbbb2222_e4", "t12d190800_dddd1111_e0", "t13d1516h2_aaaa0000_e0"]
+
+
+def _finding_tls(v):
+    day = F.date_sub(F.lit(TODAY).cast("date"), (F.col("finding_id") % 4).cast("int"))
+    client = F.get(F.array(*[F.lit(c) for c in _CLIENTS]), ((F.col("finding_id") + F.col("line_no")) % len(_CLIENTS)).cast("int"))
+    own = v.findings.select("src", "dst", day.alias("day"), client.alias("ja4"))
+    return v.ssl.select("src", "dst", "day", "ja4").unionByName(own)
+
+
+query("investigate_details", lambda v: D.investigate_details(D.flagged(_live(v)), _finding_tls(v), v.listed("ja4_labels"), _ident(v), TODAY),
+      with_views("", "flagged", "findings", "ssl", "l_ja4_labels", "identity").rstrip() + f""",
+  tls AS (SELECT src, dst, day, ja4 FROM ssl UNION ALL SELECT src, dst, CAST(DATE '{TODAY}' - CAST(finding_id % 4 AS INTEGER) AS DATE),
+    {_CLIENTS}[(finding_id + line_no) % {len(_CLIENTS)} + 1] FROM findings),""" + _LABEL.replace("FROM ssl) d", "FROM tls) d") + f""",
+  ds AS (SELECT src, flag, dest, max(score) AS s, max(CASE WHEN fqdn = '' THEN dst END) AS address FROM flagged GROUP BY ALL),
+  nd AS (SELECT src, flag, count(*) AS n_dests FROM ds GROUP BY ALL),
+  rk AS (SELECT *, row_number() OVER (PARTITION BY src, flag ORDER BY s DESC, dest) AS place FROM ds),
+  rec AS (SELECT rk.src, rk.flag, string_agg(address || ': ' || i.name || ' (' || i.source || ')', '; ' ORDER BY place) AS recovered
+    FROM rk JOIN nd USING (src, flag) JOIN identity i ON i.dst = address WHERE place <= 2 OR (place = 3 AND n_dests = 3) GROUP BY ALL),
+  jc AS (SELECT f.src, flag, ja4, count(*) AS n FROM (SELECT DISTINCT src, flag, dst FROM flagged) f JOIN tls ON tls.src = f.src AND tls.dst = f.dst
+    WHERE tls.day > DATE '{TODAY}' - 2 AND tls.day <= DATE '{TODAY}' GROUP BY ALL),
+  jm AS (SELECT src, flag, arg_max(ja4, (n, ja4)) AS ja4, max(n) AS ja4_count FROM jc GROUP BY src, flag)
+SELECT nd.src, nd.flag, jm.ja4, ja4_count, cls.label AS ja4_label, cls.source AS ja4_source, cls.is_threat AS ja4_threat, coalesce(recovered, '') AS recovered
+FROM nd LEFT JOIN jm ON jm.src = nd.src AND jm.flag = nd.flag LEFT JOIN cls ON cls.ja4 = jm.ja4 LEFT JOIN rec ON rec.src = nd.src AND rec.flag = nd.flag""")
 query("modal_ja4", lambda v: P.modal_print(v.ssl, v.conn.select("src", F.col("service").alias("flag"), "dst")),
       with_views("", "conn", "ssl").rstrip() + """,
   n AS (SELECT p.src, p.flag, ja4, count(*) AS n FROM (SELECT DISTINCT src, service AS flag, dst FROM conn) p JOIN ssl ON ssl.src = p.src AND ssl.dst = p.dst GROUP BY ALL)
