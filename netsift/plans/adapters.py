@@ -261,7 +261,7 @@ class Views:
             "event_id", "ts", "day", (F.lit(2000000) + k % 50).cast("string").alias("sid"), rule.alias("rule"),
             (k % 4 + 1).alias("priority"), "proto",
             F.when(k % 7 == 0, other).when(k % 2 == 0, F.col("src")).otherwise(F.col("dst")).alias("src_ip"),
-            F.when(k % 7 == 0, F.col("dst")).when(k % 2 == 0, F.col("dst")).otherwise(F.col("src")).alias("dst_ip"),
+            F.when(k % 35 == 0, F.concat(F.lit("198.41.1."), k + 1)).when((k % 7 == 0) | (k % 2 == 0), F.col("dst")).otherwise(F.col("src")).alias("dst_ip"),
         )
 
     @cached_property

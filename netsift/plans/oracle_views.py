@@ -129,7 +129,7 @@ view("alerts", """
     CASE WHEN k % 10 = 0 THEN 'SURICATA STREAM ' || event_type ELSE 'ET ' || upper(event_type) || ' pattern ' || (k % 50) END AS rule,
     k % 4 + 1 AS priority, proto,
     CASE WHEN k % 7 = 0 THEN '198.41.0.' || (k + 1) WHEN k % 2 = 0 THEN src ELSE dst END AS src_ip,
-    CASE WHEN k % 7 = 0 THEN dst WHEN k % 2 = 0 THEN dst ELSE src END AS dst_ip
+    CASE WHEN k % 35 = 0 THEN '198.41.1.' || (k + 1) WHEN k % 7 = 0 THEN dst WHEN k % 2 = 0 THEN dst ELSE src END AS dst_ip
   FROM flows""", "flows")
 view("telemetry", """
   SELECT event_id, 'host' || (user_id % 20) AS host, ts AS time, CAST(40 + k % 40 AS DOUBLE) AS temp_c, value % 100 AS cpu_pct,

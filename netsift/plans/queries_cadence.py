@@ -62,7 +62,10 @@ _HYPER = "'" + "|".join(t.replace(".", "\\.") for t in __import__("netsift.funct
 
 
 def _candidates_sql(days: int) -> str:
-    return f"""{_pairs_sql(days)},{_cv_sql(days)},{_SNI_SQL},{_HTTP_SQL},
+    own = lambda sql, log: sql.replace(f"FROM {log}", f"FROM own_{log}")
+    return f"""{_pairs_sql(days)},{_cv_sql(days)},
+  own_ssl AS (SELECT * FROM ssl WHERE {last_days('conn', days)}), own_http AS (SELECT * FROM http WHERE {last_days('conn', days)}),
+  {own(_SNI_SQL, 'ssl')},{own(_HTTP_SQL, 'http')},
   talk AS (SELECT dst, dst_port, count(DISTINCT src) AS lan_talkers FROM egress WHERE {last_days('conn', days)} GROUP BY ALL),
   badhost AS (SELECT DISTINCT dst FROM hx WHERE {glob_hit('host', 'domains')}),
   cand0 AS (SELECT p.*, s.sni, w.http_host, w.http_useragent, w.http_uri_sample, w.http_method_mix, t.lan_talkers,

@@ -32,9 +32,9 @@ query("alert_lan_rows", lambda v: S.lan_rows(_rel(v), v.conn, v.registry),
     UNION ALL SELECT p.lan_ip, p.ext_ip, rule, priority, ts, event_id FROM rel JOIN peers p ON p.ext_ip IN (src_ip, dst_ip)
     WHERE NOT {lan('src_ip')} AND NOT {lan('dst_ip')} AND p.lan_ip NOT IN (SELECT ip FROM fp_devices))
 SELECT lan_ip, ext_ip, rule, count(*) AS count, arg_min(priority, (ts, event_id)) AS priority FROM d GROUP BY lan_ip, ext_ip, rule""")
-query("alert_unresolved", lambda v: S.unresolved(_rel(v), v.conn.where("dst_port <> 53")),
+query("alert_unresolved", lambda v: S.unresolved(_rel(v), v.conn),
       with_views(f"""SELECT src_ip, dst_ip, rule, arg_min(priority, (ts, event_id)) AS priority, count(*) AS count FROM rel WHERE NOT {lan('src_ip')} AND NOT {lan('dst_ip')}
-  AND src_ip NOT IN (SELECT dst FROM conn WHERE dst_port <> 53) AND dst_ip NOT IN (SELECT dst FROM conn WHERE dst_port <> 53) GROUP BY src_ip, dst_ip, rule""", "rel", "conn"))
+  AND src_ip NOT IN (SELECT dst FROM conn) AND dst_ip NOT IN (SELECT dst FROM conn) GROUP BY src_ip, dst_ip, rule""", "rel", "conn"))
 query("alert_categories", lambda v: S.categories(_rel(v)),
       with_views("SELECT split_part(rule, ' ', 1) || ' ' || split_part(rule, ' ', 2) AS category, count(*) AS count FROM rel GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20", "rel"))
 query("alert_hours", lambda v: S.hours(_rel(v)),
@@ -108,12 +108,12 @@ query("asset_replay", lambda v: _text(_replayed(v), "first_seen", "last_seen"),
       with_views("", "dhcp_log").rstrip() + "," + _REPLAY + "SELECT * REPLACE (CAST(first_seen AS VARCHAR) AS first_seen, CAST(last_seen AS VARCHAR) AS last_seen) FROM rp")
 _wide = lambda v: _replayed(v).select("ip", "mac", F.lit("").alias("mac_vendor"), "hostname", F.lit("").alias("os"),
                                       F.array().cast("array<string>").alias("open_ports"), "first_seen", "last_seen")
-query("asset_history", lambda v: _text(_ports(A.fold_history(_wide(v), _inv(v).where("source <> 'dhcp'"), "2024-02-04")), "first_seen", "last_seen"),
+query("asset_history", lambda v: _text(_ports(A.fold_history(_wide(v), _inv(v), "2024-02-04")), "first_seen", "last_seen"),
       with_views("", "inv").rstrip() + "," + _REPLAY + """
 SELECT coalesce(a.ip, h.ip) AS ip, coalesce(a.mac, h.mac) AS mac, coalesce(a.mac_vendor, '') AS mac_vendor, CASE WHEN a.ip IS NOT NULL THEN a.hostname ELSE h.hostname END AS hostname,
   coalesce(a.os, '') AS os, array_to_string(coalesce(a.open_ports, []), ',') AS open_ports, CAST(coalesce(h.first_seen, DATE '2024-02-04') AS VARCHAR) AS first_seen,
   CAST(CASE WHEN a.ip IS NOT NULL THEN DATE '2024-02-04' ELSE h.last_seen END AS VARCHAR) AS last_seen
-FROM rp h FULL JOIN (SELECT * FROM inv WHERE source <> 'dhcp') a ON a.ip = h.ip WHERE a.ip IS NOT NULL OR h.last_seen >= DATE '2024-02-04' - 14""")
+FROM rp h FULL JOIN inv a ON a.ip = h.ip WHERE a.ip IS NOT NULL OR h.last_seen >= DATE '2024-02-04' - 14""")
 query("asset_ghosts", lambda v: A.ghosts(_replayed(v), v.leases, TODAY).select("ip", "mac", "days_ago"),
       with_views("", "dhcp_log", "leases").rstrip() + "," + _REPLAY + f"""
 SELECT ip, mac, CAST(date_diff('day', last_seen, DATE '{TODAY}') AS INTEGER) AS days_ago FROM rp WHERE ip NOT IN (SELECT ip FROM leases)""")
