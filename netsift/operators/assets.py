@@ -77,6 +77,33 @@ def merge_assets(
         names[F.col("rank")].alias("source"))
 
 
+def merge_scan(assets: DataFrame, scans: DataFrame) -> DataFrame:
+    """The inventory after port scans (rows of :func:`netsift.sources.lists.scan_results`).
+
+    Addresses that only a scan saw are new. A scan fills a blank name and system; a hardware address it saw replaces the
+    known one with its vendor, and the source is the scan then; open ports are added behind the known ones. Several lines
+    of an address count in the order of the column ``ord`` where there is one, else of their values: first name and
+    system, last hardware address, each port where it came first.
+    """
+    seen = scans.where("ip <> ''").withColumn("_o", F.col("ord") if "ord" in scans.columns else F.lit(0))
+    first = lambda c: F.min(F.when(F.col(c) != "", F.struct("_o", c)))[c]
+    last_mac = F.max(F.when(F.col("mac") != "", F.struct("_o", F.lower("mac").alias("mac"), "mac_vendor")))
+    hosts = seen.groupBy("ip").agg(first("hostname").alias("_host"), first("os").alias("_os"), last_mac.alias("_m"))
+    ports = seen.select("ip", "_o", F.posexplode("open_ports").alias("_p", "port")).groupBy("ip", "port").agg(F.min(F.struct("_o", "_p")).alias("at"))
+    ports = ports.groupBy("ip").agg(F.sort_array(F.collect_list(F.struct("at", "port")))["port"].alias("_ports"))  # port numbers bound the list
+    j = assets.withColumn("_old", F.lit(True)).join(hosts.join(ports, "ip", "left"), "ip", "full_outer")
+    blank = F.lit("")
+    fill = lambda c, by: F.coalesce(F.when(F.col(c) != "", F.col(c)), F.col(by), blank).alias(c)
+    none = F.array().cast("array<string>")
+    found = F.col("_m").isNotNull() | F.col("_old").isNull()
+    return j.select(
+        "ip", F.coalesce("_m.mac", "mac", blank).alias("mac"),
+        F.when(F.col("_m").isNotNull(), F.coalesce("_m.mac_vendor", blank)).otherwise(F.coalesce("mac_vendor", blank)).alias("mac_vendor"),
+        fill("hostname", "_host"), fill("os", "_os"),
+        F.array_distinct(F.concat(F.coalesce("open_ports", none), F.coalesce("_ports", none))).alias("open_ports"),
+        F.when(found, "scan").otherwise(F.col("source")).alias("source"))
+
+
 def one_address_per_mac(assets: DataFrame) -> DataFrame:
     """Where a MAC sits on several addresses, keep the one a lease or the DHCP log vouches for."""
     order = F.when(F.col("source").isin("leases", "dhcp"), 0).otherwise(1)
@@ -145,5 +172,3 @@ def labels(ips: DataFrame, manual: DataFrame, leases: DataFrame, assets: DataFra
     j = ips.select("ip").distinct().join(one(manual, "name", "_man"), "ip", "left").join(one(leases, "hostname", "_dhcp"), "ip", "left")
     j = j.join(one(asset, "n", "_asset"), "ip", "left")
     return j.select("ip", V.device_label("ip", "_man", "_dhcp", "_asset").alias("label"))
-
-

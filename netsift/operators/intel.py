@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import catalogues as C
@@ -48,6 +48,35 @@ def badges(stamped: DataFrame) -> DataFrame:
     return stamped.select("ip", level.alias("badge"))
 
 
+def evidence() -> Column:
+    """What a badge rests on, as one line; the columns are those of :func:`restamp`."""
+    num = lambda c, text: F.when(F.coalesce(F.col(c), F.lit(0)) > 0, text)
+    told = F.concat_ws(
+        "; ", F.when(F.col("listed"), F.concat(F.lit("block list "), "sbl")), F.when(F.col("exit_node"), "exit node"),
+        num("abuse_score", F.concat(F.lit("abuse "), F.col("abuse_score").cast("string"), F.lit("/100"))),
+        F.when(F.size("tags") > 0, F.concat(F.lit("tags "), F.array_join("tags", ", "))),
+        num("n_vulns", F.concat(F.lit("known flaws "), F.col("n_vulns").cast("string"))),
+        num("n_ports", F.concat(F.lit("open ports "), F.col("n_ports").cast("string"))))
+    return F.when(told == "", "nothing known").otherwise(told)
+
+
+def rated(rows: DataFrame, stamped: DataFrame, **sides: str) -> DataFrame:
+    """``rows`` (findings, alerts, candidates) with what the cache says about their outside addresses.
+
+    ``sides`` names the new columns by the column of the address: ``rated(alerts, stamped, dst_ip="dst")`` adds
+    ``dst_badge`` and ``dst_evidence``. Both are null for inside addresses, for addresses that were never looked up, and
+    where a record has neither look-up nor list entry. Of several records of an address the newest counts.
+    """
+    newest = stamped.groupBy("ip").agg(F.max(F.struct("fetched", *[c for c in stamped.columns if c not in ("ip", "fetched")])).alias("_r")).select("ip", "_r.*")
+    known = F.coalesce("has_scan", F.lit(False)) | F.coalesce("has_abuse", F.lit(False)) | F.col("listed") | F.col("exit_node")
+    level = intel_severity("abuse_score", "tags", "n_vulns", "n_ports", "listed", "exit_node")
+    told = newest.where(known).where(~IP.is_lan("ip")).select("ip", level.alias("_badge"), evidence().alias("_evidence"))
+    for address, name in sides.items():
+        side = told.select(F.col("ip").alias("_ip"), F.col("_badge").alias(f"{name}_badge"), F.col("_evidence").alias(f"{name}_evidence"))
+        rows = rows.join(side, F.trim(F.col(address)) == F.col("_ip"), "left").drop("_ip")
+    return rows
+
+
 def collect_garbage(cache: DataFrame, ranked: DataFrame, today, days: int = C.INTEL_GC_DAYS) -> DataFrame:
     """The cache without records that are old and no longer wanted."""
     cutoff = F.date_sub(F.lit(today).cast("date"), days)

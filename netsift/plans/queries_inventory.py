@@ -6,13 +6,16 @@ from pyspark.sql import functions as F
 
 from ..functions import devices as V
 from ..operators import assets as A
+from ..operators import findings as D
 from ..operators import ids as S
 from ..operators import intel as T
 from ..operators import telemetry as M
+from . import queries_cadence as QC
+from . import queries_findings as _findings  # noqa: F401 - its views
 from . import reference_lists as L
 from .oracle_views import lan, v4num, view, with_views
 from .queries_network import TODAY
-from .registry import query
+from .registry import ORACLE, query
 
 _text = lambda df, *cs: df.withColumns({c: F.col(c).cast("string") for c in cs})
 
@@ -151,6 +154,22 @@ query("intel_restamp", lambda v: _stamp(v).select("ip", "sbl", "listed", "exit_n
 query("intel_badge", lambda v: T.badges(_stamp(v)),
       with_views("""SELECT ip, CASE WHEN coalesce(abuse_score, 0) >= 75 OR list_contains(tags, 'honeypot') OR n_vulns > 0 OR listed OR exit_node THEN 'high'
   WHEN coalesce(abuse_score, 0) > 0 OR len(tags) > 0 OR n_ports >= 50 THEN 'med' ELSE 'none' END AS badge FROM stamped""", "stamped"))
+view("rating", f"""
+  SELECT ip, CASE WHEN coalesce(abuse_score, 0) >= 75 OR list_contains(tags, 'honeypot') OR n_vulns > 0 OR listed OR exit_node THEN 'high'
+      WHEN coalesce(abuse_score, 0) > 0 OR len(tags) > 0 OR n_ports >= 50 THEN 'med' ELSE 'none' END AS badge,
+    coalesce(nullif(concat_ws('; ', CASE WHEN listed THEN 'block list ' || sbl END, CASE WHEN exit_node THEN 'exit node' END,
+      CASE WHEN abuse_score > 0 THEN 'abuse ' || abuse_score || '/100' END, CASE WHEN len(tags) > 0 THEN 'tags ' || array_to_string(tags, ', ') END,
+      CASE WHEN n_vulns > 0 THEN 'known flaws ' || n_vulns END, CASE WHEN n_ports > 0 THEN 'open ports ' || n_ports END), ''), 'nothing known') AS evidence
+  FROM stamped WHERE (has_scan OR has_abuse OR listed OR exit_node) AND NOT {lan('ip')}""", "stamped")
+_rated = lambda sql, address, name, t: f"SELECT x.*, {t}.badge AS {name}_badge, {t}.evidence AS {name}_evidence FROM ({sql}) x LEFT JOIN rating {t} ON {t}.ip = trim(x.{address})"
+query("alert_lan_intel", lambda v: T.rated(S.lan_rows(_rel(v), v.conn, v.registry), _stamp(v), ext_ip="ext"),
+      with_views(_rated(ORACLE["alert_lan_rows"], "ext_ip", "ext", "r"), "rating"))
+query("alert_unresolved_intel", lambda v: T.rated(S.unresolved(_rel(v), v.conn), _stamp(v), src_ip="src", dst_ip="dst"),
+      with_views(_rated(_rated(ORACLE["alert_unresolved"], "src_ip", "src", "r"), "dst_ip", "dst", "q"), "rating"))
+query("finding_intel", lambda v: T.rated(D.dedup(v.findings).select("src", "dst", "fqdn", "severity", "score"), _stamp(v), dst="dst"),
+      with_views(_rated("SELECT src, dst, fqdn, severity, score FROM dedup", "dst", "dst", "r"), "rating", "dedup"))
+query("candidate_intel", lambda v: T.rated(QC._cand(v, QC.ALL_DAYS).select("src", "dst"), _stamp(v), dst="dst"),
+      with_views(_rated(f"SELECT src, dst FROM ({ORACLE['slow_candidates']})", "dst", "dst", "r"), "rating"))
 query("intel_gc", lambda v: T.collect_garbage(v.intel, _tgt(v), TODAY).select("ip"),
       with_views(f"SELECT ip FROM intel WHERE fetched >= DATE '{TODAY}' - 60 OR ip IN (SELECT ip FROM tgt)", "intel", "tgt"))
 

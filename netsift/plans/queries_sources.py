@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import assets as A
 from ..operators import ids as D
 from ..operators import ranges as R
 from ..operators import suppress as S
@@ -16,6 +17,7 @@ from ..sources import logs as T
 from ..sources import sinks as K
 from .adapters import Views
 from .oracle_views import geo_of, with_views
+from .queries_inventory import _inv, _ports
 from .registry import query
 
 TODAY, DAYS = "2024-01-28", 14
@@ -235,6 +237,33 @@ query("read_scan", lambda v: _scan(v).select("ip", "hostname", "os", F.array_joi
       with_views("SELECT ip, hostname, os, array_to_string(open_ports, ',') AS open_ports FROM old_assets", "old_assets"))
 
 
+def _scans(v: Views) -> DataFrame:
+    """Two scan files: all old devices, some with their hardware address; and a part of them again, named anew."""
+    key = F.substring("hostname", 5, 20)
+    n = key.cast("int")
+    ports = F.array_join(F.transform("open_ports", lambda p: F.concat(
+        F.split(F.split(p, ":")[0], "/")[0], F.lit("/open/tcp//"), F.coalesce(F.get(F.split(p, ":"), F.lit(1)), F.lit("")), F.lit("///"))), ", ")
+    mac = F.when(n % 3 == 0, F.concat(F.lit("\tMAC: "), F.upper("mac"), F.lit(" (Maker "), key, F.lit(")"))).otherwise("")
+    one = F.concat(F.lit("Host: "), "ip", F.lit(" ("), "hostname", F.lit(")"), mac, F.lit("\tPorts: 9/closed/tcp//discard///, "), ports, F.lit("\tOS: "), "os", F.lit("; x"))
+    two = F.concat(F.lit("Host: "), "ip", F.lit(" (scan-"), key, F.lit(")\tPorts: 443/open/tcp//https///\tOS: "), F.when(n % 8 == 0, "BSD 9; x").otherwise("A 1|B 2"))
+    again = v.old_assets.where(n % 4 == 0)
+    return L.scan_results(v.spark, [_lines(v, v.old_assets.select(one), "scan-1"), _lines(v, again.select(two), "scan-2")])
+
+
+query("asset_scan_merge", lambda v: _ports(A.merge_scan(_inv(v), _scans(v))),
+      with_views("", "inv", "old_assets").rstrip() + """,
+  o AS (SELECT *, CAST(substring(hostname, 5) AS INTEGER) AS n FROM old_assets),
+  lines AS (SELECT ip, hostname, os, open_ports, CASE WHEN n % 3 = 0 THEN lower(mac) END AS mac, 'Maker ' || n AS maker FROM o
+    UNION ALL SELECT ip, 'scan-' || n, CASE WHEN n % 8 = 0 THEN 'BSD 9' ELSE '' END, ['443/tcp:https'], NULL, NULL FROM o WHERE n % 4 = 0),
+  hosts AS (SELECT ip, min(hostname) AS hostname, min(nullif(os, '')) AS os, max(mac) AS mac, arg_max(maker, mac) AS maker FROM lines GROUP BY ip),
+  ports AS (SELECT ip, list(port ORDER BY pos, port) AS ports FROM (SELECT ip, unnest(open_ports) AS port, unnest(range(len(open_ports))) AS pos FROM lines) GROUP BY ip)
+SELECT coalesce(i.ip, h.ip) AS ip, coalesce(h.mac, i.mac, '') AS mac, CASE WHEN h.mac IS NOT NULL THEN h.maker ELSE coalesce(i.mac_vendor, '') END AS mac_vendor,
+  coalesce(nullif(i.hostname, ''), h.hostname, '') AS hostname, coalesce(nullif(i.os, ''), h.os, '') AS os,
+  array_to_string(coalesce(i.open_ports, []) || list_filter(coalesce(p.ports, []), lambda x: NOT list_contains(coalesce(i.open_ports, []), x)), ',') AS open_ports,
+  CASE WHEN i.ip IS NULL OR h.mac IS NOT NULL THEN 'scan' ELSE i.source END AS source
+FROM inv i FULL JOIN hosts h ON h.ip = i.ip LEFT JOIN ports p ON p.ip = h.ip""")
+
+
 def _telemetry(v: Views) -> DataFrame:
     """Two files a day: a document and a bare list of records."""
     rec = F.struct(F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss").alias("time"), "temp_c", "cpu_pct", "mem_pct", "top_cpu", "top_mem", "fan_1", "fan_2")

@@ -15,6 +15,7 @@ from netsift.operators import findings as D
 from netsift.operators import folds as Q
 from netsift.operators import gate as G
 from netsift.operators import identity as I
+from netsift.operators import intel as T
 from netsift.operators import network as W
 from netsift.operators import ranges as R
 from netsift.operators import relay as Y
@@ -302,3 +303,34 @@ def test_chunks_refuse_windows_longer_than_a_chunk(spark):
     with pytest.raises(ValueError):
         in_chunks(rows, "key", ["n"], F.lit(0), overlap=9, chunk=4)
     assert in_chunks(rows.withColumn("key", F.lit(None).cast("string")), "key", ["n"], F.lit(0), overlap=2, chunk=4).where("chunk = home").count() == 5
+
+
+def test_scan_results_in_the_inventory(spark):
+    assets = spark.createDataFrame(
+        [("10.0.0.1", "aa:bb:cc:00:00:01", "Old", "", "Linux", ["22/tcp"], "arp"), ("10.0.0.2", "", "", "named", "", [], "dhcp"), ("10.0.0.3", "", "", "", "", [], "arp")],
+        "ip string, mac string, mac_vendor string, hostname string, os string, open_ports array<string>, source string")
+    scans = spark.createDataFrame(
+        [(1, "10.0.0.1", "one", "AA:BB:CC:00:00:99", "New", "BSD", ["80/tcp:http", "22/tcp"]), (2, "10.0.0.1", "two", "", "", "Other", ["443/tcp"]),
+         (3, "10.0.0.2", "other", "", "", "Windows", []), (4, "10.0.0.9", "", "", "", "", ["53/udp"]), (5, "", "x", "", "", "", [])],
+        "ord int, ip string, hostname string, mac string, mac_vendor string, os string, open_ports array<string>")
+    got = {r["ip"]: tuple(r)[1:] for r in A.merge_scan(assets, scans).collect()}
+    assert got == {
+        "10.0.0.1": ("aa:bb:cc:00:00:99", "New", "one", "Linux", ["22/tcp", "80/tcp:http", "443/tcp"], "scan"),
+        "10.0.0.2": ("", "", "named", "Windows", [], "dhcp"), "10.0.0.3": ("", "", "", "", [], "arp"),
+        "10.0.0.9": ("", "", "", "", ["53/udp"], "scan")}
+    assert A.merge_scan(assets, scans.where("false")).count() == 3
+    assert A.merge_scan(assets.where("false"), scans).count() == 3
+
+
+def test_ratings_beside_rows(spark):
+    cache = spark.createDataFrame(
+        [("1.1.1.1", "2024-01-01", 0, [], 0, 3, True, True, None, False, False), ("1.1.1.1", "2024-01-09", 80, ["vpn"], 0, 0, True, True, None, False, False),
+         ("2.2.2.2", "2024-01-01", None, [], 0, 0, False, False, "L7", True, False), ("3.3.3.3", "2024-01-01", None, [], 0, 0, False, False, None, False, False),
+         ("4.4.4.4", "2024-01-01", None, None, None, None, True, None, None, False, False), ("10.0.0.1", "2024-01-01", 99, [], 0, 0, True, True, None, False, False)],
+        "ip string, fetched string, abuse_score int, tags array<string>, n_vulns int, n_ports int, has_scan boolean, has_abuse boolean, sbl string, listed boolean, exit_node boolean")
+    rows = spark.createDataFrame([("1.1.1.1", "10.0.0.1"), ("2.2.2.2", " 4.4.4.4"), ("3.3.3.3", None), ("1.1.1.1", "10.0.0.1")], "a string, b string")
+    got = sorted((r["a"], r["a_badge"], r["a_evidence"], r["b_badge"], r["b_evidence"]) for r in T.rated(rows, cache, a="a", b="b").collect())
+    assert got == [
+        ("1.1.1.1", "high", "abuse 80/100; tags vpn", None, None), ("1.1.1.1", "high", "abuse 80/100; tags vpn", None, None),
+        ("2.2.2.2", "high", "block list L7", "none", "nothing known"), ("3.3.3.3", None, None, None, None)]
+    assert T.rated(rows, cache.where("false"), a="a").where("a_badge is null").count() == 4
