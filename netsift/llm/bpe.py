@@ -21,7 +21,8 @@ import gc
 import hashlib
 import re
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
+from itertools import accumulate, chain
+from operator import getitem
 
 import pyarrow as pa
 import regex
@@ -29,8 +30,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import column
 
-_SEGMENTS = 400_000  # remembered segments of a task
-_STATES = 150_000  # remembered states of a task
+_SEGMENTS = 150_000  # remembered segments of a task, twice: those in use and those before
+_PIECES = 150_000  # remembered pieces of a task, twice as well
+_STATES = 80_000  # remembered states of a task; further ones are made when needed and not kept
+_FORGOTTEN = 2_000_000  # states made and not kept after which the remembered ones give way to new ones
+_PAIRS = 300_000  # remembered pairs of tokens
 _LOOK = 1024  # bytes of one piece after which agreed tokens are given out
 # White space is what has the property; Python's own class also counts four control characters.
 _SEGMENT = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
@@ -44,24 +48,23 @@ def read_ranks(raw: bytes) -> dict[bytes, int]:
 
 
 class _State(dict):
-    """A state of the deterministic transducer: byte -> (next state, length and id of the token that ends there)."""
+    """A state of the deterministic transducer: byte -> next state; ``size`` and ``id`` are of the token that ends here."""
 
-    __slots__ = ("live", "made")
+    __slots__ = ("id", "live", "made", "size")
 
-    def __init__(self, live: tuple, made: Callable):
-        self.live, self.made = live, made
+    def __init__(self, live: tuple, size: int, id: int, made: Callable):
+        self.live, self.size, self.id, self.made = live, size, id, made
 
-    def __missing__(self, byte: int) -> tuple[_State, int, int]:
-        step = self[byte] = self.made(self.live, byte)
-        return step
+    def __missing__(self, byte: int) -> _State:
+        return self.made(self, byte)
 
 
 class Transducer:
-    """A hypothesis is a place where a token may have ended: the token that ended there, and the bytes read since.
+    """A hypothesis is a place where a token may have ended: the token that ended there, and the trie node of what was read since.
 
-    The state is the set of places that are still on the trie; each transition gives the length of the one token that
-    a correct encoding of everything read so far ends with, so tokens are read off backwards from any place that all
-    live hypotheses share.
+    The state is the set of places that are still on the trie; it also has the length of the one token that a correct
+    encoding of everything read so far ends with, so tokens are read off backwards from any place that all live
+    hypotheses share. States that would go beyond a fixed number are not kept, so a worker's memory is bounded.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
@@ -71,6 +74,7 @@ class Transducer:
         self._pairs: dict[tuple[bytes, bytes], bool] = {}
         self._children: list[dict[int, int]] = [{}]  # the trie: node 0 is its root
         self._token: list[bytes | None] = [None]
+        self._depth = [0]
         for token in ranks:
             if len(token) == 1 or self.parts(token):
                 node = 0
@@ -80,19 +84,17 @@ class Transducer:
                         child = self._children[node][byte] = len(self._children)
                         self._children.append({})
                         self._token.append(None)
+                        self._depth.append(self._depth[node] + 1)
                     node = child
                 self._token[node] = token
         self._reset()
 
     def _reset(self) -> None:
+        for state in getattr(self, "_states", {}).values():
+            state.clear()  # states point at each other
         self._states: dict[tuple, _State] = {}
-        self._start = self._state(((None, 0, 0),))
-
-    def _state(self, live: tuple) -> _State:
-        known = self._states.get(live)
-        if known is None:
-            known = self._states[live] = _State(live, self._step)
-        return known
+        self._made = 0
+        self._start = _State(((None, 0),), 0, -1, self._step)
 
     def parts(self, token: bytes) -> tuple[bytes, bytes] | None:
         """The two parts whose merge makes the token; None if merges never make it."""
@@ -134,80 +136,90 @@ class Transducer:
                     i += 1
                 else:
                     j += 1
-            if len(self._pairs) > 1_000_000:
+            if len(self._pairs) >= _PAIRS:
                 self._pairs.clear()
             self._pairs[(a, b)] = known
         return known
 
-    def _step(self, places: tuple, byte: int) -> tuple[_State, int, int]:
-        live, end, children, token = [], None, self._children, self._token
-        for last, node, read in places:
+    def _step(self, state: _State, byte: int) -> _State:
+        live, end, children, token, pairs = [], None, self._children, self._token, self._pairs
+        for last, node in state.live:
             node = children[node].get(byte)
             if node is None:
                 continue
             if children[node]:
-                live.append((last, node, read + 1))
-            if end is None and (own := token[node]) is not None and (last is None or self.fits(last, own)):
-                end = own
+                live.append((last, node))
+            if end is None and (own := token[node]) is not None:
+                if last is None or ((fits := pairs.get((last, own))) is None and self.fits(last, own)) or fits:
+                    end = own
         if end is None:
             raise ValueError("the vocabulary lacks a byte")
-        live.append((end, 0, 0))
-        return self._state(tuple(live)), len(end), self.ranks[end]
+        live.append((end, 0))
+        key = tuple(live)
+        known = self._states.get(key)
+        if known is None:
+            known = _State(key, len(end), self.ranks[end], self._step)
+            self._made += 1
+            if len(self._states) >= _STATES:
+                return known
+            self._states[key] = known
+        state[byte] = known
+        return known
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """Token ids of one piece."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self._states) > _STATES:
+        if self._made > _FORGOTTEN:
             self._reset()
-            gc.collect()  # states point at each other
-        state, lengths, ids, out = self._start, [], [], []
+        if len(piece) <= _LOOK:
+            path = list(accumulate(piece, getitem, initial=self._start))
+            return self._read(path, len(piece))
+        path, out = [self._start], []
         for at in range(0, len(piece), _LOOK):
-            for byte in piece[at : at + _LOOK]:
-                state, n, token = state[byte]
-                lengths.append(n)
-                ids.append(token)
+            path[-1:] = accumulate(piece[at : at + _LOOK], getitem, initial=path[-1])
             if at + _LOOK < len(piece):
-                done = self._agreed(lengths, [read for _, _, read in state.live])
-                out += self._read(lengths, ids, done)
-                del lengths[:done], ids[:done]
-        return out + self._read(lengths, ids, len(lengths))
+                done = self._agreed(path)
+                out += self._read(path, done)
+                del path[:done]
+        return out + self._read(path, len(path) - 1)
 
-    def _agreed(self, lengths: list[int], behind: list[int]) -> int:
-        """The last place that the encodings of all live hypotheses go through."""
+    def _agreed(self, path: list[_State]) -> int:
+        """The last place that the encodings of all live hypotheses go through; ``path`` begins with the place before."""
         shared = None
-        for back in behind:
-            at, places = len(lengths) - back, set()
+        for _, node in path[-1].live:
+            at, places = len(path) - 1 - self._depth[node], set()
             while at > 0:
                 places.add(at)
-                at -= lengths[at - 1]
+                at -= path[at].size
             shared = places if shared is None else shared & places
         return max(shared, default=0)
 
     @staticmethod
-    def _read(lengths: list[int], ids: list[int], end: int) -> list[int]:
+    def _read(path: list[_State], end: int) -> list[int]:
         out = []
         while end > 0:
-            out.append(ids[end - 1])
-            end -= lengths[end - 1]
+            state = path[end]
+            out.append(state.id)
+            end -= state.size
         out.reverse()
         return out
 
 
-class _Segments(dict):
-    """Segment -> its ids; each is encoded when it first comes up.
+class _Known(dict):
+    """Text -> its ids, made when it first comes up.
 
     Two generations: when the table is full it becomes the old one, and what is used again moves over.
     """
 
-    def __init__(self, codec: Codec, before: str):
-        self.codec, self.before, self.old = codec, before, {}
+    def __init__(self, made: Callable[[str], tuple[int, ...]], most: int):
+        self.made, self.most, self.old = made, most, {}
 
     def __missing__(self, text: str) -> tuple[int, ...]:
-        known = self.old.get(text) or self.codec.segment(self.before + text)
+        known = self.old.get(text) or self.made(text)
         if len(text) <= 64:
-            if len(self) >= _SEGMENTS:
+            if len(self) >= self.most:
                 self.old = dict(self)
                 self.clear()
             self[text] = known
@@ -215,7 +227,7 @@ class _Segments(dict):
 
 
 class Codec:
-    """Encodes texts with one vocabulary and pattern; remembers segments that repeat.
+    """Encodes texts with one vocabulary and pattern; remembers segments and pieces that repeat.
 
     A segment is a run of white space with the run of other characters after it; the patterns of byte-level BPE have
     no match that goes from a character into white space.
@@ -225,14 +237,17 @@ class Codec:
         self.transducer = Transducer(ranks)
         self.pieces = regex.compile(pattern)
         self.bytes_of = {rank: token for token, rank in ranks.items()}
+        self.digits = {rank: str(rank) for rank in self.bytes_of}
         gc.set_threshold(50_000, 20, 1000)  # the tables are many small objects that stay
-        self._bare, self._spaced = _Segments(self, ""), _Segments(self, " ")
+        self._known = _Known(lambda piece: tuple(self.transducer.encode_piece(piece.encode("utf-8", "surrogatepass"))), _PIECES)
+        self._bare = _Known(self.segment, _SEGMENTS)
+        self._spaced = _Known(lambda text: self.segment(" " + text), _SEGMENTS)
 
     def segment(self, text: str) -> tuple[int, ...]:
-        ids: list[int] = []
-        for piece in self.pieces.findall(text):
-            ids += self.transducer.encode_piece(piece.encode("utf-8", "surrogatepass"))
-        return tuple(ids)
+        pieces = self.pieces.findall(text)
+        if len(pieces) == 1:
+            return self._known[pieces[0]]
+        return tuple(chain.from_iterable(map(self._known.__getitem__, pieces)))
 
     def segments(self, text: str) -> list[tuple[int, ...]]:
         if "  " in text or _BEFORE_SPACE.search(text):
@@ -310,23 +325,25 @@ def digests(spark: SparkSession, documents: DataFrame, vocabulary: str, pattern:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(raw.value, pattern)
-        number = {i: str(i) for i in codec.bytes_of}
+        digits = codec.digits.__getitem__
         for batch in batches:
-            n, ids_hash, decoded_hash = [], [], []
-            for text in column(batch, "text"):
-                count, told, back, first = 0, hashlib.sha256(), hashlib.sha256(), True
-                decoder = StreamDecoder(codec.bytes_of)
-                parts = codec.segments(text or "")
-                for at in range(0, len(parts), 5000):  # bounds the ids that one long text holds at a time
-                    own = list(chain.from_iterable(parts[at : at + 5000]))
-                    count += len(own)
-                    told.update((("" if first else ",") + ",".join([number[i] for i in own])).encode())
-                    first = False
-                    back.update(decoder.feed(own).encode())
-                back.update(decoder.finish().encode())
-                n.append(count)
-                ids_hash.append(told.hexdigest())
-                decoded_hash.append(back.hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(decoded_hash, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                n, ids_hash, decoded_hash = [], [], []
+                for text in column(part, "text"):
+                    count, told, back, comma = 0, hashlib.sha256(), hashlib.sha256(), ""
+                    decoder = StreamDecoder(codec.bytes_of)
+                    parts = codec.segments(text or "")
+                    for begin in range(0, len(parts), 5000):  # bounds the ids that one long text holds at a time
+                        own = list(chain.from_iterable(parts[begin : begin + 5000]))
+                        count += len(own)
+                        told.update((comma + ",".join(map(digits, own))).encode())
+                        comma = ","
+                        back.update(decoder.feed(own).encode())
+                    back.update(decoder.finish().encode())
+                    n.append(count)
+                    ids_hash.append(told.hexdigest())
+                    decoded_hash.append(back.hexdigest())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(decoded_hash, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
