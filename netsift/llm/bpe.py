@@ -28,7 +28,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import column
+from .common import column, leave
 
 _SEGMENTS = 150_000  # remembered segments of a task, twice: those in use and those before
 _PIECES = 150_000  # remembered pieces of a task, twice as well
@@ -295,6 +295,7 @@ def _codec(raw: bytes, pattern: str) -> Codec:
     key = (hash(raw), pattern)
     if key not in _codecs:
         _codecs[key] = Codec(read_ranks(raw), pattern)
+        leave(_codecs.clear)
     return _codecs[key]
 
 

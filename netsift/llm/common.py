@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -104,6 +106,22 @@ def windows(words: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+_left: list[Callable[[], None]] = []
+
+
+def leave(forget: Callable[[], None]) -> None:
+    """Note how to free what this task leaves in its Python worker for the next task of the same operator."""
+    _left.append(forget)
+
+
+def tidy() -> None:
+    """Free what an earlier operator's tasks left: Spark uses its workers again, and their memory adds up."""
+    if _left:
+        while _left:
+            _left.pop()()
+        gc.collect()
+
+
 def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 

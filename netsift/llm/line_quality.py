@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import column, windows, word_hashes
+from .common import column, tidy, windows, word_hashes
 
 MIN_WORDS = 50
 MAX_LOST = 30
@@ -108,6 +108,7 @@ def judge(documents: DataFrame, min_words: int = MIN_WORDS, max_lost: int = MAX_
     """The counts and the verdict of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 out: list[list] = [[] for _ in range(9)]
@@ -130,6 +131,7 @@ def clean(documents: DataFrame, min_words: int = MIN_WORDS, max_lost: int = MAX_
     """The documents that are kept, all their columns, with ``text`` (and ``n_chars``, if there) of the lines that stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part, good, texts = batch.slice(at, 500), [], []

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import column, components, mix, store, windows, word_hashes
+from .common import column, components, mix, store, tidy, windows, word_hashes
 
 WIDTH = 5
 CENSUS_SLOTS = 1 << 22  # fixed size of the table of frequent shingles that tasks share: 4 MB
@@ -82,6 +82,7 @@ _SETS = "doc_id long, n_shingles long, cls long, sketch array<long>, slot long,
 
 def _sets_and_census(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.int64()), ("sketch", pa.list_(pa.int64())), ("slot", pa.int64()), ("seen", pa.int64())])
         held: list[np.ndarray] = []
         classes: set[int] = set()
@@ -119,6 +120,7 @@ def _postings(width: int, percent: int, frequency):
     """The entries of the incidence matrix that can take part in the product: token, cls, n, pos."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         level = frequency.value
         done: set[int] = set()
         for batch in _slices(batches):
@@ -243,6 +245,7 @@ def _verify(width: int, percent: int):
     """Of blocks sorted (a, salt, role): the leader's text, then the members'; gives the pairs that are linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         leader, own = None, np.empty(0, np.uint64)
         for batch in _slices(batches):
             a, b, role = column(batch, "a"), column(batch, "b"), column(batch, "role")
