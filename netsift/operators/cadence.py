@@ -138,13 +138,14 @@ def lan_talkers(conn: DataFrame, window_days: int | None = C.CADENCE_WINDOW_DAYS
 
 def slow_candidates(
     conn: DataFrame, ssl: DataFrame, http: DataFrame, geo: DataFrame, registry: Registry,
-    window_days: int | None = C.CADENCE_WINDOW_DAYS, min_consistency: float = C.CADENCE_MIN_CONSISTENCY,
+    window_days: int | None = C.CADENCE_WINDOW_DAYS, min_consistency: float = C.CADENCE_MIN_CONSISTENCY, own_days: bool = True,
 ) -> DataFrame:
     """The full detector: regular pairs, named, owned, filtered and rated for paging.
 
-    Names and web profiles come from the same days as the flows.
+    Names and web profiles come from the same days as the flows, or from the whole logs (not ``own_days``).
     """
-    ssl, http = (in_last_existing_days(log, window_days, of=conn) for log in (ssl, http))
+    if own_days:
+        ssl, http = (in_last_existing_days(log, window_days, of=conn) for log in (ssl, http))
     # The few regular pairs steer every later step, so they are computed once and written down.
     pairs = checkpoint(slow_pairs(conn, window_days).where(F.col("hour_consistency") >= min_consistency))
     dsts = pairs.select("dst").distinct()

@@ -61,11 +61,12 @@ _HTTP_SQL = """
 _HYPER = "'" + "|".join(t.replace(".", "\\.") for t in __import__("netsift.functions.catalogues", fromlist=["x"]).HYPERSCALER_TOKENS) + "'"
 
 
-def _candidates_sql(days: int) -> str:
+def _candidates_sql(days: int, own_days: bool = True) -> str:
     own = lambda sql, log: sql.replace(f"FROM {log}", f"FROM own_{log}")
-    return f"""{_pairs_sql(days)},{_cv_sql(days)},
+    logs = f"""
   own_ssl AS (SELECT * FROM ssl WHERE {last_days('conn', days)}), own_http AS (SELECT * FROM http WHERE {last_days('conn', days)}),
-  {own(_SNI_SQL, 'ssl')},{own(_HTTP_SQL, 'http')},
+  {own(_SNI_SQL, 'ssl')},{own(_HTTP_SQL, 'http')}""" if own_days else f"{_SNI_SQL},{_HTTP_SQL}"
+    return f"""{_pairs_sql(days)},{_cv_sql(days)},{logs},
   talk AS (SELECT dst, dst_port, count(DISTINCT src) AS lan_talkers FROM egress WHERE {last_days('conn', days)} GROUP BY ALL),
   badhost AS (SELECT DISTINCT dst FROM hx WHERE {glob_hit('host', 'domains')}),
   cand0 AS (SELECT p.*, s.sni, w.http_host, w.http_useragent, w.http_uri_sample, w.http_method_mix, t.lan_talkers,
@@ -87,8 +88,8 @@ def _candidates_sql(days: int) -> str:
 _CAND_VIEWS = ("egress", "ssl", "http", "fp_devices", "l_geo", "l_rules")
 
 
-def _cand(v, days):
-    return K.slow_candidates(v.conn, v.ssl, v.http, v.geo, v.registry, days)
+def _cand(v, days, own_days=True):
+    return K.slow_candidates(v.conn, v.ssl, v.http, v.geo, v.registry, days, own_days=own_days)
 
 
 def _show(df):
@@ -127,8 +128,9 @@ query(
 )
 for _name, _days in (("slow_candidates", ALL_DAYS), ("slow_candidates_last14", 14)):
     query(
-        _name, lambda v, d=_days: _show(_cand(v, d)),
-        _after(_candidates_sql(_days), f"SELECT {_SHOW} FROM cand", *_CAND_VIEWS),
+        # names and web profiles are read from the whole logs, whatever the window of the flows
+        _name, lambda v, d=_days: _show(_cand(v, d, own_days=d is None)),
+        _after(_candidates_sql(_days, own_days=_days is None), f"SELECT {_SHOW} FROM cand", *_CAND_VIEWS),
     )
 query(
     "new_pairs",

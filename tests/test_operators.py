@@ -5,6 +5,7 @@ import fnmatch
 import ipaddress
 import random
 import statistics
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -21,6 +22,9 @@ from netsift.operators import ranges as R
 from netsift.operators import relay as Y
 from netsift.operators import suppress as S
 from netsift.operators import telemetry as M
+from netsift.plans import registry as plans
+
+plans.load()
 
 CONN = ("event_id bigint, ts timestamp, day date, src string, dst string, dst_port int, proto string, service string, src_local boolean, "
         "dst_local boolean, orig_ip_bytes bigint, resp_ip_bytes bigint, duration double")
@@ -76,6 +80,25 @@ def test_slow_pairs_match_brute_force(spark):
         assert r["hour_consistency"] == pytest.approx(share) and cvs[pair] == pytest.approx(cv)
 
 
+def test_last14_candidates_take_names_from_whole_logs(spark, monkeypatch):
+    start = dt.datetime(2024, 1, 1)
+    conn, ssl, http = [], [], []
+    for day in range(20):  # one flow a day at four; names and hosts only on the first day, before the window
+        ts = start + dt.timedelta(days=day, hours=4, minutes=day)
+        for k, dst in enumerate(("93.184.0.1", "93.184.0.2")):
+            conn.append((2 * day + k, ts, ts.date(), "10.0.0.5", dst, 443, "tcp", "ssl", True, False, 1, 1, 1.0))
+    ssl.append((start, start.date(), "93.184.0.1", "old.example.org"))
+    http.append((start, start.date(), "93.184.0.2", "bad.example.net", "GET", "/x", "agent"))
+    views = SimpleNamespace(
+        conn=spark.createDataFrame(conn, CONN), ssl=spark.createDataFrame(ssl, "ts timestamp, day date, dst string, server_name string"),
+        http=spark.createDataFrame(http, "ts timestamp, day date, dst string, host string, method string, uri string, user_agent string"),
+        geo=R.range_table(spark.createDataFrame([(1, 2, 0, "Example", "US")], "lo bigint, hi bigint, ord int, org string, cc string")),
+        registry=registry(spark, [("domains", 0, "bad.example.net", "known")]))
+    monkeypatch.setattr(plans, "Views", lambda spark, folder: views)
+    rows = plans.QUERIES["slow_candidates_last14"](spark, "").collect()
+    assert [(r["dst"], r["sni"], r["days_seen"]) for r in rows] == [("93.184.0.1", "old.example.org", 14)]
+
+
 def test_new_pairs_seed_run_is_silent(spark):
     cand = spark.createDataFrame(
         [("a", "b", 1, True, False), ("a", "c", 1, False, True), ("a", "d", 1, False, False)],
