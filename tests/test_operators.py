@@ -22,6 +22,7 @@ from netsift.operators import ranges as R
 from netsift.operators import relay as Y
 from netsift.operators import suppress as S
 from netsift.operators import telemetry as M
+from netsift.operators.skew import left_lookup
 from netsift.plans import registry as plans
 
 plans.load()
@@ -181,6 +182,32 @@ def test_many_irregular_globs(spark):
     assert hits == {"a449.x": 449, "a7.x": 7}
 
 
+def test_look_up_joins_move_no_rows_for_a_small_list(spark):
+    """Rows without a value, or with one of few, must not meet in one task: a written list is small enough to broadcast."""
+    rows = spark.range(4000).select(F.col("id").cast("string").alias("src"), F.when(F.col("id") % 50 == 0, F.concat(F.lit("n"), "id")).alias("name"), F.lit("a,b").alias("service"))
+    listed = registry(spark, [("domains", 0, "n*0", "zero"), ("protocols", 0, "b", "b")], [("7", "dev")])
+    marked = S.mark_suppressed(rows, listed, device="src", domains=["name"], service="service")
+    plan = marked._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    assert dict(marked.groupBy("suppressed_by.rule_type").count().collect()) == {"device": 1, "domain": 80, "protocol": 3919}
+
+
+def test_look_ups_in_long_lists_spread_rows_without_a_value(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") < 100, F.col("id").cast("string")).alias("k"), F.col("id").alias("v"))
+    found = spark.range(50, 200).select(F.col("id").cast("string").alias("key"), (F.col("id") * 2).alias("x"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        joined = left_lookup(rows, F.col("k"), found, "key")
+        assert {(r["v"], r["x"]) for r in joined.collect()} == {(v, 2 * v if 50 <= v < 100 else None) for v in range(3000)}
+        sizes = [r["n"] for r in joined.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        assert max(sizes) < 1500
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before[0])
+        spark.conf.set("spark.sql.adaptive.enabled", before[1])
+
+
 def ttl_walk(events, ttl):
     until, sent = -1, []
     for s in sorted(set(events)):
