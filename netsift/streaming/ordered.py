@@ -1,6 +1,7 @@
 """Ordered folds over streams: rows wait until the watermark has passed their second, then meet their rule in time order.
 
-Files may come late and out of order. A key's rows are kept in its state by second; a timer per key, on event time, wakes
+Files may come late and out of order. A batch's rows of a key are put together by second and appended to the list of what
+waits in its state, many at a time (a call to the state costs more than a row); a timer per key, on event time, wakes
 it when the watermark has passed its earliest waiting second, and everything up to the watermark is released in order.
 State that can no longer change a result is dropped by a timer of its own. The rules are those of ``operators.folds``, so
 a stream gives the rows of the batch fold, whatever the order of the files, as long as no row is later than the watermark
@@ -21,6 +22,9 @@ from pyspark.sql.streaming import StatefulProcessor
 from ..functions import catalogues as C
 
 
+_SENT = 1000  # waiting seconds in one call
+
+
 class Rule:
     """What a fold does with one second of one key.
 
@@ -53,13 +57,12 @@ class Ordered(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "sec long", self.rule.item)
+        self.waiting = handle.getListState("waiting", f"sec long, {self.rule.item}")
         self.kept = handle.getValueState("kept", self.rule.state)
         self.timer = handle.getValueState("timer", "sec long")
 
-    def _wake(self, sec: int) -> None:
-        """Keep one timer per key, at the earliest second it is needed."""
-        now = self.timer.get()[0] if self.timer.exists() else None
+    def _wake(self, sec: int, now: int | None) -> None:
+        """Keep one timer per key, at the earliest second it is needed; ``now``: the one that is set."""
         if now is not None and now <= sec:
             return
         if now is not None:
@@ -67,41 +70,49 @@ class Ordered(StatefulProcessor):
         self.handle.registerTimer(sec * 1000)
         self.timer.update((sec,))
 
+    def _append(self, rows: list[tuple]) -> None:
+        for at in range(0, len(rows), _SENT):
+            self.waiting.appendList(rows[at : at + _SENT])
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         fresh: dict[int, tuple] = {}
         for row in rows:
             fresh[row["sec"]] = self.rule.add(fresh.get(row["sec"]), row)
-        for sec, item in fresh.items():
-            if self.waiting.containsKey((sec,)):
-                item = self.rule.join(tuple(self.waiting.getValue((sec,))), item)
-            self.waiting.updateValue((sec,), item)
+        self._append([(sec, *item) for sec, item in fresh.items()])
         if fresh:
-            self._wake(min(fresh) + 1)  # a second is over when the next one begins
+            timer = self.timer.get()
+            self._wake(min(fresh) + 1, timer[0] if timer else None)  # a second is over when the next one begins
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs() // 1000
-        self.timer.clear()
-        state = tuple(self.kept.get()) if self.kept.exists() else None
-        waiting = sorted((k[0], tuple(v)) for k, v in self.waiting.iterator())
+        kept = self.kept.get()
+        state = tuple(kept) if kept is not None else None
+        due: dict[int, tuple] = {}
         left = []
-        for sec, item in waiting:
+        for sec, *item in self.waiting.get() if self.waiting.exists() else ():
             if sec + 1 > now:
-                left.append(sec)
-                continue
-            state, out = self.rule.step(state, key[0], sec, item)
+                left.append((sec, *item))
+            else:
+                due[sec] = self.rule.join(due[sec], tuple(item)) if sec in due else tuple(item)
+        for sec in sorted(due):
+            state, out = self.rule.step(state, key[0], sec, due[sec])
             yield from out
-            self.waiting.removeKey((sec,))
+        if due:
+            self.waiting.clear()
+            self._append(left)
         end = None if state is None else self.rule.until(state)
         if end is not None and end <= now:
             state, end = None, None
         if state is not None:
             self.kept.update(state)
-        elif self.kept.exists():
+        elif kept is not None:
             self.kept.clear()
-        wake = [s for s in [min(left) + 1 if left else None, end] if s is not None]
+        wake = [s for s in [min(sec for sec, *_ in left) + 1 if left else None, end] if s is not None]
         if wake:
-            self._wake(min(wake))
+            self._wake(min(wake), None)
+        else:
+            self.timer.clear()
 
     def close(self) -> None:
         pass
