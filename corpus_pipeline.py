@@ -9,13 +9,14 @@ without an id cannot be told apart and stay.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netsift.llm import bpe, line_quality, mixing, ngram_join, secret_scan
-from netsift.session import shared_folder, ship
+from netsift.session import shared_folder, ship, short_batches
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -48,7 +49,21 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.digests(spark, docs, VOCABULARY, public_tokenizers.PATTERN)
 
 
-STAGES = [("quality rules", quality), ("near duplicates", near_duplicates), ("secrets", secrets), ("mixing", mixture), ("tokens", tokens)]
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _in_short_batches(stage: Stage) -> Stage:
+    """The stage, with whole texts going to Python and back in batches that are small in bytes as well as in rows."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        short_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+STAGES: list[tuple[str, Stage]] = [(name, _in_short_batches(stage)) for name, stage in (
+    ("quality rules", quality), ("near duplicates", near_duplicates), ("secrets", secrets), ("mixing", mixture), ("tokens", tokens))]
 ORACLE_SQL = None  # the network, the transducer and the knapsack have no SQL form
 
 

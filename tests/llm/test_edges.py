@@ -72,6 +72,29 @@ def test_every_query_on_odd_and_empty_tables(spark, tables, name):
         assert [r["spans"] for r in rows if r["doc_id"] == 5] == ["assign:0:17"]
 
 
+def test_pipeline_hands_whole_texts_to_python_in_short_batches(spark, tables):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.getAll.get(key)
+    docs = spark.read.parquet(f"{tables['full']}/documents.parquet")
+    long = spark.range(0, 24, 1, 1).select("id", F.repeat(F.lit("x"), 1 << 20).alias("text"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield batch.select(["id"]).slice(0, 1).set_column(0, "id", [[batch.nbytes]])
+
+    try:
+        spark.conf.unset(key)
+        for _, stage in corpus_pipeline.STAGES:
+            spark.conf.unset(key)
+            stage(spark, docs, tables["full"])
+            assert max(r["id"] for r in long.mapInArrow(sizes, "id long").collect()) < 8 << 20
+        spark.conf.set(key, str(64 << 20))  # what a session says stays
+        corpus_pipeline.STAGES[0][1](spark, docs, tables["full"])
+        assert spark.conf.get(key).rstrip("b") == str(64 << 20)
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def test_pipeline(spark, tables):
     docs = spark.read.parquet(f"{tables['full']}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
