@@ -176,7 +176,8 @@ query("stream_first_sightings", _streamed(lambda s, late: J.first_sightings(s, "
 def _stream_pairs(v: Views) -> DataFrame:
     first = ArrivingViews(v)
     second, third = ArrivingViews(v, first.folder), ArrivingViews(v, first.folder)
-    return J.domain_pairs(first.ssl, second.dns, third.dns, L.WATCHED_DOMAIN, late=_LATE)
+    return J.domain_pairs(
+        first.ssl, second.dns, third.dns, L.WATCHED_DOMAIN, late=_LATE, partitions=v.spark.sparkContext.defaultParallelism)
 
 
 query("stream_domain_pairs", _stream_pairs, PAIRS_SQL)

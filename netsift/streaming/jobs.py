@@ -10,7 +10,7 @@ from collections.abc import Callable
 from contextlib import contextmanager
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -19,13 +19,17 @@ from ..operators import identity as I
 from ..session import shared_folder
 from . import ordered as O
 
+_SPAN = 8  # seconds of a source that meet as one key in the interval join
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 @contextmanager
 def _keyed_state(spark: SparkSession, partitions: int | None):
-    """Timers need the RocksDB state store; other streams of the session keep their settings."""
-    wanted = {"spark.sql.streaming.stateStore.providerClass": _ROCKS}
+    """Timers need the RocksDB state store; other streams of the session keep their settings.
+
+    Nothing here reads how many rows a store has, and counting them looks every written key up first.
+    """
+    wanted = {"spark.sql.streaming.stateStore.providerClass": _ROCKS, "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false"}
     if partitions:
         wanted["spark.sql.shuffle.partitions"] = str(partitions)
     before = {key: spark.conf.get(key, None) for key in wanted}
@@ -176,28 +180,40 @@ def domain_minutes(dns: DataFrame, domain: str, late: str = "1 day") -> DataFram
         F.col("w.start").alias("minute"), "src", "n")
 
 
+def span_of(sec: Column) -> Column:
+    return F.floor(sec / _SPAN)
+
+
+def spans_near(sec: Column) -> Column:
+    """The spans of the three seconds around ``sec``: one, or two at a span's edge."""
+    return F.array_distinct(F.array(span_of(sec - 1), span_of(sec + 1)))
+
+
 def domain_hosts(ssl: DataFrame, dns: DataFrame, others: DataFrame, domain: str, late: str = "1 hour") -> DataFrame:
     """Stream-stream join: (sec, src, kind, host), names a source looked up within a second of touching the domain, once each.
 
-    ``dns`` and ``others`` are two reads of the look-ups. The interval is three whole seconds: the events are repeated for
-    them, so both sides meet by equality on (src, second), spread by the time as well as by the source. The time range in
-    the condition lets the watermark remove both sides' state and that of the distinct.
+    ``dns`` and ``others`` are two reads of the look-ups. Both sides meet by equality on (src, span of ``_SPAN`` seconds),
+    spread by the time as well as by the source. The interval is three whole seconds, so only an event at a span's edge is
+    repeated, for the span beside it; a look-up is in one span and meets an event once. The time range in the condition
+    lets the watermark remove both sides' state and that of the distinct.
     """
     domain = domain.lower()
     hit = lambda df, c, kind: df.where(F.lower(c).contains(domain)).select(
         F.date_trunc("second", "ts").alias("t"), "src", F.lit(kind).alias("kind"))
     events = hit(ssl, "server_name", "ssl").unionByName(hit(dns, "query", "dns")).withWatermark("t", late).dropDuplicates(["t", "src", "kind"])
     sec = F.unix_timestamp("t")
-    events = events.withColumn("near", F.explode(F.array(sec - 1, sec, sec + 1)))
+    events = events.withColumn("near", F.explode(spans_near(sec)))
     lookups = others.where(~F.lower("query").contains(domain) & (F.col("query") != "")).select(
         F.date_trunc("second", "ts").alias("q"), F.col("src").alias("src2"), F.col("query").alias("host"))
     lookups = lookups.withWatermark("q", late).dropDuplicates(["q", "src2", "host"])
     step = F.expr("interval 1 second")
-    near = (F.col("src") == F.col("src2")) & (F.col("near") == F.unix_timestamp("q")) & F.col("q").between(F.col("t") - step, F.col("t") + step)
+    near = (F.col("src") == F.col("src2")) & (F.col("near") == span_of(F.unix_timestamp("q"))) & F.col("q").between(F.col("t") - step, F.col("t") + step)
     hosts = events.join(lookups, near).select("t", "src", "kind", "host").dropDuplicates(["t", "src", "kind", "host"])
     return hosts.select(F.unix_timestamp("t").alias("sec"), "src", "kind", "host")
 
 
-def domain_pairs(ssl: DataFrame, dns: DataFrame, others: DataFrame, domain: str, top: int = 8, late: str = "1 hour") -> DataFrame:
+def domain_pairs(
+    ssl: DataFrame, dns: DataFrame, others: DataFrame, domain: str, top: int = 8, late: str = "1 hour", partitions: int | None = None
+) -> DataFrame:
     """Streaming twin of ``identity.domain_pairs``: the joined rows come from the stream, the top eight from its table."""
-    return I.top_hosts(run_to_end(domain_hosts(ssl, dns, others, domain, late)), top)
+    return I.top_hosts(run_to_end(domain_hosts(ssl, dns, others, domain, late), partitions=partitions), top)
