@@ -40,14 +40,21 @@ class StreamViews(Views):
 LATE_HOURS = 6
 
 
+_GROUP_BYTES = 4 << 20
+
+
 def arriving(rows: DataFrame, arrival: str) -> str:
-    """Write ``rows`` as files in the order of the number ``arrival``, one file each, and give the folder."""
+    """Write ``rows`` as files in the order of the number ``arrival``, one file each, and give the folder.
+
+    A file is a micro-batch. Its row groups are small, since they are what Spark deals to the tasks: a large file
+    in a few of the usual size would be read, joined and folded by a few tasks, however many cores there are.
+    """
     spark = rows.sparkSession
     base = f"{shared_folder(spark)}/arriving-{uuid.uuid4().hex}"
     rows.write.partitionBy(arrival).parquet(f"{base}/staged")
     staged = spark.read.parquet(f"{base}/staged")
     for (k,) in sorted(staged.select(arrival).distinct().collect()):
-        staged.where(F.col(arrival) == k).drop(arrival).coalesce(1).write.mode("append").parquet(f"{base}/files")
+        staged.where(F.col(arrival) == k).drop(arrival).coalesce(1).write.mode("append").option("parquet.block.size", _GROUP_BYTES).parquet(f"{base}/files")
     return f"{base}/files"
 
 

@@ -1,8 +1,10 @@
 """Streams give the rows of their batch twins, whatever the order of the files."""
 
 import datetime as dt
+import glob
 import random
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from netsift.operators import folds as Q
 from netsift.operators import ids as D
 from netsift.operators import identity as I
 from netsift.operators import telemetry as M
+from netsift.plans.queries_streams import arriving
 from netsift.streaming import jobs as J
 from netsift.streaming import scans as S
 
@@ -141,6 +144,23 @@ def test_pairs_of_a_watched_domain(spark, tmp_path):
     assert got == rows_of(I.domain_pairs(spark.createDataFrame(tls, t_schema), spark.createDataFrame(dns, d_schema), "watched.net")) and got
 
 
+def test_seconds_that_touch_share_one_span_and_few_events_are_repeated(spark):
+    rows = spark.range(-40, 40).select(F.col("id").alias("sec"), J.spans_near(F.col("id")).alias("spans"))
+    lookups = spark.range(-45, 45).select(F.col("id").alias("q"), J.span_of(F.col("id")).alias("span"))
+    assert rows.agg(F.sum(F.size("spans"))).first()[0] == 100  # was 240: every event three times
+    met = rows.select("sec", F.explode("spans").alias("span")).join(lookups, "span").where("q between sec - 1 and sec + 1")
+    assert rows_of(met.select("sec", "q")) == sorted(((s, q) for s in range(-40, 40) for q in (s - 1, s, s + 1)), key=str)
+
+
+def test_an_arrival_is_one_file_that_many_tasks_can_read(spark):
+    rows = spark.range(0, 600_000, 1, 2).select(F.xxhash64("id").alias("x"), F.xxhash64(-F.col("id")).alias("y"), (F.col("id") % 2).alias("_a"))
+    folder = arriving(rows, "_a")
+    files = [pq.ParquetFile(f) for f in glob.glob(f"{folder.removeprefix('file:')}/*.parquet")]
+    assert len(files) == 2 and all(f.metadata.num_rows == 300_000 for f in files)
+    assert all(f.metadata.num_row_groups > 1 for f in files)  # was 1
+    assert rows_of(spark.read.parquet(folder).agg(F.sum(F.col("x").cast("decimal(38,0)")))) == rows_of(rows.agg(F.sum(F.col("x").cast("decimal(38,0)"))))
+
+
 def test_ingest_separates_late_rows_closes_days_and_loses_none(spark, tmp_path):
     def batch(*rows):
         return spark.createDataFrame(rows, "day string, x int").withColumn("day", F.to_date("day"))
