@@ -3,6 +3,7 @@
 import json
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,7 +81,7 @@ def test_pipeline_hands_whole_texts_to_python_in_short_batches(spark, tables):
 
     def sizes(batches):
         for batch in batches:
-            yield batch.select(["id"]).slice(0, 1).set_column(0, "id", [[batch.nbytes]])
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes], pa.int64())], names=["id"])
 
     try:
         spark.conf.unset(key)
