@@ -12,7 +12,7 @@ from netsift.operators import folds as Q
 from netsift.operators import ids as D
 from netsift.operators import identity as I
 from netsift.operators import telemetry as M
-from netsift.plans.queries_streams import arriving
+from netsift.plans import registry
 from netsift.streaming import jobs as J
 from netsift.streaming import scans as S
 
@@ -154,6 +154,9 @@ def test_seconds_that_touch_share_one_span_and_few_events_are_repeated(spark):
 
 def test_an_arrival_is_one_file_that_many_tasks_can_read(spark):
     rows = spark.range(0, 600_000, 1, 2).select(F.xxhash64("id").alias("x"), F.xxhash64(-F.col("id")).alias("y"), (F.col("id") % 2).alias("_a"))
+    registry.load()
+    from netsift.plans.queries_streams import arriving
+
     folder = arriving(rows, "_a")
     files = [pq.ParquetFile(f) for f in glob.glob(f"{folder.removeprefix('file:')}/*.parquet")]
     assert len(files) == 2 and all(f.metadata.num_rows == 300_000 for f in files)
