@@ -6,8 +6,10 @@ documents of a and b shingles can only be linked when they share at least ``3 (a
 common shingle stands among the first ``a / 4 + 1`` of the one and the first ``b / 7 + 1`` of the smaller other, under
 any fixed order of shingles, and only those entries enter the product. Frequent shingles come last in that order.
 
+An entry without another in its column that these bounds let it meet is left out where the columns are sorted.
+
 What the product proposes must first pass a bound that is exact as well: each set has a parity sketch (every shingle
-flips one of four bits or more a shingle), and two sets differ in at least as many shingles as their sketches differ in
+flips one of as many bits or more as there are shingles), and two sets differ in at least as many shingles as their sketches differ in
 bits; of two lengths, the longer one is folded. What is left is verified on the whole sets, so links are exact.
 
 Connected classes are the result, so pairs that verified links already connect are not proposed again: the first
@@ -71,8 +73,8 @@ def _class_id(shingles: np.ndarray) -> int:
 
 
 def _sketch(shingles: np.ndarray) -> list[int]:
-    """The bits that an odd number of shingles falls on, as 64-bit numbers; four bits or more a shingle."""
-    bits = max(_BITS, 1 << (4 * len(shingles) - 1).bit_length())
+    """The bits that an odd number of shingles falls on, as 64-bit numbers; one bit or more a shingle."""
+    bits = max(_BITS, 1 << (len(shingles) - 1).bit_length())
     odd = np.bincount((shingles >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
@@ -148,10 +150,18 @@ def _postings(width: int, percent: int, frequency):
 
 
 def _shared_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of entries sorted by (token, n, cls): those of tokens that at least two classes have."""
+    """Of entries sorted by (token, n, cls): those that can meet another one of their token in the product.
+
+    Of two, the first must stand in its index prefix, and the second may be a third longer at most. So an entry needs
+    the last index entry before it, which is the longest, or, being one itself, the next entry.
+    """
     names = ["token", "cls", "n", "pos"]
-    tail: list[np.ndarray] | None = None  # the last entry so far
-    given = False  # whether it has been given out
+    tail: list[np.ndarray] | None = None  # the last entry so far, not given out yet
+    longest = 0  # size of the last index entry before it, of the same token
+
+    def given(cols, meets):
+        return pa.RecordBatch.from_arrays([pa.array(c[meets]) for c in cols], names=names)
+
     for batch in batches:
         cols = [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in names]
         if tail is not None:
@@ -161,20 +171,23 @@ def _shared_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         fresh = np.ones(len(cols[0]), bool)  # a copy of a class has the token, size and class of the row before
         fresh[1:] = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])
         cols = [c[fresh] for c in cols]
-        same = np.zeros(len(cols[0]), bool)
-        same[1:] = cols[0][1:] == cols[0][:-1]
-        shares = same.copy()
-        shares[:-1] |= same[1:]
-        shares[0] &= not given
-        last = len(same) - 1
-        if last:
-            shares[last] &= same[last]  # else not known yet
-            given = bool(same[last])
-        elif not given:
-            shares[0] = False
-        if shares.any():
-            yield pa.RecordBatch.from_arrays([pa.array(c[shares]) for c in cols], names=names)
+        token, _, n, pos = cols
+        n = n.astype(np.int64)
+        at, index = np.arange(len(n)), pos <= n // 7
+        start = np.ones(len(n), bool)
+        start[1:] = token[1:] != token[:-1]
+        first = np.maximum.accumulate(np.where(start, at, 0))
+        last = np.concatenate(([-1], np.maximum.accumulate(np.where(index, at, -1))[:-1]))
+        before = np.where(last >= first, n[last], np.where(first == 0, longest, 0))
+        meets = 3 * n <= 4 * before
+        meets[:-1] |= index[:-1] & ~start[1:] & (3 * n[1:] <= 4 * n[:-1])
+        end, longest = meets[-1], int(before[-1])
+        meets[-1] = False
+        if meets.any():
+            yield given(cols, meets)
         tail = [c[-1:] for c in cols]
+    if tail is not None and end:
+        yield given(tail, np.ones(1, bool))
 
 
 _PAIRS = "a long, b long, shared long, a_n int, b_n int, a_pos int, b_pos int"
@@ -327,13 +340,13 @@ def classes(spark: SparkSession, documents: DataFrame, width: int = WIDTH, perce
     # First passes: for each class the partners with the most similar sketches among its neighbours in a few columns.
     joined = spark.createDataFrame([], "node long, component long")
     rank = F.row_number().over(Window.partitionBy("cls").orderBy(F.xxhash64("token"), "token"))
-    near = store(shared.select("token", "cls", rank.alias("rank")).where(F.col("rank") <= _FIRST).select("token", "cls"), "near")
+    near = store(shared.select("token", "cls", "n", rank.alias("rank")).where(F.col("rank") <= _FIRST).select("token", "cls", "n"), "near")
     for turn in range(_PASSES):
-        known = near.join(joined, F.col("cls") == F.col("node"), "left").select("token", "cls", F.coalesce("component", "cls").alias("comp"))
+        known = near.join(joined, F.col("cls") == F.col("node"), "left").select("token", "cls", "n", F.coalesce("component", "cls").alias("comp"))
         column_ = Window.partitionBy("token").orderBy(F.xxhash64("token", "cls", F.lit(turn)), "cls")
-        steps = [F.struct(F.lag("cls", k).over(column_).alias("a"), F.lag("comp", k).over(column_).alias("a_comp")) for k in (1, 2, 4)]
-        pairs = known.select("cls", "comp", F.array(*steps).alias("steps")).select("cls", "comp", F.explode("steps").alias("s"))
-        pairs = pairs.where("s.a is not null and s.a_comp <> comp").select(F.least("cls", "s.a").alias("a"), F.greatest("cls", "s.a").alias("b")).distinct()
+        steps = [F.struct(F.lag("cls", k).over(column_).alias("a"), F.lag("comp", k).over(column_).alias("a_comp"), F.lag("n", k).over(column_).alias("a_n")) for k in (1, 2, 4)]
+        pairs = known.select("cls", "n", "comp", F.array(*steps).alias("steps")).select("cls", "n", "comp", F.explode("steps").alias("s"))
+        pairs = pairs.where("s.a is not null and s.a_comp <> comp and 3 * s.a_n <= 4 * n and 3 * n <= 4 * s.a_n").select(F.least("cls", "s.a").alias("a"), F.greatest("cls", "s.a").alias("b")).distinct()
         likely = _possible(pairs, sketches)
         best = likely.groupBy("b").agg(F.slice(F.array_sort(F.collect_set(F.struct("off", "a"))), 1, _PARTNERS).alias("best"))  # 3 * _FIRST partners at most
         pairs = store(best.select(F.explode("best.a").alias("a"), "b"), "pairs")

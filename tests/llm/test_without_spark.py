@@ -56,6 +56,40 @@ def test_shingle_sets():
     assert len(a) == 1 and (a == b).all() and (a != c).all() and len(d) == 0 and len(e) == 6
 
 
+def test_entries_that_can_meet_no_other_leave_the_product():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    rows = sorted({(int(t), int(n), int(n) * 100 + int(c)): int(n * f) for t, n, c, f in zip(rng.integers(0, 150, 900), rng.integers(5, 120, 900), rng.integers(0, 9, 900), rng.random(900) / 4)}.items())
+    rows = [(token, cls, n, pos) for (token, n, cls), pos in rows]
+
+    def batches(step, rows):
+        twice = [r for r in rows for _ in range(2)]  # a class that two tasks gave
+        for at in range(0, len(twice), step):
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in twice[at : at + step]], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["token", "cls", "n", "pos"])
+
+    def meets(x, y):  # x before y
+        return x[0] == y[0] and x[3] <= x[2] // 7 and 3 * y[2] <= 4 * x[2]
+
+    want = [r for k, r in enumerate(rows) if any(meets(r, y) for y in rows[k + 1 :]) or any(meets(x, r) for x in rows[:k])]
+    shared = [r for r in rows if sum(r[0] == x[0] for x in rows) > 1]
+    assert 0 < len(want) < 0.9 * len(shared)
+    for step in (1, 2, 7, 5000):
+        got = [tuple(r.values()) for b in ngram_join._shared_columns(batches(step, rows)) for r in b.to_pylist()]
+        assert got == want
+    assert list(ngram_join._shared_columns(iter(()))) == []
+
+
+def test_sketches_bound_the_difference_with_one_bit_a_shingle():
+    rng = np.random.default_rng(9)
+    for n in (1, 255, 256, 257, 1024, 1025, 3000):
+        a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        b = np.concatenate((a[n // 9 :], rng.integers(0, 1 << 63, n // 9, dtype=np.uint64)))
+        x, y = (np.array(ngram_join._sketch(s), np.int64).view(np.uint64) for s in (a, b))
+        assert max(256, n) <= 64 * len(x) < max(257, 2 * n)
+        assert sum(int(v).bit_count() for v in x ^ y) <= 2 * (n // 9)
+
+
 def test_knapsack_is_exact_on_small_budgets():
     rng = random.Random(1)
     for _ in range(200):
