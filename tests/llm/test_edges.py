@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from netsift.llm import cover_tree, language_id, line_quality, mixing, ngram_join, queries, secret_scan, tool_calls
+from netsift.llm import cover_tree, language_id, line_quality, mixing, ngram_join, queries, secret_scan, tool_calls, toxicity
 
 WORDS = "the cat sat on a mat and then it went to see what there was by the old river bank".split()
 CLASH = ["size", "cls", "token", "slot", "node", "label", "component", "level", "count", "share", "_id", "_kept"]
@@ -184,3 +184,26 @@ def test_usual_language_is_that_of_most_rows(spark):
     sampled = [r["id"] for r in spark.range(2000).where(unit < 0.05).limit(40).collect()]  # the sample has all rows of the rarer language
     rows = [(k, f"bb text {k}", "bb") for k in sampled] + [(5000 + k, f"aa text {k}", "aa") for k in range(60)]
     assert language_id.fit(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), 10).usual == "aa"
+
+
+def test_the_driver_holds_no_toxicity_index(spark, monkeypatch):
+    rows = [(k, prose(k, 20) + (" idiot idiot" if k % 3 == 1 else "")) for k in range(300)] + [(300, None), (301, "zzz")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 == 1)) for k, _ in rows], "doc_id long, label int")
+
+    def refuse(*_):
+        raise AssertionError("the driver builds the index")
+
+    with monkeypatch.context() as m:
+        m.setattr(toxicity, "Index", refuse)
+        model = toxicity.fit(spark, docs, labels)
+        got = {r["doc_id"]: r["score"] for r in toxicity.predict(spark, docs, model).collect()}
+    # the same as from the examples at hand
+    half = {r["doc_id"]: r["half"] for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int").alias("half")).collect()}
+    bags = toxicity.terms([t for _, t in rows])
+    table = pa.table({
+        "doc_id": pa.array([k for k, _ in rows], pa.int64()), "label": pa.array([int(k % 3 == 1) for k, _ in rows], pa.int32()), "half": pa.array([half[k] for k, _ in rows], pa.int32()),
+        "term": pa.array([x.view("int64").tolist() for x, _ in bags], pa.list_(pa.int64())), "times": pa.array([y.tolist() for _, y in bags], pa.list_(pa.int64()))})
+    index = toxicity.build(table, {1: 101, 0: 201})
+    assert got == pytest.approx({k: index.score(*bag)[0] for (k, _), bag in zip(rows, bags)}, abs=1e-5)
+    assert (model.prior, model.slope, model.shift) == pytest.approx((index.prior, index.slope, index.shift), abs=1e-5)
