@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import sys
 
 import numpy as np
 import public_tokenizers
@@ -33,6 +34,76 @@ def test_tokens_equal_the_library(codec):
     assert own.encode(None) == []
 
 
+def test_new_words_go_through_the_transducer_together(codec):
+    own = bpe.Codec(codec[0].transducer.ranks, public_tokenizers.PATTERN)
+    parts = ["er", "th", "qu", "ion", "ß", "vi", "aux", "é", "st", "ow"]
+    words = [" " + "".join(w) for w in itertools.product(parts, repeat=4)]
+    random.Random(5).shuffle(words)
+    own.encode("".join(words[2000:]))
+    text, calls = "".join(words[:2000]), []
+    sys.setprofile(lambda frame, event, arg: calls.append(frame) if event == "call" else None)
+    try:
+        ids = own.encode(text)
+    finally:
+        sys.setprofile(None)
+    assert ids == codec[1].encode_ordinary(text)
+    assert len(calls) < len(words[:2000])  # no call for each
+
+
+def test_tokens_when_tables_and_portions_are_full(codec, monkeypatch):
+    own, library = codec
+    monkeypatch.setattr(bpe, "_STATES", 300)
+    monkeypatch.setattr(bpe, "_PAIRS", 100)
+    monkeypatch.setattr(bpe, "_LOOK", 50)
+    monkeypatch.setattr(bpe, "_PORTION", 2000)
+    monkeypatch.setattr(bpe, "_PORTION_PIECES", 70)
+    small = bpe.Codec(own.transducer.ranks, public_tokenizers.PATTERN)
+    rng = random.Random(7)
+    wide = lambda n: "".join(chr(rng.choice([rng.randint(32, 126), rng.randint(0xA0, 0x2FFF), rng.randint(0x10000, 0x1FFFF)])) for _ in range(n))
+    plain = lambda n: "".join(rng.choice("aeinrst ") for _ in range(n))
+    long = "".join(rng.choice("thequick日本") for _ in range(700))
+    texts = [plain(900), None, long + " " + wide(900), "", plain(9000), "x" * 5000 + " a " + long, wide(6000), "a", plain(1900) + long]
+    got = [[] for _ in texts]
+    for rows, ids, begins in small.groups(texts):
+        assert len(small.transducer._live) <= 300
+        for k, row in enumerate(rows):
+            got[row] += ids[begins[k] : begins[k + 1]].tolist()
+    assert got == [library.encode_ordinary(t or "") for t in texts]
+    assert [small.encode(t) for t in texts] == got
+
+
+def test_tokens_that_no_merge_makes():
+    ranks = {bytes([b]): b for b in range(256)} | {b"abc": 256, b"de": 257, "éé".encode(): 258}
+    own, library = bpe.Codec(ranks, public_tokenizers.PATTERN), tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for text in ("abc", "abcd", "abc abc,de ede", "de\nabc\nabcabc", "éé,ééé éé", ""):
+        assert own.encode(text) == library.encode_ordinary(text)
+    assert own.transducer.unmade.keys() == {b"abc", "éé".encode()}
+
+
+def test_digests_of_texts_in_portions(codec, monkeypatch):
+    import hashlib
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(bpe, "_PORTION", 40)
+    monkeypatch.setattr(bpe, "_PORTION_PIECES", 3)
+    monkeypatch.setattr(bpe, "_codec", lambda raw, pattern: codec[0])
+    frame = SimpleNamespace(select=lambda *_: SimpleNamespace(mapInArrow=lambda run, _: run))
+    session = SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda raw: SimpleNamespace(value=raw)))
+    texts = ["one two", None, "drei 日本語, vier 🎉 fünf sechs sieben, acht neun zehn elf " * 5, "", "x" * 100, " "]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(6), pa.int64()), "text": pa.array(texts, pa.string())})
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    got = pa.Table.from_batches(bpe.digests(session, frame, path, public_tokenizers.PATTERN)(iter([batch]))).to_pylist()
+    both = pa.Table.from_batches(bpe.encode(session, frame, path, public_tokenizers.PATTERN)(iter([batch]))).to_pylist()
+    for row, full, text in zip(got, both, texts, strict=True):
+        ids = codec[1].encode_ordinary(text or "")
+        assert full["ids"] == ids and full["decoded"] == (text or "")
+        assert row["n_tokens"] == len(ids)
+        assert row["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert row["decoded_sha256"] == hashlib.sha256((text or "").encode()).hexdigest()
+
+
 def test_decoder_replaces_broken_sequences(codec):
     stream = bpe.StreamDecoder({0: b"\xe6\x97", 1: b"\xa5", 2: b"a"})
     assert stream.feed([0]) == "" and stream.feed([1]) == "日"
