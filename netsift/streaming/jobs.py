@@ -140,7 +140,7 @@ class Ingest:
 def dedup_alerts(alerts: DataFrame, late: str = "1 day") -> DataFrame:
     """Streaming twin of ``folds.dedup_alerts``."""
     rows = alerts.withWatermark("ts", late)
-    return O.run(Q.alert_seconds(rows, "ts"), O.Windows())
+    return O.run_dealt(Q.alert_seconds(rows, "ts"), O.Windows())
 
 
 def rate_alerts(events: DataFrame, late: str = "1 day", **rule) -> DataFrame:

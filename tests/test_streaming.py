@@ -14,6 +14,7 @@ from netsift.operators import identity as I
 from netsift.operators import telemetry as M
 from netsift.plans import registry
 from netsift.streaming import jobs as J
+from netsift.streaming import ordered as O
 from netsift.streaming import scans as S
 
 T0 = dt.datetime(2024, 1, 1)
@@ -203,3 +204,77 @@ def test_day_scans_equal_a_scan_of_the_day_so_far(spark, tmp_path):
         assert rows_of(job.latest(spark).select(*columns)) == rows_of(whole.select(*columns))
     stored = spark.read.parquet(f"{tmp_path}/p1-alerts")
     assert stored.count() < 300 and stored.select("batch").distinct().count() == 3
+
+
+class _Fake:
+    """A state store in memory that counts the calls for one key."""
+
+    def __init__(self):
+        self.calls, self.rows, self.value, self.timers = 0, {}, None, set()
+
+    def getListState(self, name, schema):
+        store, rows = self, self.rows.setdefault(name, [])
+
+        class List:
+            def exists(self):
+                store.calls += 1
+                return bool(rows)
+
+            def get(self):
+                store.calls += 1
+                return iter(list(rows))
+
+            def appendList(self, more):
+                store.calls += 1
+                rows.extend(more)
+
+            def clear(self):
+                store.calls += 1
+                rows.clear()
+
+        return List()
+
+    def getValueState(self, name, schema):
+        store = self
+
+        class Value:
+            def get(self):
+                return store.value
+
+            def update(self, value):
+                store.value = value
+
+            def clear(self):
+                store.value = None
+
+        return Value()
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+
+class _Clock:
+    def __init__(self, sec):
+        self.sec = sec
+
+    def getCurrentWatermarkInMs(self):
+        return self.sec * 1000
+
+
+def test_keys_of_a_deal_share_the_calls_to_the_state():
+    from pyspark.sql import Row
+
+    row = lambda k, sec: Row(fingerprint=k, type="t", severity="medium", device=k, detail="x", sec=sec, ttl=100)
+    keys = [f"k{i}" for i in range(200)]
+    store, walk = _Fake(), O.Dealt(O.Windows())
+    walk.init(store)
+    sent = []
+    for rows, clock in (([row(k, s) for k in keys for s in (150, 10, 50, 10)], 120), ([row(k, s) for k in keys for s in (130, 260)], 1000)):
+        list(walk.handleInputRows((0,), iter(rows), _Clock(0)))
+        sent += [(r["fingerprint"], r["sec"]) for r in walk.handleExpiredTimer((0,), _Clock(clock), None)]
+    assert sorted(sent) == sorted((k, s) for k in keys for s in (10, 130, 260))
+    assert store.calls < 30  # was some for every key
+    assert not any(store.rows.values()) and store.value is None
